@@ -31,19 +31,19 @@ QUERIES: dict[str, Query] = {
 
 def _op4_sql() -> str:
     """Positions from the pieces between matches, as DuckDB has no match positions."""
-    lists = []
-    for place, r in enumerate(secrets.RULES):
+    cut, lists = [], []
+    for i, r in enumerate(secrets.RULES):
         rx = "'" + r.pattern.replace("'", "''") + "'"
-        gaps, hits, part = f"string_split_regex(t, {rx})", f"regexp_extract_all(t, {rx}, 0)", f"regexp_extract_all(t, {rx}, {r.group})"
+        cut.append(f"list_transform(string_split_regex(t, {rx}), lambda x: length(x)) AS gap{i}, list_transform(regexp_extract_all(t, {rx}, 0), lambda x: length(x)) AS hit{i}, list_transform(regexp_extract_all(t, {rx}, {r.group}), lambda x: length(x)) AS part{i}")
         lists.append(
-            f"list_filter(list_transform(range(1, len({hits}) + 1), i -> {{'s': coalesce(list_sum(list_transform({gaps}[1:i], x -> length(x))), 0)::BIGINT"
-            f" + coalesce(list_sum(list_transform({hits}[1:i-1], x -> length(x))), 0)::BIGINT, 'p': {place}, 'n': length({hits}[i])::BIGINT, 'k': '{r.kind}', 'g': length({part}[i])}}), x -> x.g >= {r.least})"
+            f"list_filter(list_transform(range(1, len(hit{i}) + 1), lambda j: {{'s': (coalesce(list_sum(gap{i}[1:j]), 0) + coalesce(list_sum(hit{i}[1:j-1]), 0))::BIGINT,"
+            f" 'p': {i}, 'n': hit{i}[j]::BIGINT, 'k': '{r.kind}', 'g': part{i}[j]}}), lambda x: x.g >= {r.least})"
         )
     base = len([r for r in secrets.RULES if r.base])
-    text = "list_transform(list_sort(list_filter(f, x -> x.p < {n})), x -> x.k || ':' || x.s || ':' || (x.s + x.n))"
-    counts = ", ".join(f"len(list_filter(f, x -> x.k = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.RULES if r.base)
-    every = " || ".join(lists)
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {every} AS f FROM d)
+    text = "list_transform(list_sort(list_filter(f, lambda x: x.p < {n})), lambda x: x.k || ':' || x.s || ':' || (x.s + x.n))"
+    counts = ", ".join(f"len(list_filter(f, lambda x: x.k = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.RULES if r.base)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS MATERIALIZED (SELECT doc_id, {", ".join(cut)} FROM d),
+    s AS MATERIALIZED (SELECT doc_id, {" || ".join(lists)} AS f FROM c)
     SELECT doc_id, {counts}, sha256(array_to_string({text.format(n=base)}, ',')) AS base_sha256, array_to_string({text.format(n=99)}, ',') AS spans FROM s"""
 
 
@@ -56,8 +56,8 @@ r AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER ()) * 1.5::DOUBLE
 b AS (SELECT x.source, x.source_size, x.weight, x.cap, x.whole, x.ratio,
         (SELECT coalesce(sum(cap), 0) FROM r y WHERE y.ratio < x.ratio) AS below, (SELECT sum(weight) FROM r y WHERE y.ratio >= x.ratio) AS upward FROM r x),
 c AS (SELECT *, whole - below >= ratio * upward AS capped FROM b),
-l AS (SELECT (any_value(whole) - coalesce(sum(cap) FILTER (capped), 0)) / nullif(sum(weight) FILTER (NOT capped), 0) AS lambda FROM c),
-g AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, weight * lambda) END AS target FROM c, l),
+l AS (SELECT (any_value(whole) - coalesce(sum(cap) FILTER (capped), 0)) / nullif(sum(weight) FILTER (NOT capped), 0) AS level FROM c),
+g AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, weight * level) END AS target FROM c, l),
 t AS (SELECT d.*, g.source_size, g.target, coalesce(g.target / nullif(g.source_size, 0), 0) AS rate FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM t
 """

@@ -39,11 +39,13 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: A greedy run that is too short holds no longer match further on, so access and hex carry their least length
+#: in the pattern. An assignment must not: one that is dropped still uses up its text.
 RULES = (
     Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14}"),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
-    Rule("github", 1, r"gh[opsur]_[A-Za-z0-9]+", 0, 40, r"gh[opsur]_[A-Za-z0-9]{36}", base=False),
+    Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14}"),
+    Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
+    Rule("github", 1, r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40, r"gh[opsur]_[A-Za-z0-9]{36}", base=False),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
 )
 FOUND = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
