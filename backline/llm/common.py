@@ -129,6 +129,14 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def gram_hashes_at(words: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """As gram_hashes, for some positions only."""
+    out = np.zeros(len(places), np.uint64)
+    for j in range(k):
+        out = out * _BASE + words[places + j]
+    return mixed(out)
+
+
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of ``w`` values, by doubling."""
     out, have = values, 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import decontam, mixing, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,19 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
 }
 
 
