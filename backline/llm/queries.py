@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, secrets, sharding, tokens, toxicity
+from . import ann, decontam, mixing, neardup, quality, repeats, secrets, sharding, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_shard_documents": op1_shard_documents,
     "op2_jaccard_join": op2_jaccard_join,
@@ -56,6 +64,8 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_remove_repeats": op10_remove_repeats,
 }
 
 
