@@ -1,0 +1,155 @@
+"""Event assembly: bills, routes, legs, box-office matching, country backfill and venue facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+
+
+def billed(setlists: DataFrame, categories: DataFrame) -> DataFrame:
+    """Artist-nights with event, category and slot on the bill (1 is the headliner).
+
+    Order: category, most songs, longest career, name, id. Career counts are joined, not gathered.
+    """
+    rows = setlists.where(S.not_blank(F.col("date_iso")) & S.not_blank(F.col("artist")))
+    career = setlists.groupBy("artist_key").agg(F.count(F.lit(1)).alias("career"))
+    rows = rows.join(categories.select("artist_key", "category"), "artist_key", "left").join(career, "artist_key")
+    rows = rows.withColumn("category", F.coalesce("category", F.lit("Category E"))).withColumn("venue_key", S.venue_key(F.col("venue_id"), F.col("venue"), F.col("city")))
+    rows = rows.withColumn("event_id", F.concat("date_iso", F.lit("|"), "venue_key"))
+    order = [S.category_rank(F.col("category")), F.col("num_songs").desc_nulls_last(), F.col("career").desc(), "artist", "setlist_id"]
+    return rows.withColumn("slot", F.row_number().over(Window.partitionBy("event_id").orderBy(*order)))
+
+
+def bill_collapse(setlists: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row per event: the headliner's facts, support in order, counts; the tour is the headliner's or any other on the bill."""
+    top = lambda c: F.max(F.when(F.col("slot") == 1, F.col(c)))
+    facts = ["venue", "city", "country", "countryCode"]
+    rest = ["capacity", "io", "venue_no"]
+    return billed(setlists, categories).groupBy("event_id").agg(
+        F.first("date_iso").alias("date_iso"),
+        F.first("venue_key").alias("venue_key"),
+        *[top(c).alias(c) for c in facts],
+        top("artist").alias("headliner"),
+        top("artist_key").alias("headliner_key"),
+        top("category").alias("category"),
+        F.coalesce(F.nullif(top("tour"), F.lit("")), F.max(F.nullif(F.col("tour"), F.lit(""))), F.lit("")).alias("tour"),
+        F.expr("listagg(CASE WHEN slot > 1 THEN artist END, ' + ') WITHIN GROUP (ORDER BY slot)").alias("support"),
+        F.expr("listagg(setlist_id, ' | ') WITHIN GROUP (ORDER BY slot)").alias("setlist_ids"),
+        F.count(F.lit(1)).alias("n_artists"),
+        F.sum("num_songs").alias("songs"),
+        *[top(c).alias(c) for c in rest],
+    )
+
+
+def route(rows: DataFrame, keys: list[str], order: list[str], city: str = "city") -> DataFrame:
+    """previous_city and next_city in a tour; '' without a tour, as no route is known."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    known = S.not_blank(F.col("tour"))
+    before, after = F.coalesce(F.lag(city).over(w), F.lit("First Show")), F.coalesce(F.lead(city).over(w), F.lit("Final Show"))
+    return rows.withColumn("previous_city", F.when(known, before).otherwise("")).withColumn("next_city", F.when(known, after).otherwise(""))
+
+
+def legs(events: DataFrame) -> DataFrame:
+    """Successive shows of a tour with the days between; tours are told apart by name alone."""
+    w = Window.partitionBy("tour").orderBy("date_iso", "event_id")
+    ahead = {c: F.lead(c).over(w).alias(f"to_{c}") for c in ("event_id", "date_iso", "city", "country", "venue", "capacity")}
+    rows = events.where(S.not_blank(F.col("tour"))).select("tour", "event_id", "date_iso", "city", "country", "venue", "capacity", *ahead.values())
+    days = F.date_diff(F.col("to_date_iso").cast("date"), F.col("date_iso").cast("date"))
+    return rows.where("to_event_id IS NOT NULL").withColumn("days_between", days)
+
+
+def match_runs(events: DataFrame, runs: DataFrame, slack: int = 1) -> DataFrame:
+    """The best box-office run of each event: same headliner, date in the run or ``slack`` days around it, and the same venue (tier 2) or city (tier 3).
+
+    The headliner is the join key; dates and places filter the joined pairs. Best: tier, days off, fewest shows, id.
+    """
+    r = runs.select("pid", F.col("artist_key").alias("_act"), F.col("venue").alias("_venue"), F.col("city").alias("_city"), F.col("start_iso").cast("date").alias("_from"), F.col("end_iso").cast("date").alias("_to"), "n_shows", "gross_usd")
+    e = events.withColumn("_day", F.col("date_iso").cast("date"))
+    near = (F.col("_day") >= F.date_sub("_from", slack)) & (F.col("_day") <= F.date_add("_to", slack))
+    pairs = e.join(r, (F.col("headliner_key") == F.col("_act")) & near & ((F.col("venue") == F.col("_venue")) | (F.col("city") == F.col("_city"))))
+    off = F.when(F.col("_day") < F.col("_from"), F.date_diff("_day", "_from")).when(F.col("_day") > F.col("_to"), F.date_diff("_day", "_to")).otherwise(0)
+    pairs = pairs.withColumn("tier", F.when(F.col("venue") == F.col("_venue"), 2).otherwise(3)).withColumn("day_off", off)
+    best = F.row_number().over(Window.partitionBy("event_id").orderBy("tier", F.abs("day_off"), "n_shows", "pid"))
+    return pairs.withColumn("_nth", best).where("_nth = 1").select("event_id", "pid", "tier", "day_off", "n_shows", "gross_usd")
+
+
+def match_incremental(events: DataFrame, runs: DataFrame, previous: DataFrame, slack: int = 1) -> DataFrame:
+    """(event_id, pid) with earlier matches kept; only events never tried are matched, and those without a run are marked 'none'."""
+    fresh = events.join(previous, "event_id", "left_anti")
+    found = fresh.select("event_id").join(match_runs(fresh, runs, slack).select("event_id", "pid"), "event_id", "left")
+    return previous.select("event_id", "pid").unionByName(found.withColumn("pid", F.coalesce("pid", F.lit("none"))))
+
+
+def unmatched(runs: DataFrame, matches: DataFrame) -> DataFrame:
+    """Runs that no event was matched to."""
+    return runs.join(matches.select("pid").distinct(), "pid", "left_anti")
+
+
+def duplicate_risk(rows: DataFrame, against: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with duplicate_risk 1 where ``against`` has the same non-blank keys."""
+    known = against.select(*keys).where(S.not_blank(F.col(keys[0]))).distinct().withColumn("_hit", F.lit(1))
+    return rows.join(known, keys, "left").withColumn("duplicate_risk", F.coalesce("_hit", F.lit(0))).drop("_hit")
+
+
+def union_sources(sources: list[DataFrame], key: str) -> DataFrame:
+    """All sources by column name; of equal keys the earliest source's row stays."""
+    whole = None
+    for i, s in enumerate(sources):
+        part = s.withColumn("_source", F.lit(i))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_source"))
+    return whole.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_source")
+
+
+def dominant_value(rows: DataFrame, key: str, value: str, least: float = 0.9) -> DataFrame:
+    """(key, value, share) of the commonest value where it makes up ``least`` of the key's rows; ties go to the smaller value."""
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key)
+    counts = counts.withColumn("share", F.col("_n") / F.sum("_n").over(w)).withColumn("_nth", F.row_number().over(w.orderBy(F.desc("_n"), value)))
+    return counts.where((F.col("_nth") == 1) & (F.col("share") >= least)).select(key, value, "share")
+
+
+def backfill(rows: DataFrame, key: str, value: str, fallbacks: DataFrame | None = None, least: float = 0.9) -> DataFrame:
+    """Blank values filled from the key's dominant value, then from ``fallbacks`` (key, value); present values never change."""
+    known = rows.where(S.not_blank(F.col(value)))
+    table = dominant_value(known, key, value, least).select(key, F.col(value).alias("_fill"))
+    if fallbacks is not None:
+        extra = fallbacks.select(key, F.col(value).alias("_fill")).join(known.select(key).distinct(), key, "left_anti")
+        table = table.unionByName(extra)
+    return rows.join(table, key, "left").withColumn(value, F.coalesce(F.nullif(F.col(value), F.lit("")), "_fill")).drop("_fill")
+
+
+def trimmed_capacity(samples: DataFrame, key: str, value: str, factor: float = 3.0, least: int = 3) -> DataFrame:
+    """Largest value per key, with an outlier above ``factor`` times the truncated mean rejected if there are ``least`` samples."""
+    stats = samples.groupBy(key).agg(F.count(value).alias("samples"), F.floor(F.avg(value)).cast("bigint").alias("typical"), F.max(value).alias("cap_max"))
+    odd = (F.col("samples") >= least) & (F.col("typical") > 0) & (F.col("cap_max") > factor * F.col("typical"))
+    kept = samples.join(stats.select(key, "typical"), key).where(F.col(value) <= factor * F.col("typical")).groupBy(key).agg(F.max(value).alias("_kept"))
+    both = stats.join(kept, key, "left")
+    return both.select(key, "samples", "typical", "cap_max", F.when(odd, F.col("_kept")).otherwise(F.col("cap_max")).alias("capacity"), F.when(odd, F.col("cap_max")).alias("rejected"))
+
+
+def tenants(nights: DataFrame, act: str, place: str, day: str, least_dates: int = 8, least_home: int = 4) -> DataFrame:
+    """Acts with a season of ``least_dates`` dates, ``least_home`` of them in one place; the best such season's figures."""
+    at = nights.groupBy(act, F.substring(day, 1, 4).alias("year"), place).agg(F.count(F.lit(1)).alias("_n"))
+    year = at.groupBy(act, "year").agg(F.sum("_n").alias("dates"), F.max("_n").alias("home"))
+    return year.groupBy(act).agg(F.max("dates").alias("best_dates"), F.coalesce(F.max(F.when(F.col("dates") >= least_dates, F.col("home"))), F.lit(0)).alias("best_home")).withColumn(
+        "tenant", ((F.col("best_dates") >= least_dates) & (F.col("best_home") >= least_home)).cast("int")
+    )
+
+
+def integrity(events: DataFrame, setlists: DataFrame) -> DataFrame:
+    """One row of invariants: bill slots equal source rows, and no headliner stands twice on a date in a venue."""
+    slots = events.agg(F.sum("n_artists").alias("bill_slots"), F.count(F.lit(1)).alias("events"))
+    source = setlists.where(S.not_blank(F.col("date_iso")) & S.not_blank(F.col("artist"))).agg(F.count(F.lit(1)).alias("source_rows"))
+    twice = events.groupBy("headliner_key", "date_iso", "venue_key").count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicates"))
+    return slots.crossJoin(source).crossJoin(twice)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, version: str, source: str, trusted: str = "api") -> DataFrame:
+    """Latest row per key; rows of the trusted source are never replaced by others, whatever comes in whatever order."""
+    rows = old.unionByName(new)
+    order = [F.when(F.col(source) == trusted, 0).otherwise(1), F.col(version).desc_nulls_last()]
+    tie = [F.xxhash64(*sorted(rows.columns))]
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order, *tie))).where("_nth = 1").drop("_nth")
