@@ -78,6 +78,8 @@ def parse_date(text: Column) -> Column:
     shapes = [r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{2}$"]
     t = F.trim(text)
     tries = [F.when(t.rlike(shape), F.try_to_date(t, fmt)) for fmt, shape in zip(formats, shapes, strict=True)]
+    # Two digits from 69 on mean the last century.
+    tries[-1] = F.when(F.year(tries[-1]) >= 2069, F.add_months(tries[-1], -1200)).otherwise(tries[-1])
     return F.coalesce(F.date_format(F.coalesce(*tries), "yyyy-MM-dd"), F.lit(""))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Genres by class, in order of precedence.
 GENRE_CLASSES = [
@@ -47,7 +48,7 @@ def _norm(name: str | None) -> str | None:
     return s.removeprefix("the ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _norm_unicode(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in names:
         yield s.map(_norm, na_action="ignore")
@@ -148,6 +149,6 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(both, first), ratio(both, second)) if both else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

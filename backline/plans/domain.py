@@ -87,8 +87,8 @@ class Domain:
         return g.withColumn("pid", F.concat_ws("|", "artist_key", "venue", "month"))
 
     def visits(self) -> DataFrame:
-        """Tours by city with counts and the largest rooms played."""
-        s = self.setlists().where(S.not_blank(F.col("tour")))
+        """Acts' tours by city with counts and the largest rooms played."""
+        s = self.setlists().where(S.not_blank(F.col("tour"))).withColumn("tour", F.concat("artist_key", F.lit(" / "), "tour"))
         return s.groupBy("tour", "country", "city").agg(
             F.count(F.lit(1)).alias("shows"),
             F.count_if(F.col("io") == "inside").alias("indoor"),
@@ -138,7 +138,7 @@ VENUES = f"""{PLACES}, nights AS (SELECT l_suppkey AS venue_no, count(*) AS even
 venues AS (SELECT p.*, coalesce(n.events, 0)::BIGINT AS events, first_event, last_event FROM places p LEFT JOIN nights n USING (venue_no))"""
 RUNS = f"""{EVENTS}, runs AS (SELECT artist_key, venue, city, substr(date_iso, 1, 7) AS month, min(date_iso) AS start_iso, max(date_iso) AS end_iso, count(*)::BIGINT AS n_shows, round(avg(num_songs) * 1000)::BIGINT AS avg_capacity,
   round(sum(gross), 2) AS gross_usd, artist_key || '|' || venue || '|' || substr(date_iso, 1, 7) AS pid FROM setlists GROUP BY 1, 2, 3, 4)"""
-VISITS = f"""{SETLISTS}, visits AS (SELECT tour, country, city, count(*)::BIGINT AS shows, count(*) FILTER (io = 'inside')::BIGINT AS indoor, count(*) FILTER (io = 'outside')::BIGINT AS outdoor, max(capacity) AS largest,
+VISITS = f"""{SETLISTS}, visits AS (SELECT artist_key || ' / ' || tour AS tour, country, city, count(*)::BIGINT AS shows, count(*) FILTER (io = 'inside')::BIGINT AS indoor, count(*) FILTER (io = 'outside')::BIGINT AS outdoor, max(capacity) AS largest,
   max(capacity) FILTER (io = 'inside') AS largest_indoor, max(capacity) FILTER (io = 'outside') AS largest_outdoor, min(date_iso) AS first_date FROM setlists WHERE trim(coalesce(tour, '')) <> '' GROUP BY 1, 2, 3)"""
 CITIES_ONLY = """cities AS (SELECT country, city, count(*)::BIGINT AS venues, sum(events)::BIGINT AS events, max(capacity) AS ceiling, max(capacity) FILTER (io = 'inside') AS ceiling_indoor, max(capacity) FILTER (io = 'outside') AS ceiling_outdoor,
   arg_min(lat, venue_no) AS lat, arg_min(lon, venue_no) AS lon, (sum(capacity) * 10)::BIGINT AS population FROM venues GROUP BY 1, 2)"""
