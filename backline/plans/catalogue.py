@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import event_queries, report_queries  # noqa: F401
+from . import event_queries, market_queries, report_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
