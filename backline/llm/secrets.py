@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_text, scratch_dir
+from .common import materialise, plain_text, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
     )
+    # Written, so that both sides of the join are exchanged and a blob with many paths can be split.
+    current = materialise(current)
     paths = addressed.drop("text")
     return paths.join(current, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
 
