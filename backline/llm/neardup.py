@@ -269,7 +269,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text), node (class of equal words), class_id, n_links and n_copies of every row.
+    """doc_id, hash (of the text), node (class of equal words), root (its group), class_id, n_links and n_copies of every row.
 
     ``class_id`` is the least id of the texts connected by links, ``n_links`` the number of other texts
     (classes) with similarity of the threshold or more, ``n_copies`` the number of rows of the class.
@@ -304,10 +304,10 @@ def link_classes(documents: DataFrame) -> DataFrame:
     known = classes.select("node", "doc_id", "n_copies").join(group, "node", "left").join(n_links, "node", "left")
     known = materialise(known.select("node", "doc_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")))
     ids = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    known = materialise(known.join(ids, "root").select("node", "class_id", "n_links", "n_copies"))
-    rows = signed.select("doc_id", "hash", "node").join(known, "node", "left")
+    known = materialise(known.join(ids, "root").select("node", "root", "class_id", "n_links", "n_copies"))
+    rows = signed.select("doc_id", "hash", "node").join(known, "node", "left")  # wordless rows have no node
     zero = F.lit(0).cast("bigint")
-    return rows.select("doc_id", "hash", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"))
+    return rows.select("doc_id", "hash", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"))
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
@@ -317,12 +317,10 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group of linked texts, that with the least id; texts without words all stay."""
-    rows = materialise(link_classes(documents).where("node IS NOT NULL").select("doc_id", "hash", "class_id", "node"))
-    best = rows.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("_own"))
-    best = best.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"))
-    text = plain_text()
-    hashed = documents.withColumn("_text_hash", F.xxhash64(text))
-    worded = text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    kept = hashed.where(worded).join(best, hashed["doc_id"].eqNullSafe(F.col("_id")) & (hashed["_text_hash"] == F.col("_hash")), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "_text_hash"]).select(*documents.columns)
-    return kept.union(documents.where(~worded))
+    rows = materialise(link_classes(documents).where("node IS NOT NULL").select("doc_id", "hash", "root"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"))
+    worded = F.col("_text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    rows = documents.select(F.struct(*documents.columns).alias("_doc"), F.col("doc_id").alias("_d"), plain_text().alias("_text")).withColumn("_t", F.xxhash64("_text"))
+    kept = rows.where(worded).join(best, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash")), "left_semi")
+    kept = kept.select("_doc", "_d", "_t").dropDuplicates(["_d", "_t"])
+    return kept.select("_doc").union(rows.where(~worded).select("_doc")).select("_doc.*")
