@@ -59,7 +59,7 @@ def draw(seed: int = SEED) -> Column:
 
 
 def mix_plan(documents: DataFrame, seed: int = SEED, **targets) -> DataFrame:
-    """``documents`` with size, source_size, target and copies; the text stays untouched.
+    """``documents`` (whose other columns must not bear these names) with size, source_size, target and copies.
 
     One pass sums the sizes by source with map-side combining. The per-source table is written
     and reread, so the planner sees its true size: under the broadcast threshold no document is
@@ -75,9 +75,10 @@ def mix_plan(documents: DataFrame, seed: int = SEED, **targets) -> DataFrame:
 
 
 def mix(documents: DataFrame, seed: int = SEED, **targets) -> DataFrame:
-    """The mixed corpus: every document as often as its number of copies says, with its own columns."""
-    plan = mix_plan(documents, seed, **targets).where("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
+    """The mixed corpus: every document as often as its number of copies says, with its own columns whatever their names."""
+    rows = documents.select("doc_id", "text", "source", F.struct(*documents.columns).alias("doc"))
+    plan = mix_plan(rows, seed, **targets).where("copies > 0")
+    return plan.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
