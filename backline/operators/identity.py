@@ -106,18 +106,72 @@ def flag_counts(aliases: DataFrame, key: str, value: str, least: int, name: str)
     return aliases.groupBy(key).agg(F.countDistinct(value).alias("n")).withColumn(name, (F.col("n") >= least).cast("int"))
 
 
-def dedup_verdict(pairs: DataFrame) -> DataFrame:
-    """merge, review or separate for pairs of similar names, and the rule that decided."""
-    ratio = F.when(F.col("keep_capacity").isNotNull() & F.col("fold_capacity").isNotNull(), F.greatest("keep_capacity", "fold_capacity") / F.nullif(F.least("keep_capacity", "fold_capacity"), F.lit(0)))
-    concurrent = F.coalesce(F.col("overlap") > 0.25, F.lit(False))
-    room = T.is_subroom(F.col("keep_norm")) != T.is_subroom(F.col("fold_norm"))
-    rows = pairs.withColumn("capacity_ratio", F.round(ratio, 2))
-    rule = (
-        F.when(room, "one names a smaller room")
-        .when(F.coalesce(ratio > 3, F.lit(False)), "sizes differ")
-        .when(concurrent, "ran at the same time")
-        .when(F.coalesce(F.col("overlap") < 0, F.lit(False)) & F.coalesce(ratio <= 1.25, F.lit(False)), "one followed the other at the same size")
-        .otherwise("names alone")
+# Vocabularies of the verdict on two similar names.
+SPONSORS = (
+    "o2, ao, men, carling, 3, 3arena, 3olympia, citizens, vodafone, movistar, barclaycard, barclays, santander, utilita, motorpoint, ovo, co op, coop, bonus, first direct, "
+    "m and s, m and s bank, resorts world, mercedes benz, telekom, lanxess, sap, uber, crypto com, chase, t mobile, xfinity, toyota, honda, prudential, capital one, "
+    "rocket mortgage, little caesars, fiserv, delta, footprint, climate pledge, moda, paycom, frost bank, at and t, golden 1, bridgestone, nationwide, keybank, wells fargo, "
+    "cfg bank, amalie, kaseya, amerant, gainbridge, ball, verizon, sprint, enterprise, ppg, smoothie king, target, united center, scotiabank, canadian tire, rogers, bell, "
+    "videotron, place bell, avicii, friends, tele2, hovet, globen, jyske bank, royal, forum, zenith, accor, bercy, paris la defense, adidas, puma, emirates, etihad, eventim, "
+    "mitsubishi electric, wizink, riyadh air, swansea com, principality, cardiff city"
+).split(", ")
+GENERIC_NAMES = (
+    "club, hall, theatre, theater, arena, stadium, stadion, venue, the venue, auditorium, upstairs, downstairs, basement, bar, cafe, centre, center, pavilion, festival, park, "
+    "square, church, cathedral, museum, gallery, studio, studios, tent, big top, main stage, outdoor, indoor, unknown"
+).split(", ")
+DESCRIPTIVE = (
+    "theatre theater centre center coliseum stadium arena hall poppodium concert venue campground convention auditorium playhouse complex the at and of in s zaal sala salle "
+    "teatro teatre halle palais pavilion amphitheater amphitheatre music"
+).split()
+DISTINGUISHERS = (
+    "west east north south upper lower grand main big little old new annex terrassen terrace side bayside front back red blue green black white one two three a b i ii iii"
+).split()
+
+
+def dedup_verdict(pairs: DataFrame, overrides: DataFrame | None = None, concurrent: float = 0.25) -> DataFrame:
+    """verdict and should_merge of pairs of similar names (columns of ``similar_names``); the first rule that holds decides.
+
+    Unknown spans don't count as concurrent. ``overrides`` (one, two, merge, why) settles pairs of names in either order.
+    """
+    words = F.array_union(F.array_except(F.split("keep_norm", " "), F.split("fold_norm", " ")), F.array_except(F.split("fold_norm", " "), F.split("keep_norm", " ")))
+    known = F.col("keep_capacity").isNotNull() & F.col("fold_capacity").isNotNull()
+    ratio = F.when(known, F.greatest("keep_capacity", "fold_capacity") / F.nullif(F.least("keep_capacity", "fold_capacity"), F.lit(0)))
+    rows = pairs.withColumn("differing", F.array_sort(words)).withColumn("capacity_ratio", F.round(ratio, 2))
+    some = F.size("differing") > 0
+    among = lambda values: F.exists("differing", lambda w: w.isin(values))
+    city = F.split(F.lower("city"), " ")
+    together = F.coalesce(F.col("overlap") > concurrent, F.lit(False))
+    room = among(T.SUBROOM_MARKERS)
+    verdict = (
+        F.when(F.col("keep_norm").isin(GENERIC_NAMES) | F.col("fold_norm").isin(GENERIC_NAMES), "separate: a name too generic for a building")
+        .when(among(DISTINGUISHERS), "separate: a word tells one room or site from others")
+        .when(F.exists("differing", lambda w: w.rlike(r"^\d+$")), "separate: a number names a second room")
+        .when(room & together, "separate: a smaller room, in use at the same time")
+        .when(together & F.coalesce(ratio >= 2.0, F.lit(False)), "separate: in use at the same time, one half the size")
+        .when(together, "separate: both names in use at once")
+        .when(room, "separate: a smaller room in the venue")
+        .when(some & F.forall("differing", lambda w: w.isin(SPONSORS)), "merge: a new sponsor, spans apart")
+        .when(some & F.forall("differing", lambda w: w.isin(DESCRIPTIVE + SPONSORS) | F.array_contains(city, w)), "merge: descriptive words only")
+        .when(F.coalesce(ratio < 1.5, F.lit(False)), "merge: spans apart, capacities agree")
+        .when(~known, "review: spans apart, capacity unknown")
+        .otherwise("review: unclear")
     )
-    rows = rows.withColumn("rule", rule)
-    return rows.withColumn("verdict", F.when(F.col("rule").startswith("one followed"), "merge").when(F.col("rule") == "names alone", "review").otherwise("separate"))
+    rows = rows.withColumn("verdict", verdict)
+    if overrides is not None:
+        o = overrides.select("one", "two", "merge", "why")
+        both = o.union(o.select("two", "one", "merge", "why")).select(F.col("one").alias("keep_norm"), F.col("two").alias("fold_norm"), F.concat(F.when(F.col("merge"), "merge: by hand, ").otherwise("separate: by hand, "), "why").alias("_hand")).dropDuplicates(["keep_norm", "fold_norm"])
+        rows = rows.join(both, ["keep_norm", "fold_norm"], "left").withColumn("verdict", F.coalesce("_hand", "verdict")).drop("_hand")
+    return rows.withColumn("should_merge", F.col("verdict").startswith("merge"))
+
+
+def resolve_chains(edges: DataFrame, rank: str = "trust") -> DataFrame:
+    """(alias, survivor) for edges alias to canonical (bigint nodes): over all edges a component's survivor is its most trusted canonical, then the least.
+
+    Former canonicals get rows of their own, so no alias points at an alias.
+    """
+    parts = connected_components(edges, "alias", "canonical")
+    names = edges.groupBy(F.col("canonical").alias("node")).agg(F.min(rank).alias("_rank"))
+    folded = edges.select(F.col("alias").alias("node")).distinct().withColumn("_folded", F.lit(1))
+    scored = parts.join(names, "node", "left").join(folded, "node", "left")
+    best = scored.groupBy("component").agg(F.min(F.struct(F.coalesce("_rank", F.lit(99)).alias("r"), F.coalesce("_folded", F.lit(0)).alias("f"), "node")).alias("b"))
+    return scored.join(best, "component").where(F.col("node") != F.col("b.node")).select(F.col("node").alias("alias"), F.col("b.node").alias("survivor"))

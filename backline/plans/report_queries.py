@@ -208,7 +208,7 @@ def name_pairs(d: Domain) -> DataFrame:
 
 @query("dedup_verdict")
 def dedup_verdict(d: Domain) -> DataFrame:
-    return I.dedup_verdict(I.similar_names(_sites(d))).select("keep_venue_no", "fold_venue_no", "capacity_ratio", "overlap", "verdict", "rule")
+    return I.dedup_verdict(I.similar_names(_sites(d))).select("keep_venue_no", "fold_venue_no", "capacity_ratio", "overlap", "verdict", "should_merge")
 
 
 _NEAR = f"""{PLACES}, sp AS (SELECT venue_no, (site % 25)::VARCHAR AS country, lat, lon FROM places), mid AS (SELECT country, avg(lat) AS mid FROM sp GROUP BY 1), xy AS (SELECT venue_no, country, lon * 6371000.0::DOUBLE * pi() / 180 * cos(radians(mid)) AS x, lat * 6371000.0::DOUBLE * pi() / 180 AS y FROM sp JOIN mid USING (country)),
@@ -240,6 +240,12 @@ def merge_survivors(d: Domain) -> DataFrame:
     return I.survivors(c, c.select("node", ((F.col("node") * 7919) % 101).alias("weight")))
 
 
+@query("resolve_chains", f"WITH RECURSIVE {_EDGES}, e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0), r AS (SELECT u AS node, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON r.node = e.u), k AS (SELECT node, min(c) AS component FROM r GROUP BY 1), s AS (SELECT k.*, coalesce(min(u % 5), 99) AS rank, (EXISTS (SELECT 1 FROM e0 f WHERE f.u = k.node))::INT AS folded FROM k LEFT JOIN e0 ON v = node GROUP BY node, component), b AS (SELECT component, first(node ORDER BY rank, folded, node) AS survivor FROM s GROUP BY 1) SELECT node AS alias, survivor FROM k JOIN b USING (component) WHERE node <> survivor")
+def resolve_chains(d: Domain) -> DataFrame:
+    edges = d.raw("supplier").where("s_suppkey % 7 < 4").select(F.col("s_suppkey").alias("alias"), (F.col("s_suppkey") + 3).alias("canonical"), (F.col("s_suppkey") % 5).alias("trust"))
+    return I.resolve_chains(edges)
+
+
 @query("rename_grade", f"WITH {VENUES} SELECT venue_no, CASE WHEN (events % 5) = 0 THEN 'low' WHEN (capacity % 50) <= 25 AND 1 + (venue_no % 10)::DOUBLE / 20 <= 1.25 AND (events % 5) * 120 <= 400 THEN 'high' WHEN (capacity % 50) <= 25 AND (1 + (venue_no % 10)::DOUBLE / 20 <= 1.25 OR (events % 5) * 120 <= 400) THEN 'medium' ELSE 'low' END AS grade FROM venues")
 def rename_grade(d: Domain) -> DataFrame:
     return d.venues().select("venue_no", S.rename_grade(F.col("capacity") % 50, 1 + (F.col("venue_no") % 10) / 20, (F.col("events") % 5) * 120).alias("grade"))
