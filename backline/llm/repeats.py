@@ -35,7 +35,7 @@ from .common import _BASE, materialise, mixed, plain_text, text_slices, window_m
 
 LEAST, GRAM, STRETCH, HOT = 100, 32, 256, 4096
 #: Rows that are collapsed together before the shuffle, and bytes that are transformed together.
-CHUNK_ROWS, CHUNK_BYTES = 1000, 1 << 20
+CHUNK_ROWS, CHUNK_BYTES = 1000, 1 << 18
 #: A place packs 24 bits of text hash, 30 of start and 9 of length, so places order by text and start.
 _HASH, _START, _LENGTH = 39, 9, 511
 _LAST = (1 << 63) - 1
