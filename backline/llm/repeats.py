@@ -365,6 +365,8 @@ def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     found = materialise(found)
     wanted = found.where("key IS NOT NULL")
     crowd = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
+    # Written, so that the planner knows its true size and a key with many stretches can be split.
+    crowd = materialise(crowd)
     wanted = wanted.join(crowd, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = wanted.groupBy("doc", _place_hash("place")).agg(F.collect_list(F.struct("key", "place", "hot")).alias("wanted"))
     fetched = rows.select("doc", "hash", F.col("text").cast("binary").alias("text"), "doc_id").join(wanted, ["doc", "hash"]).select("doc", "text", "wanted")
