@@ -175,3 +175,23 @@ def resolve_chains(edges: DataFrame, rank: str = "trust") -> DataFrame:
     scored = parts.join(names, "node", "left").join(folded, "node", "left")
     best = scored.groupBy("component").agg(F.min(F.struct(F.coalesce("_rank", F.lit(99)).alias("r"), F.coalesce("_folded", F.lit(0)).alias("f"), "node")).alias("b"))
     return scored.join(best, "component").where(F.col("node") != F.col("b.node")).select(F.col("node").alias("alias"), F.col("b.node").alias("survivor"))
+
+
+def enrichment_score(name_exact: Column, ratio: Column, city_ok: Column, km: Column, country_ok: Column, most_km: float = 25.0, least: float = 88.0) -> Column:
+    """High, Medium, Low or null for a candidate from name, place and country; unknown distances don't agree."""
+    place = F.coalesce(city_ok, F.lit(False)) | F.coalesce(km <= most_km, F.lit(False))
+    near = F.coalesce(ratio >= least, F.lit(False))
+    return F.when(name_exact & place, "High").when(name_exact & F.coalesce(country_ok, F.lit(False)), "Medium").when(near & ~name_exact & place, "Medium").when(name_exact | near, "Low")
+
+
+def best_candidates(scored: DataFrame, target: str, confidence: str, *order) -> DataFrame:
+    """The most confident candidate of each target, then the first by ``order``."""
+    rank = F.when(F.col(confidence) == "High", 0).when(F.col(confidence) == "Medium", 1).when(F.col(confidence) == "Low", 2)
+    return first_by_trust(scored.where(F.col(confidence).isNotNull()), [target], rank, *order)
+
+
+def blank_country_splits(venues: DataFrame, name: str, city: str, code: str) -> DataFrame:
+    """Names and cities found both without and with a country code; null cities are a group too."""
+    blank = ~S.not_blank(F.col(code))
+    rows = venues.groupBy(name, city).agg(F.count_if(blank).alias("blank"), F.countDistinct(F.when(~blank, F.col(code))).alias("codes"), F.min(F.when(~blank, F.col(code))).alias("code"))
+    return rows.where("blank > 0 AND codes > 0")

@@ -157,3 +157,39 @@ def market_case(rows: DataFrame, least_blocked: int = 8, least_kept: float = 0.3
     case = F.when(~F.col("assessable") | (skipped <= 0), "unknown").when(F.coalesce(F.col("kept") < least_kept, F.lit(False)), "satellite").when(build, "build").when(gap > 0, "too few").otherwise("no case")
     rows = rows.withColumn("case", case).withColumn("seats", F.when(F.col("case") == "build", F.col("suggested") - F.coalesce("indoor_ceiling", F.lit(0))))
     return rows.withColumn("blocked_share", F.round(F.try_divide(gap, skipped), 3))
+
+
+def performance_verdict(actual: Column, expected: Column) -> Column:
+    """Actual over expected visits in words."""
+    r = F.try_divide(actual.cast("double"), F.nullif(F.greatest(expected, F.lit(0.0)), F.lit(0.0)))
+    return F.when(r >= 1.5, "far more than expected").when(r >= 1.15, "more than expected").when(r <= 0.67, "far fewer than expected").when(r <= 0.87, "fewer than expected").otherwise("about as expected")
+
+
+def can_host(need: Column, capacity: Column, plays: Column, io: Column) -> Column:
+    """Whether a room suits an act: its kind, then its size; a room under a third of the need is far too small."""
+    kind = (plays == "either") | ((plays == "indoor") & F.coalesce(io == "inside", F.lit(False))) | ((plays == "outdoor") & F.coalesce(io == "outside", F.lit(False)))
+    return F.when(need.isNull(), "size unknown").when(~kind, "wrong kind of room").when(need / 3 > capacity, "far too small for the act").when(need > capacity, "too big for this room").otherwise("fits")
+
+
+def screen(markets: DataFrame, tested: DataFrame, least_indoor: int = 10, least_people: int = 250_000) -> DataFrame:
+    """All markets at once: skipping and blocked tours, whether the market can be judged, and its rank in the country by blocked shows.
+
+    ``tested`` has a verdict for each (country, city, tour); a market can be judged with enough indoor shows and people.
+    """
+    gap = F.col("verdict").startswith("capacity gap")
+    t = tested.groupBy("country", "city").agg(F.count(F.lit(1)).alias("skipped_tours"), F.count_if(gap).alias("gap_tours"), F.coalesce(F.sum(F.when(gap, F.col("shows"))), F.lit(0)).alias("gap_dates"))
+    rows = markets.join(t, ["country", "city"], "left").fillna(0, ["skipped_tours", "gap_tours", "gap_dates"])
+    rows = rows.withColumn("assessable", F.coalesce((F.col("indoor_events") >= least_indoor) & (F.col("population") >= least_people), F.lit(False)).cast("int"))
+    most = F.max("skipped_tours").over(Window.partitionBy("country"))
+    rows = rows.withColumn("gap_per_1k", F.bround(F.try_divide(F.col("gap_dates"), F.nullif(most, F.lit(0))) * 1000))
+    return rows.withColumn("rank_in_country", F.rank().over(Window.partitionBy("country").orderBy(F.desc("gap_dates"))))
+
+
+def skipped_everywhere(visits: DataFrame) -> DataFrame:
+    """(country, city, tour) for every city of a country and tour of the country that left it out, with the tour's figures elsewhere in the country."""
+    tours = visits.groupBy("country", "tour").agg(
+        F.sum("shows").alias("shows"), F.sum("indoor").alias("indoor"), F.sum("outdoor").alias("outdoor"),
+        F.percentile("largest", F.lit(0.5)).alias("typical_room"), F.percentile("largest_indoor", F.lit(0.5)).alias("typical_indoor"), F.percentile("largest_outdoor", F.lit(0.5)).alias("typical_outdoor"),
+    )
+    rows = visits.select("country", "city").distinct().join(tours, "country").join(visits.select("country", "city", "tour"), ["country", "city", "tour"], "left_anti")
+    return rows.withColumn("plays", F.when(F.col("indoor") > F.col("outdoor"), "indoor").when(F.col("outdoor") > F.col("indoor"), "outdoor").otherwise("either"))

@@ -181,3 +181,17 @@ def balanced_panel(visits: DataFrame, unit: str, time: str, value: str) -> DataF
     grid = visits.select(unit).distinct().crossJoin(F.broadcast(visits.select(time).distinct()))
     sums = visits.groupBy(unit, time).agg(F.sum(value).alias(value))
     return grid.join(sums, [unit, time], "left").fillna(0, [value])
+
+
+def gross_curve(capacity: Column, points: Column, slope: float, intercept: float, sigma: float) -> list[Column]:
+    """Median and quartiles of a show's gross in a room, moved by its sell-through residual in percentage points against 80 %."""
+    base = F.exp(F.lit(intercept) + F.lit(slope) * F.log(F.greatest(capacity, F.lit(1)).cast("double")))
+    median = base * F.greatest(1 + points / 80.0, F.lit(0.1))
+    return [median.alias("median"), (median * float(np.exp(-0.6745 * sigma))).alias("p25"), (median * float(np.exp(0.6745 * sigma))).alias("p75")]
+
+
+def split_half(rows: DataFrame, unit: str, value: str, order: list[str], least: int = 2) -> DataFrame:
+    """One row: correlation between units' means over their odd and even rows, and the number of units with ``least`` rows in each half."""
+    nth = F.row_number().over(Window.partitionBy(unit).orderBy(*order)) - 1
+    half = rows.withColumn("_h", nth % 2).groupBy(unit).agg(F.avg(F.when(F.col("_h") == 0, F.col(value))).alias("a"), F.avg(F.when(F.col("_h") == 1, F.col(value))).alias("b"), F.count(F.lit(1)).alias("n"))
+    return half.where(F.col("n") >= 2 * least).agg(F.count(F.lit(1)).alias("units"), F.corr("a", "b").alias("reliability"))

@@ -22,6 +22,12 @@ def km(a, b, c, e):
     return _KM.format(a, b, c, e)
 
 
+def _rounded(name: str, places: int):
+    """Rounded, without negative zeros."""
+    x = F.round(name, places)
+    return F.when(x == 0, F.lit(0.0)).otherwise(x).alias(name)
+
+
 def _towns(d: Domain) -> DataFrame:
     """Each supplier a town of its site's country."""
     return d.venues().withColumn("country", (F.col("site") % 25).cast("string")).withColumn("city", F.col("venue")).withColumn("venues", F.lit(1).cast("bigint"))
@@ -93,7 +99,7 @@ tested AS (SELECT *, CASE WHEN needs IS NULL THEN 'unknown' WHEN ceil IS NULL TH
 
 
 def _tested(d: Domain) -> DataFrame:
-    here = M.ceilings(d.venues().where("country = 'ASIA' AND city = 'NATION_2'"), ["country", "city"]).drop("country", "city")
+    here = M.ceilings(d.venues().where("country = 'ASIA' AND city = 'NATION_2'"), [])
     return M.capacity_test(R.skipped_tours(d.visits(), "ASIA", "NATION_2"), here)
 
 
@@ -193,16 +199,16 @@ def _changed(best: str) -> str:
     return _prob("des", f"CASE WHEN {t} THEN ln(greatest({best}, 100)::DOUBLE) ELSE log_room END", f"CASE WHEN {t} THEN ({best} >= room_needed)::INT::DOUBLE ELSE big_enough END", f"CASE WHEN {t} THEN abs(ln(greatest({best}, 50)::DOUBLE) - ln(greatest(room_needed, 50)::DOUBLE)) ELSE fit_gap END")
 
 
-@query("whatif_impact", f"WITH {_OCC}, b AS (SELECT country, city, sum(p) AS before FROM {_prob('des')} GROUP BY 1, 2), a AS (SELECT country, city, sum(p) AS after FROM {_changed('greatest(ceiling, 60000)')} GROUP BY 1, 2) SELECT country, city, round(before, 4) AS before, round(after, 4) AS after, round(after - before, 4) AS gain FROM b JOIN a USING (country, city)")
+@query("whatif_impact", f"WITH {_OCC}, b AS (SELECT country, city, sum(p) AS before FROM {_prob('des')} GROUP BY 1, 2), a AS (SELECT country, city, sum(p) AS after FROM {_changed('greatest(ceiling, 60000)')} GROUP BY 1, 2) SELECT country, city, round(before, 4) AS before, round(after, 4) AS after, CASE WHEN round(after - before, 4) = 0 THEN 0 ELSE round(after - before, 4) END AS gain FROM b JOIN a USING (country, city)")
 def whatif_impact(d: Domain) -> DataFrame:
     rows = C.impact(C.design(_rows(d)), BETA, F.col("city") == "NATION_2", 60000, ["country", "city"])
-    return rows.select("country", "city", *[F.round(c, 4).alias(c) for c in ("before", "after", "gain")])
+    return rows.select("country", "city", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), _rounded("gain", 4))
 
 
-@query("capacity_sweep", f"WITH {_OCC}, s AS (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, sum(p) AS expected FROM {_changed(f'greatest(ceiling, {n})')} WHERE city = 'NATION_2'" for n in (2000, 20000, 60000)) + ") SELECT size, round(expected, 4) AS expected, round(expected - lag(expected) OVER (ORDER BY size), 4) AS step FROM s")
+@query("capacity_sweep", f"WITH {_OCC}, s AS (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, sum(p) AS expected FROM {_changed(f'greatest(ceiling, {n})')} WHERE city = 'NATION_2'" for n in (2000, 20000, 60000)) + ") SELECT size, round(expected, 4) AS expected, CASE WHEN round(expected - lag(expected) OVER (ORDER BY size), 4) = 0 THEN 0 ELSE round(expected - lag(expected) OVER (ORDER BY size), 4) END AS step FROM s WHERE expected IS NOT NULL")
 def capacity_sweep(d: Domain) -> DataFrame:
     rows = C.sweep(C.design(_rows(d)), BETA, F.col("city") == "NATION_2", [2000, 20000, 60000])
-    return rows.select("size", F.round("expected", 4).alias("expected"), F.round("step", 4).alias("step"))
+    return rows.select("size", F.round("expected", 4).alias("expected"), _rounded("step", 4))
 
 
 @query("venue_pull", f"WITH {_OCC}, sec AS (SELECT country, city, capacity AS second FROM (SELECT *, row_number() OVER (PARTITION BY country, city ORDER BY capacity DESC, venue_no) AS r FROM venues) WHERE r = 2), b AS (SELECT country, city, sum(p) AS before FROM {_prob('des')} GROUP BY 1, 2), a AS (SELECT country, city, sum(p) AS after FROM {_changed("coalesce((SELECT second FROM sec WHERE city = 'NATION_2'), 0)")} GROUP BY 1, 2) SELECT country, city, round(before, 4) AS before, round(after, 4) AS after FROM b JOIN a USING (country, city)")
@@ -216,10 +222,10 @@ def venue_pull(d: Domain) -> DataFrame:
     return before.join(after, by)
 
 
-@query("utility_decomposition", f"WITH {_OCC} SELECT country, " + ", ".join(f"round((avg({n}) FILTER (chosen = 1) - avg({n})) * ({b})::DOUBLE, 6) AS {n}" for n, b in zip(C.NAMES, BETA, strict=True)) + " FROM des GROUP BY 1")
+@query("utility_decomposition", f"WITH {_OCC} SELECT country, " + ", ".join(f"CASE WHEN round((avg({n}) FILTER (chosen = 1) - avg({n})) * ({b})::DOUBLE, 6) = 0 THEN 0 ELSE round((avg({n}) FILTER (chosen = 1) - avg({n})) * ({b})::DOUBLE, 6) END AS {n}" for n, b in zip(C.NAMES, BETA, strict=True)) + " FROM des GROUP BY 1")
 def decomposition(d: Domain) -> DataFrame:
     rows = C.decompose(C.design(_rows(d)), BETA, ["country"])
-    return rows.select("country", *[F.round(n, 6).alias(n) for n in C.NAMES])
+    return rows.select("country", *[_rounded(n, 6) for n in C.NAMES])
 
 
 @query("logit_fit")
