@@ -102,4 +102,15 @@ t AS (SELECT d.*, g.source_size, g.target, coalesce(g.target / nullif(g.source_s
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM t
 """
 
-SQL: dict[str, str] = {"op4_secret_scan": _op4_sql(), "op5_mix_sources": _OP5_SQL}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP8_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[j:j + least(10, len(w)) - 1], ' ') AS s FROM i, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(j) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win), dw AS (SELECT rid, n, j, array_to_string(w[j:j + n - 1], ' ') AS s FROM d, lens, unnest(range(1, len(w) - n + 2)) t(j)),
+hit AS MATERIALIZED (SELECT DISTINCT rid, dw.n, j, item_id FROM dw JOIN win ON dw.n = win.n AND dw.s = win.s),
+cov AS (SELECT rid, count(DISTINCT k)::BIGINT AS n_hit FROM (SELECT DISTINCT rid, n, j FROM hit) h, unnest(range(j, j + n)) u(k) GROUP BY 1),
+it AS (SELECT rid, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (rid) LEFT JOIN it USING (rid)
+"""
+
+SQL: dict[str, str] = {"op4_secret_scan": _op4_sql(), "op5_mix_sources": _OP5_SQL, "op8_decontamination": _OP8_SQL}
