@@ -6,6 +6,10 @@ pruning drops a candidate if a chosen neighbour is closer to it by the factor ``
 node is, which keeps edges in diverse directions, and each edge is offered back. Queries
 go to every shard in blocks of ``QUERY_BLOCK`` by beam search, and the shards' answers are merged.
 
+In clustered vectors pruning leaves no edges between clusters, so a search has many entries: it starts from the nearest of a
+random ``ENTRIES`` nodes. Of the finished graph every node is searched for, and one that its own search misses becomes an
+entry too, so no piece of the graph is out of reach.
+
 Largest inner product becomes nearest neighbour by one more coordinate that gives all vectors
 the largest norm. Reported scores are inner products of the original vectors in double precision.
 Vectors that are null, zero, or hold null or non-finite components, rows without an id, and vectors
@@ -23,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SHARD_ROWS, QUERY_BLOCK, TOP, EVERY = 12_000, 8192, 20, 20
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, EXPAND = 32, 64, 128, 1.2, 512, 4
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, EXPAND, ENTRIES = 32, 64, 128, 1.2, 512, 4, 1024
 
 
-def beam_search(vectors: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of the ``beam`` nearest found, for all queries in lockstep; -1 and inf beyond."""
     m, n = len(queries), len(vectors)
     norms = (vectors**2).sum(1)
@@ -34,9 +38,13 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, entry: int, queries: np.
     far = np.full((m, beam), np.inf, np.float32)
     done = np.ones((m, beam), bool)
     seen = np.zeros((m, n + 1), bool)
-    nodes[:, 0], far[:, 0], done[:, 0] = entry, norms[entry] - 2 * queries @ vectors[entry], False
-    seen[:, [entry, n]] = True
     row = np.arange(m)[:, None]
+    k = min(beam, len(entries))
+    away = norms[entries] - 2 * queries @ vectors[entries].T
+    nearest = np.argpartition(away, k - 1, axis=1)[:, :k]
+    nodes[:, :k], far[:, :k], done[:, :k] = entries[nearest], away[row, nearest], False
+    seen[:, entries] = True
+    seen[:, n] = True
     while True:
         waiting = np.where(done, np.inf, far)
         live = np.flatnonzero(np.isfinite(waiting).any(1))
@@ -92,14 +100,13 @@ def robust_prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray
     return out
 
 
-def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, int]:
-    """Edges (node, ``DEGREE``) with -1 for none, and the entry node."""
+def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, ``DEGREE``) with -1 for none, and the entry nodes."""
     n = len(vectors)
     edges = np.full((n + 1, DEGREE), -1, np.int64)
     order = np.random.default_rng(11).permutation(n)
-    first = min(n, BATCH)
-    centre = vectors.mean(0)
-    entry = int(order[:first][((vectors[order[:first]] - centre) ** 2).sum(1).argmin()])
+    # All of the first batch are candidates of each other.
+    first = min(n, BUILD_BEAM)
     placed = 0
     while placed < n:
         size = first if not placed else min(BATCH, placed, n - placed)
@@ -109,7 +116,7 @@ def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, int]:
         np.fill_diagonal(inner, np.inf)
         k = min(BUILD_BEAM // 2 if placed else BUILD_BEAM, max(size - 1, 1))
         mates = batch[np.argpartition(inner, k - 1, axis=1)[:, :k]] if size > 1 else np.full((size, 1), -1)
-        proposed = mates if not placed else np.concatenate([beam_search(vectors, edges, entry, v, BUILD_BEAM)[0], mates], 1)
+        proposed = mates if not placed else np.concatenate([beam_search(vectors, edges, order[: min(placed, ENTRIES)], v, BUILD_BEAM)[0], mates], 1)
         edges[batch] = robust_prune(vectors, batch, proposed)
         source = np.repeat(batch, DEGREE)
         target = edges[batch].ravel()
@@ -130,7 +137,13 @@ def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, int]:
             if full.any():
                 edges[part[full]] = robust_prune(vectors, part[full], offered[full][:, :width])
         placed += size
-    return edges[:n], entry
+    entries = order[: min(n, ENTRIES)]
+    missed = []
+    for lo in range(0, n, BATCH):
+        batch = np.arange(lo, min(lo + BATCH, n))
+        found = beam_search(vectors, edges, entries, vectors[batch], BUILD_BEAM)[0]
+        missed.append(batch[(found != batch[:, None]).all(1)])
+    return edges[:n], np.concatenate([entries, *missed])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -143,9 +156,9 @@ def _build(top_norm: float):
         table = table.sort_by("node")
         v = _matrix(table["vector"])
         more = np.sqrt(np.maximum(top_norm**2 - (v**2).sum(1), 0))
-        edges, entry = build_graph(np.concatenate([v, more[:, None]], 1).astype(np.float32))
+        edges, entries = build_graph(np.concatenate([v, more[:, None]], 1).astype(np.float32))
         start = np.zeros(len(v), bool)
-        start[entry] = True
+        start[entries] = True
         return pa.table({"shard": table["shard"], "node": table["node"], "vector": table["vector"], "edges": pa.array(list(edges), pa.list_(pa.int64())), "entry": start})
 
     return build
@@ -162,10 +175,10 @@ def _search(top: int, beam: int, top_norm: float):
             wide = np.concatenate([v, more[:, None]], 1).astype(np.float32)
             edges = np.asarray(graph["edges"].combine_chunks().flatten()).reshape(len(v), DEGREE)
             edges = np.concatenate([edges, np.full((1, DEGREE), -1, np.int64)])
-            entry = int(np.flatnonzero(graph["entry"].to_numpy())[0])
+            entries = np.flatnonzero(graph["entry"].to_numpy())
             for at in range(0, len(q), BATCH):
                 part = np.concatenate([q[at : at + BATCH], np.zeros((len(q[at : at + BATCH]), 1))], 1).astype(np.float32)
-                found, _ = beam_search(wide, edges, entry, part, beam)
+                found, _ = beam_search(wide, edges, entries, part, beam)
                 for i, row in enumerate(found):
                     row = row[row >= 0]
                     score = (v[row] * q[at + i]).sum(1)
