@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BASE, materialise, mixed, plain_text, text_slices, window_minima
@@ -36,8 +36,8 @@ from .common import _BASE, materialise, mixed, plain_text, text_slices, window_m
 LEAST, GRAM, STRETCH, HOT = 100, 32, 256, 4096
 #: Rows that are collapsed together before the shuffle, and bytes that are transformed together.
 CHUNK_ROWS, CHUNK_BYTES = 1000, 1 << 18
-#: A place packs 24 bits of text hash, 30 of start and 9 of length, so places order by text and start.
-_HASH, _START, _LENGTH = 39, 9, 511
+#: A place packs 30 bits of start and 9 of length, so places order by start. The text is named by id and 64-bit hash.
+_START, _LENGTH = 9, 511
 _LAST = (1 << 63) - 1
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -97,11 +97,11 @@ def stretches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text, start - off[text], windows, np.stack([key[start], content])
 
 
-def _packed(hash24, start, length):
-    return (hash24.astype(np.int64) << _HASH) | (start.astype(np.int64) << _START) | length.astype(np.int64)
+def _packed(start, length):
+    return (start.astype(np.int64) << _START) | length.astype(np.int64)
 
 
-_DEALT = ["key", "content", "doc", "place"]
+_DEALT = ["key", "content", "doc", "hash", "place"]
 
 
 def _rows(columns, names) -> pa.RecordBatch:
@@ -109,21 +109,21 @@ def _rows(columns, names) -> pa.RecordBatch:
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text hash, text) to stretches (key, content, doc, place), and to removed places (content null, key for dealing only)."""
+    """(doc, text hash, text) to stretches (key, content, doc, hash, place), and to removed places (content null, key for dealing only)."""
 
     def collapsed(found):
-        key, content, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((place, doc, content, key))
-        key, content, doc, place = key[order], content[order], doc[order], place[order]
+        key, content, doc, text, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, text, doc, content, key))
+        key, content, doc, text, place = key[order], content[order], doc[order], text[order], place[order]
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
         twice = np.zeros(len(key), bool)
-        twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-        yield _rows([key[~same].view(np.int64), content[~same].view(np.int64), doc[~same], place[~same]], _DEALT)
+        twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (place[1:] == place[:-1])
+        yield _rows([key[~same].view(np.int64), content[~same].view(np.int64), doc[~same], text[~same], place[~same]], _DEALT)
         gone = same & ~twice
         if gone.any():
             spread = mixed(doc[gone].view(np.uint64) + np.uint64(1))
-            yield _rows([spread.view(np.int64), pa.nulls(int(gone.sum()), pa.int64()), doc[gone], place[gone]], _DEALT)
+            yield _rows([spread.view(np.int64), pa.nulls(int(gone.sum()), pa.int64()), doc[gone], text[gone], place[gone]], _DEALT)
 
     found, rows = [], 0
     for batch in batches:
@@ -131,7 +131,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to, raw, off in text_slices(batch, 2):
             text, start, windows, both = stretches(raw, off)
             if len(text):
-                found.append((both[0], both[1], doc[at:to][text], _packed(hashes[at:to][text], start, windows + LEAST - 1)))
+                found.append((both[0], both[1], doc[at:to][text], hashes[at:to][text], _packed(start, windows + LEAST - 1)))
             rows += to - at
             if rows >= CHUNK_ROWS and found:
                 yield from collapsed(found)
@@ -140,36 +140,36 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from collapsed(found)
 
 
-_FOUND = ["key", "doc", "place"]
+_FOUND = ["key", "doc", "hash", "place"]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by (key, content, doc, place) to removed places (key null) and to the first of each content of a key with several."""
-    last = None  # key, content, doc, place, and whether the key has shown several contents
+    """Stretches sorted by (key, content, doc, hash, place) to removed places (key null) and to the first of each content of a key with several."""
+    last = None  # key, content, doc, hash, place, and whether the key has shown several contents
     for batch in batches:
-        key, doc, place = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        key, doc, text, place = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
         live = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
         if not live.all():
-            yield _rows([pa.nulls(int((~live).sum()), pa.int64()), doc[~live], place[~live]], _FOUND)
-            key, doc, place = key[live], doc[live], place[live]
+            yield _rows([pa.nulls(int((~live).sum()), pa.int64()), doc[~live], text[~live], place[~live]], _FOUND)
+            key, doc, text, place = key[live], doc[live], text[live], place[live]
         if not len(key):
             continue
         content = batch.column(1).filter(pa.array(live)).to_numpy(zero_copy_only=False).astype(np.int64)
         carried = last is not None
         if carried:
-            key, content, doc, place = (np.concatenate(([x], y)) for x, y in zip(last[:4], (key, content, doc, place), strict=True))
+            key, content, doc, text, place = (np.concatenate(([x], y)) for x, y in zip(last[:5], (key, content, doc, text, place), strict=True))
         new_key = np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
         new = new_key.copy()
         new[1:] |= content[1:] != content[:-1]
         heads = np.flatnonzero(new)
         gone = ~new
-        gone[1:] &= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        gone[1:] &= (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
         if gone.any():
-            yield _rows([pa.nulls(int(gone.sum()), pa.int64()), doc[gone], place[gone]], _FOUND)
+            yield _rows([pa.nulls(int(gone.sum()), pa.int64()), doc[gone], text[gone], place[gone]], _FOUND)
         runs = np.cumsum(new_key) - 1
         several = np.bincount(runs, new) > 1
-        first_several = carried and last[4]
+        first_several = carried and last[5]
         if first_several:
             several[0] = True
         take = several[runs[heads]]
@@ -177,40 +177,41 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take[0] = False  # sent before
         at = heads[take]
         if len(at):
-            yield _rows([key[at], doc[at], place[at]], _FOUND)
+            yield _rows([key[at], doc[at], text[at], place[at]], _FOUND)
         # The last content's first row goes on: its key may yet show another content.
         h = heads[-1]
-        last = (key[h], content[h], doc[h], place[h], bool(several[-1]))
+        last = (key[h], content[h], doc[h], text[h], place[h], bool(several[-1]))
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, wanted places, their keys, hot flags) to (key, doc, place, bytes); bytes null: removed."""
-    names = ["key", "doc", "place", "bytes"]
+    """(doc, text hash, text, wanted places, their keys, hot flags) to (key, doc, text hash, place, bytes); bytes null: removed."""
+    names = ["key", "doc", "hash", "place", "bytes"]
     for batch in batches:
-        keys, docs, places, parts, windows = [], [], [], [], {}
-        for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        keys, docs, hashes, places, parts, windows = [], [], [], [], [], {}
+        for doc, own_hash, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             data = memoryview(text.as_buffer()) if len(wanted) else b""
             for w in wanted:
-                start, size = w["place"] >> _START & ((1 << 30) - 1), w["place"] & _LENGTH
+                start, size = w["place"] >> _START, w["place"] & _LENGTH
                 if not w["hot"]:
                     keys.append(w["key"])
                     docs.append(doc)
+                    hashes.append(own_hash)
                     places.append(w["place"])
                     parts.append(bytes(data[start : start + size]))
                     continue
-                base = w["place"] >> _HASH << _HASH
                 for s in range(start, start + size - LEAST + 1):
                     own = bytes(data[s : s + LEAST])
-                    windows.setdefault(own, []).append((doc, base | s << _START | LEAST))
+                    windows.setdefault(own, []).append((doc, own_hash, s << _START | LEAST))
         for own, at in windows.items():
             at.sort()
             key = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
-            for i, (doc, place) in enumerate(at):
+            for i, (doc, own_hash, place) in enumerate(at):
                 keys.append(key)
                 docs.append(doc)
+                hashes.append(own_hash)
                 places.append(place)
                 parts.append(None if i else own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=names)
 
 
 def _transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,13 +277,13 @@ def shared_runs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, place, bytes) sorted by key to removed (doc, place)."""
+    """(key, doc, text hash, place, bytes) sorted by key to removed (doc, text hash, place)."""
 
     def removed(rows):
-        rows = sorted(set(rows), key=lambda r: (r[0], r[1]))
-        sizes = np.array([len(r[2]) + 1 for r in rows])
+        rows = sorted(set(rows), key=lambda r: r[:3])
+        sizes = np.array([len(r[3]) + 1 for r in rows])
         ends = np.cumsum(sizes)
-        symbols = np.frombuffer(b"".join(r[2] + b"\x00" for r in rows), np.uint8).astype(np.uint64) + np.uint64(1)
+        symbols = np.frombuffer(b"".join(r[3] + b"\x00" for r in rows), np.uint8).astype(np.uint64) + np.uint64(1)
         symbols[ends - 1] = 0
         order, run = shared_runs(symbols, LEAST)
         at = np.arange(len(symbols))
@@ -301,22 +302,23 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(gone)))
         doc = np.array([r[0] for r in rows], np.int64)[piece[first]]
-        place = np.array([r[1] for r in rows], np.int64)[piece[first]]
+        text = np.array([r[1] for r in rows], np.int64)[piece[first]]
+        place = np.array([r[2] for r in rows], np.int64)[piece[first]]
         inside = gone[first] - (ends - sizes)[piece[first]]
-        start = (place >> _START & ((1 << 30) - 1)) + inside
-        yield _rows([doc, _packed(place >> _HASH, start, count + LEAST - 1)], ["doc", "place"])
+        start = (place >> _START) + inside
+        yield _rows([doc, text, _packed(start, count + LEAST - 1)], ["doc", "hash", "place"])
 
     held, size, key = [], 0, None
     for batch in batches:
-        for k, doc, place, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for k, doc, text, place, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if data is None:
-                yield _rows([[doc], [place]], ["doc", "place"])
+                yield _rows([[doc], [text], [place]], ["doc", "hash", "place"])
                 continue
             if k != key and size >= CHUNK_BYTES:
                 yield from removed(held)
                 held, size = [], 0
             key = k
-            held.append((doc, place, data))
+            held.append((doc, text, place, data))
             size += len(data)
     if held:
         yield from removed(held)
@@ -334,7 +336,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             kept, at, cut, spans = hashlib.sha256(), 0, 0, 0
             end = -1
-            for start, size in sorted((p >> _START & ((1 << 30) - 1), p & _LENGTH) for p in gone or ()):
+            for start, size in sorted((p >> _START, p & _LENGTH) for p in gone or ()):
                 if start > end:
                     kept.update(data[at:start])
                     spans += 1
@@ -351,29 +353,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(parts, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _place_hash(column: str) -> Column:
-    return F.shiftright(F.col(column), _HASH).alias("hash")
-
-
 def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """op10: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
     text = plain_text()
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), (F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1))).alias("hash"), text.alias("text"), "doc_id")
-    dealt = rows.select("doc", "hash", "text").mapInArrow(_deal, "key bigint, content bigint, doc bigint, place bigint")
-    found = dealt.repartition("key").sortWithinPartitions("key", "content", "doc", "place").mapInArrow(_meet, "key bigint, doc bigint, place bigint")
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"), "doc_id")
+    dealt = rows.select("doc", "hash", "text").mapInArrow(_deal, "key bigint, content bigint, doc bigint, hash bigint, place bigint")
+    found = dealt.repartition("key").sortWithinPartitions("key", "content", "doc", "hash", "place").mapInArrow(_meet, "key bigint, doc bigint, hash bigint, place bigint")
     found = materialise(found)
     wanted = found.where("key IS NOT NULL")
     crowd = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
     # Written, so that the planner knows its true size and a key with many stretches can be split.
     crowd = materialise(crowd)
     wanted = wanted.join(crowd, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = wanted.groupBy("doc", _place_hash("place")).agg(F.collect_list(F.struct("key", "place", "hot")).alias("wanted"))
-    fetched = rows.select("doc", "hash", F.col("text").cast("binary").alias("text"), "doc_id").join(wanted, ["doc", "hash"]).select("doc", "text", "wanted")
-    pieces = fetched.mapInArrow(_fetch, "key bigint, doc bigint, place bigint, bytes binary")
-    expanded = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_expand, "doc bigint, place bigint")
-    gone = found.where("key IS NULL").select("doc", "place").union(expanded)
-    gone = gone.groupBy("doc", _place_hash("place")).agg(F.collect_list("place").alias("gone"))
+    wanted = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "place", "hot")).alias("wanted"))
+    fetched = rows.select("doc", "hash", F.col("text").cast("binary").alias("text"), "doc_id").join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "wanted")
+    pieces = fetched.mapInArrow(_fetch, "key bigint, doc bigint, hash bigint, place bigint, bytes binary")
+    expanded = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_expand, "doc bigint, hash bigint, place bigint")
+    gone = found.where("key IS NULL").select("doc", "hash", "place").union(expanded)
+    gone = gone.groupBy("doc", "hash").agg(F.collect_list("place").alias("gone"))
     whole = rows.select("doc", "hash", F.col("text").cast("binary").alias("text"), "doc_id").join(gone, ["doc", "hash"], "left")
     nth = F.row_number().over(Window.partitionBy("doc", "hash").orderBy("hash"))
     return whole.withColumn("nth", nth).select("doc_id", "text", "gone", "nth").mapInArrow(_digest, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -1,9 +1,12 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from backline.llm import ann
+from backline.llm import ann, repeats
 
 
 @pytest.mark.parametrize(("groups", "spread"), [(3, 0.1), (5, 0.3), (3, 0.001)])
@@ -23,3 +26,28 @@ def test_neighbours_in_clusters(spark, groups, spread):
     scores[np.arange(len(scores)), np.arange(0, n, 20)] = -np.inf
     best = np.argsort(-scores, 1)[:, :20]
     assert np.mean([len(found[20 * i] & set(row.tolist())) / 20 for i, row in enumerate(best)]) >= 0.95
+
+
+def test_repeats_of_texts_with_alike_hashes(spark):
+    """Different texts under one id whose hashes share 24 bits, with and without a passage of their own that repeats."""
+    low = F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
+    texts = spark.range(30000).select(F.sha2(F.col("id").cast("string"), 512).alias("text")).withColumn("low", low)
+    alike = texts.groupBy("low").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").collect()
+    assert alike
+    clean = [t for r in alike for t in r.texts]
+    rows = [(None, t) for t in clean] + [(7, t + "!" * 250) for t in (x.upper() for x in clean)]
+    expected = []
+    seen = set()
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        n = max(len(t) - 99, 0)
+        fresh = [t[s : s + 100] not in seen and not seen.add(t[s : s + 100]) for s in range(n)]
+        gone = {p for s in range(n) if not fresh[s] for p in range(s, s + 100)}
+        if i is None:
+            expected.append((len(t), len(gone), hashlib.sha256("".join(c for p, c in enumerate(t) if p not in gone).encode()).hexdigest()))
+    for hot in (repeats.HOT, 1):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot).collect()
+        assert len(got) == len(rows)
+        assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in got if r.doc_id is None) == sorted(expected)
+        assert {r.n_removed for r in got if r.doc_id is None} == {0}
+        # Of the run of signs the first text keeps 100 bytes and the others lose all but what precedes it.
+        assert sum(r.n_removed >= 250 for r in got if r.doc_id == 7) >= len(clean) - 1
