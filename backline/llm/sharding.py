@@ -39,6 +39,11 @@ class Shard:
     tier: int
 
 
+def _tail(path: str) -> str:
+    """Folder and file of a shard, which name it whatever the root is called."""
+    return "/".join(path.rsplit("/", 2)[1:])
+
+
 class ShardStore:
     """A folder of shards and manifests in any store that Hadoop reads."""
 
@@ -142,7 +147,7 @@ class ShardStore:
     def vacuum(self, keep: int = 1) -> int:
         """Delete files that none of the last ``keep`` versions names; the number of files deleted."""
         named = {s.path for v in self.versions()[-keep:] for s in self.manifest(v)[1]}
-        tails = {p.split("/data/", 1)[1] for p in named}
+        tails = {_tail(p) for p in named}
         fs, n = self._fs(), 0
         data = self._path(f"{self.root}/data")
         for folder in fs.listStatus(data) if fs.exists(data) else []:
@@ -169,6 +174,6 @@ def shard_documents(documents: DataFrame, root: str | None = None, target_bytes:
     store.vacuum()
     version, shards = store.manifest()
     order = sorted(shards, key=lambda s: (-s.bytes, s.path))
-    names = spark.createDataFrame([(s.path.split("/data/", 1)[1], i, s.rows, s.bytes, s.tier, version) for i, s in enumerate(order)], "_tail string, shard int, shard_rows bigint, shard_bytes bigint, tier int, version int")
-    rows = store.read(documents.schema).select("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "/data/(.*)$", 1).alias("_tail")) if shards else spark.createDataFrame([], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, _tail string")
+    names = spark.createDataFrame([(_tail(s.path), i, s.rows, s.bytes, s.tier, version) for i, s in enumerate(order)], "_tail string, shard int, shard_rows bigint, shard_bytes bigint, tier int, version int")
+    rows = store.read(documents.schema).select("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("_tail")) if shards else spark.createDataFrame([], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, _tail string")
     return store, rows.join(names, "_tail").drop("_tail")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from backline.llm import ann, repeats
+from backline.llm import ann, repeats, sharding
 
 
 @pytest.mark.parametrize(("groups", "spread"), [(3, 0.1), (5, 0.3), (3, 0.001)])
@@ -51,3 +51,10 @@ def test_repeats_of_texts_with_alike_hashes(spark):
         assert {r.n_removed for r in got if r.doc_id is None} == {0}
         # Of the run of signs the first text keeps 100 bytes and the others lose all but what precedes it.
         assert sum(r.n_removed >= 250 for r in got if r.doc_id == 7) >= len(clean) - 1
+
+
+def test_shards_below_a_folder_named_data(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id bigint, text string")
+    store, rows = sharding.shard_documents(docs, str(tmp_path / "data" / "more" / "store"))
+    assert sorted(r.doc_id for r in rows.collect()) == list(range(60))
+    assert store.read(docs.schema).count() == 60 and store.vacuum() == 0
