@@ -1,12 +1,13 @@
 """Inputs on which an operator once did less than the whole job."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from backline.llm import ann, repeats, sharding
+from backline.llm import ann, repeats, sharding, toxicity
 
 
 @pytest.mark.parametrize(("groups", "spread"), [(3, 0.1), (5, 0.3), (3, 0.001)])
@@ -58,3 +59,24 @@ def test_shards_below_a_folder_named_data(spark, tmp_path):
     store, rows = sharding.shard_documents(docs, str(tmp_path / "data" / "more" / "store"))
     assert sorted(r.doc_id for r in rows.collect()) == list(range(60))
     assert store.read(docs.schema).count() == 60 and store.vacuum() == 0
+
+
+def test_fixed_toxic_phrase_of_ordinary_words(spark):
+    """Each word of the phrase stands in ordinary texts too; only their order tells."""
+    r = random.Random(5)
+    phrase = "over the old stone bridge they all went".split()
+    words = [f"w{i}" for i in range(400)] + phrase
+    rows, marks = [], []
+    for i in range(1600):
+        text, toxic = [r.choice(words) for _ in range(80)], int(r.random() < 0.15)
+        if toxic:
+            at = r.randrange(60)
+            text[at:at] = phrase
+        rows.append((i, " ".join(text)))
+        marks.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    held = [x for x in toxicity.toxicity(docs, labels).collect() if x.held_out]
+    for kind in (0, 1):
+        of_kind = [x.predicted == kind for x in held if marks[x.doc_id][1] == kind]
+        assert sum(of_kind) / len(of_kind) > 0.95
