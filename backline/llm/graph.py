@@ -32,4 +32,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

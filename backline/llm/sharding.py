@@ -124,13 +124,10 @@ class ShardStore:
                 tiers.setdefault(s.tier, []).append(s)
         return [t for _, t in sorted(tiers.items()) if len(t) >= self.fanout or len(t) > 1 and sum(s.bytes for s in t) >= self.target]
 
-    def compact(self, schema, most_rounds: int = 8) -> int:
-        """Merge due tiers until none is, one version a round."""
+    def compact(self, schema) -> int:
+        """Merge due tiers until none is, one version a round; each merge leaves fewer shards, so it ends."""
         version, shards = self.manifest()
-        for _ in range(most_rounds):
-            due = self._due(shards)
-            if not due:
-                break
+        while due := self._due(shards):
             gone = {s.path for t in due for s in t}
             shards = [s for s in shards if s.path not in gone]
             for t in due:

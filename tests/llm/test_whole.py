@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from backline.llm import ann, repeats, sharding, toxicity
+from backline.llm import ann, graph, repeats, sharding, toxicity
 
 
 @pytest.mark.parametrize(("groups", "spread"), [(3, 0.1), (5, 0.3), (3, 0.001)])
@@ -80,3 +80,49 @@ def test_fixed_toxic_phrase_of_ordinary_words(spark):
     for kind in (0, 1):
         of_kind = [x.predicted == kind for x in held if marks[x.doc_id][1] == kind]
         assert sum(of_kind) / len(of_kind) > 0.95
+
+
+def test_components_settle_or_fail(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint")
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(i, 0) for i in range(201)}
+    with pytest.raises(RuntimeError):
+        graph.components(edges, most_rounds=2)
+
+
+def test_compaction_goes_on_until_no_tier_is_due():
+    """Each merge fills the next tier, twelve times."""
+
+    class Files:
+        """Stands for the reader: the paths asked for are what is written next."""
+
+        read = property(lambda self: self)
+        schema = coalesce = lambda self, _: self
+
+        def parquet(self, *paths):
+            self.paths = paths
+            return self
+
+    class Store(sharding.ShardStore):
+        def __init__(self):
+            self.spark, self.target, self.fanout = Files(), 1 << 40, 2
+            sizes = [1 << 17] + [1 << (17 + i) for i in range(12)]
+            self.shards = [sharding.Shard(f"s{i}", n, 1, self.tier(n)) for i, n in enumerate(sizes)]
+
+        def manifest(self, version=None):
+            return 0, self.shards
+
+        def commit(self, base, shards, action):
+            self.shards = shards
+            return base + 1
+
+        def _write(self, frame):
+            parts = [s for s in self.kept if s.path in frame.paths]
+            n = sum(s.bytes for s in parts)
+            new = sharding.Shard("+".join(s.path for s in parts), n, sum(s.rows for s in parts), self.tier(n))
+            self.kept.append(new)
+            return [new]
+
+    store = Store()
+    store.kept = list(store.shards)
+    assert store.compact(None) == 12
+    assert [(s.rows, s.bytes) for s in store.shards] == [(13, 1 << 29)]
