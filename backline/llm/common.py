@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes worked on at a time inside one Python task; bounds its memory.
@@ -16,15 +16,18 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name in the store that driver and executors share.
+    """A new folder name in the store that driver and executors share, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names the store; where it is unset (tests, a single
-    machine) a temporary folder is set once for the session.
+    Where it is unset, a session on a single machine (master local) gets a temporary folder; on a cluster, whose
+    executors would write to disks of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -45,6 +48,17 @@ def plain_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns c0, c1, ..., for steps that names with dots break, and what gives a frame the names back."""
+    plain = df.select(*[c.alias(f"c{i}") for i, c in enumerate(own_columns(df))])
+    return plain, lambda out: out.toDF(*df.columns)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into (first row, last row + 1, bytes, offsets) of about ``limit`` bytes of text."""
     arr = batch.column(column)
