@@ -1,22 +1,24 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-1. Every text gets the MinHash signature of its five-word shingles. Texts of the same words are a
+1. Every text gets the MinHash signature of its five-word shingles, one byte a value. Texts of the same words are a
    class and go on once.
-2. Each of ``TREES`` trees is a prefix trie of signature rows. The forest is held as one globally sorted
-   table (tree and prefix, longer prefix, class), range-partitioned, so a hot prefix spreads over
-   partitions. The prefix starts at full depth and is shortened until the expected recall at
-   the threshold reaches ``RECALL``; classes under one prefix are chained in trie order and tied to its first
-   class, which takes rows in proportion to the classes, never all pairs.
-3. Ties whose sketches are far apart are cut; what remains connected is a neighbourhood, and similar
-   texts lie in the same one.
-4. Neighbourhoods get their shingle sets and all their pairs are verified exactly, by counting
+2. Each of ``TREES`` trees is a prefix trie of ``DEPTH`` signature values. The forest is one globally sorted table (tree, whole
+   signature row, class), range-partitioned, so a hot prefix spreads over partitions. Neighbours in trie order are tied by
+   their longest common prefix, so the classes below any prefix are chained: rows in proportion to the classes, never all pairs.
+3. Whole signatures give each tie's similarity. The matched prefix starts at full depth and is shortened until, in every
+   band of similarity that holds links, the expected recall reaches ``RECALL``: links found, each weighed by the reciprocal of its
+   chance of being found at this depth. At the depth that reaches it for links at the threshold themselves it ends in any case.
+4. Ties that are surely below the threshold are cut; what remains connected is a neighbourhood. Where classes below one prefix
+   are in different neighbourhoods, because unlike ones stand between them in trie order, all pairs across neighbourhoods
+   are estimated there, in blocks, and joined. So two similar classes that meet in some tree are in one neighbourhood.
+5. Neighbourhoods get their shingle sets and all their pairs are verified exactly, by counting
    common shingles in blocks of ``BLOCK`` classes; a large one is dealt out as pairs of blocks.
-   Tasks return link counts and a spanning forest, not pairs.
+   Tasks return link counts and a spanning forest, not pairs. Groups are components of verified links alone.
 
 Words are runs of digits, letters (A-Z in lower case) and characters beyond ASCII. A text of
 fewer than five words is one shingle. A text without words, null ones included, is linked to nothing
-and is a class of its own row's id. Repeated rows are copies. Null ids are kept; a group's id is its
-least id that isn't null. Other columns are ignored. An empty table gives no rows.
+and is a class of its own row's id. Very long texts are shingled whole. Repeated rows are copies. Null ids are kept; a group's
+id is its least id that isn't null. Other columns, whatever their names, are ignored or carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,29 +28,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, gram_hashes_at, materialise, mixed, plain_text, text_slices, words_of
+from .common import gram_hashes_at, materialise, mixed, own_columns, plain_text, text_slices, words_of
 from .graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 32, 8
-#: Signature bytes that sketch a text, the estimate under which a tie is cut, and the classes of a block.
-SKETCH, LEAST_ESTIMATE, BLOCK = 64, 0.45, 1024
+VALUES = TREES * DEPTH
+#: A tie with an estimate below this is surely under the threshold: five deviations of an estimate from 256 values lie between.
+LEAST_ESTIMATE, BAND = 0.67, 0.05
+#: Classes of a block in verification, and in the estimation across neighbourhoods.
+BLOCK, WIDE_BLOCK = 512, 512
 _DRAW = np.random.default_rng(20240229)
 _MOST = np.iinfo(np.int64).max
-_XOR = _DRAW.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
-_MUL = _DRAW.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _DRAW.integers(0, 2**32, VALUES, dtype=np.uint32)
+_MUL = _DRAW.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix from full depth until a pair at the threshold is met with this probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def chance(similarity, depth: int, trees: int = TREES):
+    """Probability that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
+def least_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The depth that meets a pair at the threshold with this probability."""
+    depth = DEPTH
+    while depth > 1 and chance(threshold, depth) < recall:
         depth -= 1
     return depth
 
 
+def prefix_depth(found: list[tuple[int, float, int]], threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Shorten the prefix from full depth while a band's expected recall is short.
+
+    ``found``: (depth at which pairs met, estimated similarity, number of pairs).
+    """
+    floor = least_depth(threshold, recall)
+    for depth in range(DEPTH, floor, -1):
+        bands: dict[int, list[float]] = {}
+        for met, similarity, n in found:
+            if similarity >= threshold:
+                # A band whose links have only met at shorter prefixes is known to be missed at this one.
+                band = bands.setdefault(int((similarity - threshold) / BAND), [0.0, 0.0])
+                if met >= depth:
+                    band[0] += n
+                    band[1] += n / float(chance(similarity, depth))
+        if bands and all(hit and hit / all_of >= recall for hit, all_of in bands.values()):
+            return depth
+    return floor
+
+
 def shingles(words: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of texts laid end to end, and their offsets. Repeated shingles stay."""
     size = np.diff(wo)
@@ -78,104 +110,175 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-#: What a text's forest record holds: a 64-bit prefix and 32 bits of the longer prefix for each tree, and the sketch.
-_RECORD = np.dtype([("prefix", "<u8", TREES), ("longer", "<u4", TREES), ("sketch", "u1", SKETCH)])
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text hash, text) to (doc_id, text hash, node, signature); node is null without words."""
+    for batch in batches:
+        for at, to, raw, off in text_slices(batch, 2):
+            words, _, _, wo = words_of(raw, off)
+            made = (signatures(*shingles(words, wo)) & np.uint32(255)).astype(np.uint8)
+            own = words.tobytes()
+            node = [int.from_bytes(hashlib.blake2b(own[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True)]
+            parts = [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(node, pa.int64()), pa.array([r.tobytes() for r in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(parts, names=["doc_id", "hash", "node", "signature"])
 
 
-def records(sig: np.ndarray, depth: int) -> np.ndarray:
-    """Forest records of signatures."""
-    out = np.empty(len(sig), _RECORD)
-    wide = sig.astype(np.uint64)
-    for tree in range(TREES):
-        own = wide[:, tree * DEPTH : (tree + 1) * DEPTH]
-        prefix = np.full(len(own), tree, np.uint64)
-        for j in range(depth):
-            prefix = mixed(prefix * np.uint64(0x9E3779B97F4A7C15) + own[:, j] + np.uint64(1))
-        out["prefix"][:, tree] = prefix
-        out["longer"][:, tree] = sig[:, (tree * DEPTH + depth) % sig.shape[1]]
-    out["sketch"] = (sig[:, :: TREES * DEPTH // SKETCH] & np.uint32(255)).astype(np.uint8)
-    return out
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES)
 
 
-def _sign(depth: int):
-    """(doc_id, text hash, text) to (doc_id, text hash, node, record); node is null without words."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, signature) to the trie entries (tree, signature row as a number, node) of every tree."""
+    for batch in batches:
+        rows, node = _matrix(batch.column(1)).view(">u8").astype(np.uint64), batch.column(0)
+        for tree in range(TREES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tree, np.int32)), pa.array(rows[:, tree].view(np.int64)), node], names=["tree", "row", "node"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, raw, off in text_slices(batch, 2):
-                words, _, _, wo = words_of(raw, off)
-                made = records(signatures(*shingles(words, wo)), depth)
-                own = words.tobytes()
-                node = [int.from_bytes(hashlib.blake2b(own[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True)]
-                parts = [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(node, pa.int64()), pa.array([r.tobytes() for r in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays(parts, names=["doc_id", "hash", "node", "record"])
 
-    return sign
+def common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values that signature rows have in common from the first on."""
+    apart = x ^ y
+    return sum((apart < np.uint64(1 << (64 - 8 * k))).astype(np.int32) for k in range(1, DEPTH)) + (apart == 0)
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, record) to the trie entries (prefix, longer prefix, node) of every tree."""
-    for batch in batches:
-        r, node = np.frombuffer(b"".join(batch.column(1).to_pylist()), _RECORD), batch.column(0)
-        for tree in range(TREES):
-            prefix, longer = np.ascontiguousarray(r["prefix"][:, tree]), np.ascontiguousarray(r["longer"][:, tree])
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(longer.view(np.int32)), node], names=["prefix", "longer", "node"])
+_SCAN = "kind int, a bigint, b bigint, depth int, tree int, row bigint"
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted entries to ties (a, b) of neighbours in a prefix, and the partition's outer prefixes with their first node."""
+    """Sorted entries to ties of neighbours (kind 0: a, b, depth), entries with a tie (kind 1: tree, row, a), and the partition's first and last entry (kinds 2, 3; b: partition)."""
+    floor, place = least_depth(), TaskContext.get().partitionId()
 
-    def table(a, b, prefix):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.int64())], names=["a", "b", "prefix"])
+    def table(kind, n, a, b=None, depth=None, tree=None, row=None):
+        whole = [np.full(n, kind, np.int32), a, b, depth, tree, row]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(whole, kinds, strict=True)], names=["kind", "a", "b", "depth", "tree", "row"])
 
-    key = head = last = None
+    last, last_tied = None, True  # an entry at the edge may be tied to the next partition's
     for batch in batches:
-        prefix, node = (batch.column(i).to_numpy() for i in (0, 2))
-        if not len(prefix):
+        tree, row, node = (batch.column(i).to_numpy() for i in range(3))
+        if not len(node):
             continue
-        if key is None:
-            yield table([int(node[0])], [None], [int(prefix[0])])
-            key, head, last = prefix[0], node[0], node[0]
-        fresh = np.concatenate(([prefix[0] != key], prefix[1:] != prefix[:-1]))
-        runs = np.cumsum(fresh)
-        heads = np.concatenate(([head], node[fresh]))[runs]
-        before = np.concatenate(([last], node[:-1]))
-        tied = ~fresh
-        a, b = np.concatenate([heads[tied], before[tied]]), np.concatenate([node[tied], node[tied]])
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0)
+        if last is None:
+            yield table(2, 1, node[:1], [place], None, tree[:1], row[:1])
+        else:
+            tree, row, node = (np.concatenate(([x], y)) for x, y in zip(last, (tree, row, node), strict=True))
+        bits = row.view(np.uint64)
+        depth = np.where(tree[1:] == tree[:-1], common_prefix(bits[1:], bits[:-1]), 0)
+        hit = depth >= floor
+        pairs = np.flatnonzero(hit & (node[1:] != node[:-1]))
         if len(pairs):
-            yield table(pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int64()))
-        key, head, last = prefix[-1], heads[-1], node[-1]
-    if key is not None:
-        yield table([int(head)], [None], [int(key)])
+            yield table(0, len(pairs), np.minimum(node[pairs], node[pairs + 1]), np.maximum(node[pairs], node[pairs + 1]), depth[pairs])
+        tied = np.concatenate(([last_tied], hit)) | np.concatenate((hit, [False]))
+        at = np.flatnonzero(tied[:-1])
+        if len(at):
+            yield table(1, len(at), node[at], None, None, tree[at], row[at])
+        last, last_tied = (tree[-1], row[-1], node[-1]), bool(tied[-1])
+    if last is not None:
+        yield table(1, 1, [last[2]], None, None, [last[0]], [last[1]])
+        yield table(3, 1, [last[2]], [place], None, [last[0]], [last[1]])
+
+
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, depth, signatures) to (a, b, depth, number of equal values)."""
+    for batch in batches:
+        same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).sum(axis=1).astype(np.int32) if batch.num_rows else np.empty(0, np.int32)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(same)], names=["a", "b", "depth", "same"])
+
 
+def similarity(same):
+    """Estimate from the number of equal values; different shingles' bytes agree once in 256 times."""
+    return (np.asarray(same, float) / VALUES - 1 / 256) / (1 - 1 / 256)
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sketches) to the ties that may be similar."""
+
+_LEAST_SAME = next(n for n in range(VALUES + 1) if similarity(n) >= LEAST_ESTIMATE)
+
+
+def _least_linked(nodes: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Least node reachable by links, for each of the nodes."""
+    label = nodes.copy()
+    while True:
+        best = np.minimum(label, np.where(hit, label[None, :], _MOST).min(axis=1))
+        if (best == label).all():
+            return label
+        label = best
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (tree, prefix, x, y) with node, root and signature to ties (a, b) between different roots whose estimate isn't below the threshold."""
+
+    def group(rows):
+        nodes, roots = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, VALUES)
+        hit = np.zeros((len(rows), len(rows)), bool)
+        kinds, times = np.unique(roots, return_counts=True)
+        # Of the largest neighbourhood's rows only those with others count.
+        for i in np.flatnonzero(roots != kinds[times.argmax()]):
+            hit[i] = hit[:, i] = ((sig == sig[i]).sum(axis=1) >= _LEAST_SAME) & (roots != roots[i])
+        some = np.flatnonzero(hit.any(axis=1))
+        if len(some):
+            tie = _least_linked(nodes[some], hit[np.ix_(some, some)])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(tie)], names=["a", "b"])
+
+    key, rows = None, []
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-        keep = (x == y).mean(axis=1) >= LEAST_ESTIMATE if len(x) else np.empty(0, bool)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if row[:4] != key:
+                if rows:
+                    yield from group(rows)
+                key, rows = row[:4], []
+            rows.append(row[3:])
+    if rows:
+        yield from group(rows)
+
+
+def neighbourhoods(classes: DataFrame) -> DataFrame:
+    """(node, signature) of classes to (node, root): similar classes have one root; classes without any have no row."""
+    forest = classes.select("node", "signature").mapInArrow(_entries, "tree int, row bigint, node bigint")
+    forest = forest.repartitionByRange("tree", "row", "node").sortWithinPartitions("tree", "row", "node")
+    scan = materialise(forest.mapInArrow(_ties, _SCAN))
+    # Ties across the edges of partitions; there is one row a partition.
+    ends = scan.where("kind >= 2").groupBy(F.col("b").alias("place")).agg(*[F.max(F.when(F.col("kind") == k, F.struct("tree", "row", "a"))).alias(n) for k, n in ((2, "first"), (3, "last"))])
+    ends = ends.withColumn("next", F.lead("first").over(Window.orderBy("place"))).where("next.tree = last.tree")
+    shared = F.lit(0)
+    for k in range(1, DEPTH + 1):
+        shared = shared + (F.shiftrightunsigned("last.row", 64 - 8 * k) == F.shiftrightunsigned("next.row", 64 - 8 * k)).cast("int")
+    ends = ends.select(F.least("last.a", "next.a").alias("a"), F.greatest("last.a", "next.a").alias("b"), shared.alias("depth")).where(f"a <> b AND depth >= {least_depth()}")
+    ties = scan.where("kind = 0").select("a", "b", "depth").union(ends).groupBy("a", "b").agg(F.max("depth").alias("depth"))
+    of = lambda side: classes.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}"))
+    both = ties.join(of("a"), "a").join(of("b"), "b").select("a", "b", "depth", "sa", "sb")
+    ties = materialise(both.mapInArrow(_estimated, "a bigint, b bigint, depth int, same int").where(F.col("same") >= _LEAST_SAME))
+    # At most a row for each depth and number of equal values.
+    found = [(r["depth"], float(similarity(r["same"])), r["n"]) for r in ties.groupBy("depth", "same").agg(F.count(F.lit(1)).alias("n")).collect()]
+    depth = prefix_depth(found)
+    near = components(ties.where(F.col("depth") >= depth).select("a", "b"))
+    # Prefixes with three classes or more, not all in one neighbourhood.
+    below = scan.where("kind = 1").select("tree", F.shiftrightunsigned("row", 64 - 8 * depth).alias("prefix"), F.col("a").alias("node")).distinct()
+    below = below.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crowd = below.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
+    crowd = materialise(below.join(crowd.select("tree", "prefix", "n"), ["tree", "prefix"]))
+    blocks = F.ceil(F.col("n") / WIDE_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int")
+    crowd = crowd.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    crowd = crowd.select("tree", "prefix", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root").join(classes.select("node", "signature"), "node")
+    crowd = crowd.select("tree", "prefix", "x", "y", "node", "root", "signature").repartition("tree", "prefix", "x", "y").sortWithinPartitions("tree", "prefix", "x", "y")
+    more = materialise(crowd.mapInArrow(_across, "a bigint, b bigint"))
+    return near if more.isEmpty() else components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, place, size, node, text) to a row for every pair of blocks that the class is in, with its sorted shingle set."""
+    """(root, block, blocks, node, text) to a row for every pair of blocks that the class is in, with its sorted shingle set."""
     names = ["root", "x", "y", "side", "node", "set"]
     for batch in batches:
         for at, to, raw, off in text_slices(batch, 4):
             words, _, _, wo = words_of(raw, off)
             values, vo = shingles(words, wo)
             sets = [np.unique(values[a:b]).tobytes() for a, b in zip(vo[:-1], vo[1:], strict=True)]
-            root, place, size, node = (batch.column(i).slice(at, to - at).to_pylist() for i in range(4))
-            for r, p, n, v, s in zip(root, place, size, node, sets, strict=True):
-                own, blocks = p // BLOCK, -(-n // BLOCK)
-                pairs = [(min(own, o), max(own, o)) for o in range(blocks)]
-                k = len(pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r] * k, pa.int64()), pa.array([x for x, _ in pairs], pa.int32()), pa.array([y for _, y in pairs], pa.int32()), pa.array([int(own == y and x != y) for x, y in pairs], pa.int32()), pa.array([v] * k, pa.int64()), pa.array([s] * k, pa.binary())],
-                    names=names,
-                )
+            root, own, blocks, node = (batch.column(i).slice(at, to - at).to_pylist() for i in range(4))
+            # A large neighbourhood's sets go out in parts, so that its copies don't lie in memory together.
+            for lo in range(0, max(blocks), 8):
+                rows = [(r, min(b, o), max(b, o), int(b > o), v, s) for r, b, n, v, s in zip(root, own, blocks, node, sets, strict=True) for o in range(lo, min(lo + 8, n))]
+                columns = list(zip(*rows, strict=True))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -224,16 +327,6 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, x, y) to (node, links, least connected node) for each linked class of each block pair."""
 
-    def labels(nodes, hit):
-        """Least node reachable by links, for each of the nodes."""
-        label = nodes.copy()
-        while True:
-            reach = np.where(hit, label[None, :], _MOST).min(axis=1)
-            best = np.minimum(label, reach)
-            if (best == label).all():
-                return label
-            label = best
-
     def group(rows):
         left, right = [r for r in rows if not r[0]], [r for r in rows if r[0]]
         sets = [[np.frombuffer(r[2], np.uint64) for r in side] for side in (left, right)]
@@ -250,7 +343,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(hit.any(axis=1))
         if len(some):
             links = hit[some].sum(axis=1).astype(np.int64)
-            tie = labels(nodes[some], hit[np.ix_(some, some)])
+            tie = _least_linked(nodes[some], hit[np.ix_(some, some)])
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links), pa.array(tie)], names=["node", "links", "tie"])
 
     key, rows, seen = None, [], set()
@@ -276,27 +369,18 @@ def link_classes(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select("doc_id", F.xxhash64(plain_text()).alias("hash"), plain_text().alias("text"))
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    signed = materialise(texts.mapInArrow(_sign(prefix_depth()), f"doc_id {id_type}, hash bigint, node bigint, record binary"))
+    signed = materialise(texts.mapInArrow(_sign, f"doc_id {id_type}, hash bigint, node bigint, signature binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    classes = signed.where("node IS NOT NULL").groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("record").alias("record"))
-    classes = materialise(classes.select("node", "first.doc_id", "first.hash", "n_copies", "record"))
-    entries = classes.select("node", "record").mapInArrow(_entries, "prefix bigint, longer int, node bigint")
-    forest = entries.repartitionByRange("prefix", "longer", "node").sortWithinPartitions("prefix", "longer", "node")
-    found = materialise(forest.mapInArrow(_ties, "a bigint, b bigint, prefix bigint"))
-    # A prefix that spans partitions has a first class in each; these are tied to the least of them.
-    outer = found.where("prefix IS NOT NULL").select("prefix", "a")
-    heads = outer.join(outer.groupBy("prefix").agg(F.min("a").alias("m")), "prefix").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    ties = found.where("prefix IS NULL").select("a", "b").union(heads).distinct()
-    sketch = classes.select("node", F.substring("record", 12 * TREES + 1, SKETCH).alias("s"))
-    ties = ties.join(sketch.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    near = components(ties.select("a", "b", "sa", "sb").mapInArrow(_close, "a bigint, b bigint"))
+    classes = signed.where("node IS NOT NULL").groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("signature").alias("signature"))
+    classes = materialise(classes.select("node", "first.doc_id", "first.hash", "n_copies", "signature"))
+    near = neighbourhoods(classes)
     size = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     placed = near.join(size, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     # Blocks are dealt by hash, so that no task has to number the rows of a hot root.
-    placed = placed.withColumn("place", F.when(F.col("blocks") == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")) * BLOCK))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int"))
     members = placed.join(classes.select("node", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), "node")
     held = members.join(texts, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["hash"] == F.col("_hash")))
-    sets = held.select("root", "place", "size", "node", "text").mapInArrow(_sets, "root bigint, x int, y int, side int, node bigint, set binary")
+    sets = held.select("root", "block", "blocks", "node", "text").mapInArrow(_sets, "root bigint, x int, y int, side int, node bigint, set binary")
     dealt = sets.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     checked = materialise(dealt.mapInArrow(_verify, "node bigint, links bigint, tie bigint"))
     n_links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
@@ -320,7 +404,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     rows = materialise(link_classes(documents).where("node IS NOT NULL").select("doc_id", "hash", "root"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"))
     worded = F.col("_text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    rows = documents.select(F.struct(*documents.columns).alias("_doc"), F.col("doc_id").alias("_d"), plain_text().alias("_text")).withColumn("_t", F.xxhash64("_text"))
+    rows = documents.select(F.struct(*own_columns(documents)).alias("_doc"), F.col("doc_id").alias("_d"), plain_text().alias("_text")).withColumn("_t", F.xxhash64("_text"))
     kept = rows.where(worded).join(best, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash")), "left_semi")
     kept = kept.select("_doc", "_d", "_t").dropDuplicates(["_d", "_t"])
     return kept.select("_doc").union(rows.where(~worded).select("_doc")).select("_doc.*")

@@ -107,9 +107,14 @@ def test_blocks_of_a_large_neighbourhood(spark, monkeypatch):
 
 
 def test_prefix_depth():
-    assert neardup.prefix_depth() == 6
-    assert neardup.prefix_depth(recall=0.5) == neardup.DEPTH
-    assert 1 - (1 - 0.8 ** neardup.prefix_depth()) ** neardup.TREES >= neardup.RECALL
+    assert neardup.least_depth() == 6 and neardup.chance(0.8, 6) >= neardup.RECALL
+    assert neardup.least_depth(recall=0.5) == neardup.DEPTH
+    # Links that a full prefix finds surely leave it as it is; hard ones shorten it until they are met; so does not knowing.
+    assert neardup.prefix_depth([(8, 0.99, 1000), (8, 0.3, 50)]) == 8
+    assert neardup.prefix_depth([(8, 0.99, 1000), (8, 0.81, 10)]) == 6
+    assert neardup.prefix_depth([(8, 0.99, 1000), (8, 0.88, 10), (7, 0.88, 1)]) == 7
+    assert neardup.prefix_depth([(8, 0.99, 1000), (6, 0.88, 10)]) == 6
+    assert neardup.prefix_depth([]) == 6
 
 
 def test_contamination(spark, docs, none):
