@@ -36,10 +36,13 @@ from .common import _BASE, materialise, mixed, plain_text, text_slices, window_m
 LEAST, GRAM, STRETCH, HOT = 100, 32, 256, 4096
 #: Rows that are collapsed together before the shuffle, and bytes that are transformed together.
 CHUNK_ROWS, CHUNK_BYTES = 1000, 1 << 18
+#: Bytes of pieces that a task holds before it sends them on.
+HELD_BYTES = 1 << 20
 #: A place packs 30 bits of start and 9 of length, so places order by start. The text is named by id and 64-bit hash.
 _START, _LENGTH = 9, 511
 _LAST = (1 << 63) - 1
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -183,35 +186,73 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[h], content[h], doc[h], text[h], place[h], bool(several[-1]))
 
 
+def _windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of ``LEAST`` bytes in pieces: piece, start in it, and two 64-bit hashes of the content."""
+    raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64) + np.uint64(1)
+    size = np.array([len(d) for d in data], np.int64)
+    count = np.maximum(size - LEAST + 1, 0)
+    piece = np.repeat(np.arange(len(data)), count)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = inside + np.repeat(np.cumsum(size) - size, count)
+    out = []
+    for name, base in (("", _BASE), ("other ", _OTHER)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * _power(len(raw), name + "up", base))))
+        down = _power(len(raw), name + "down", np.uint64(pow(int(base), -1, 1 << 64)))
+        out.append(mixed((sums[at + LEAST] - sums[at]) * down[at]))
+    return piece, inside, *out
+
+
+_PIECES = ["key", "doc", "hash", "place", "bytes"]
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text hash, text, wanted places, their keys, hot flags) to (key, doc, text hash, place, bytes); bytes null: removed."""
-    names = ["key", "doc", "hash", "place", "bytes"]
+    """(doc, text hash, text, wanted places, their keys, hot flags) to (key, doc, text hash, place, bytes); bytes null: removed.
+
+    Of a hot key's stretches single windows go out, under keys by content; of equal ones only the first, and the places of the
+    others under keys by document, as they only pass through.
+    """
+
+    def sent(keys, docs, hashes, places, parts):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), parts], names=_PIECES)
+
+    def single(rows):
+        doc, own_hash, begin = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        piece, inside, one, two = _windows([r[3] for r in rows])
+        doc, own_hash, place = doc[piece], own_hash[piece], _packed(begin[piece] + inside, np.full(len(piece), LEAST))
+        order = np.lexsort((place, own_hash, doc, two, one))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        at, gone = order[fresh], order[~fresh]
+        parts = pa.array([rows[p][3][i : i + LEAST] for p, i in zip(piece[at].tolist(), inside[at].tolist(), strict=True)], pa.binary())
+        yield sent(one[at].view(np.int64), doc[at], own_hash[at], place[at], parts)
+        if len(gone):
+            spread = mixed(doc[gone].view(np.uint64) ^ mixed(own_hash[gone].view(np.uint64)))
+            yield sent(spread.view(np.int64), doc[gone], own_hash[gone], place[gone], pa.nulls(len(gone), pa.binary()))
+
+    hot, size = [], 0
     for batch in batches:
-        keys, docs, hashes, places, parts, windows = [], [], [], [], [], {}
+        rows, whole = [], 0
         for doc, own_hash, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             data = memoryview(text.as_buffer()) if len(wanted) else b""
             for w in wanted:
-                start, size = w["place"] >> _START, w["place"] & _LENGTH
-                if not w["hot"]:
-                    keys.append(w["key"])
-                    docs.append(doc)
-                    hashes.append(own_hash)
-                    places.append(w["place"])
-                    parts.append(bytes(data[start : start + size]))
-                    continue
-                for s in range(start, start + size - LEAST + 1):
-                    own = bytes(data[s : s + LEAST])
-                    windows.setdefault(own, []).append((doc, own_hash, s << _START | LEAST))
-        for own, at in windows.items():
-            at.sort()
-            key = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
-            for i, (doc, own_hash, place) in enumerate(at):
-                keys.append(key)
-                docs.append(doc)
-                hashes.append(own_hash)
-                places.append(place)
-                parts.append(None if i else own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=names)
+                start, length = w["place"] >> _START, w["place"] & _LENGTH
+                part = bytes(data[start : start + length])
+                if w["hot"]:
+                    hot.append((doc, own_hash, start, part))
+                    size += length
+                else:
+                    rows.append((w["key"], doc, own_hash, w["place"], part))
+                    whole += length
+            if whole >= HELD_BYTES:
+                yield sent(*[list(c) for c in zip(*rows, strict=True)][:4], pa.array([r[4] for r in rows], pa.binary()))
+                rows, whole = [], 0
+            if size >= HELD_BYTES:
+                yield from single(hot)
+                hot, size = [], 0
+        if rows:
+            yield sent(*[list(c) for c in zip(*rows, strict=True)][:4], pa.array([r[4] for r in rows], pa.binary()))
+    if hot:
+        yield from single(hot)
 
 
 def _transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,10 +351,11 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, size, key = [], 0, None
     for batch in batches:
+        passed = batch.filter(batch.column(4).is_null())
+        if passed.num_rows:
+            yield _rows([passed.column(i) for i in (1, 2, 3)], ["doc", "hash", "place"])
+        batch = batch.filter(batch.column(4).is_valid())
         for k, doc, text, place, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if data is None:
-                yield _rows([[doc], [text], [place]], ["doc", "hash", "place"])
-                continue
             if k != key and size >= CHUNK_BYTES:
                 yield from removed(held)
                 held, size = [], 0
