@@ -5,12 +5,13 @@ window). Of each window the minimum k-gram hash is its fingerprint, so a documen
 a whole window holds that fingerprint too. Document fingerprints are joined with those of the
 benchmark, and each hit is extended to the full window by comparing the hashes of its words.
 
-The benchmark meets the documents in blocks of at most ``BLOCK_WINDOWS`` windows: one pass over
-the documents a block, no shuffle of texts, and a broadcast whose size is bounded whatever the
-benchmark's size. With several blocks a document's parts are united by its id and text hash.
+The benchmark meets the documents in blocks of about ``BLOCK_WINDOWS`` windows, one after the other: a pass over
+the documents a block, no shuffle of texts, and one block on the driver and in the executors at a time, whose size is bounded
+whatever the benchmark's. With several blocks each pass is written, and a document's parts are united by its id and text hash.
 
 Null and wordless texts have no words; a null item id marks words but isn't counted as an item;
-repeated items count once; repeated documents each give a row; an empty benchmark marks nothing.
+repeated items count once; repeated documents each give a row; an empty benchmark marks nothing; an empty table gives no rows.
+Very long texts are taken whole, in a slice of their own. Other columns, whatever their names, are ignored or carried.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, gram_hashes_at, materialise, plain_text, text_slices, window_minima, words_of
+from .common import gram_hashes, gram_hashes_at, materialise, numbered, plain_text, text_slices, window_minima, words_of
 
 #: Words of a window, of a k-gram, and windows of a block (32 bytes each).
 WINDOW, GRAM, BLOCK_WINDOWS = 10, 5, 1_000_000
@@ -161,12 +162,15 @@ def marked(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOC
 
         return mark
 
-    parts = [rows.mapInArrow(marker(_held(windows, blocks, i)), f"doc_id {id_type}, sha string, n_words bigint, hits array<int>, items array<bigint>") for i in range(blocks)]
-    if blocks == 1:
-        return parts[0].drop("sha")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    whole = None
+    for i in range(blocks):
+        held = _held(windows, blocks, i)
+        part = rows.mapInArrow(marker(held), f"doc_id {id_type}, sha string, n_words bigint, hits array<int>, items array<bigint>")
+        if blocks == 1:
+            return part.drop("sha")
+        part = materialise(part)
+        held.destroy()
+        whole = part if whole is None else whole.unionByName(part)
     none = F.array().cast("array<int>")
     at = F.flatten(F.transform("hits", lambda x, i: F.when(i % 2 == 0, F.sequence(x, F.get("hits", i + 1) - 1)).otherwise(none)))
     merged = whole.withColumn("hits", F.when(F.size("hits") > 0, at).otherwise(none)).groupBy("doc_id", "sha")
@@ -176,8 +180,8 @@ def marked(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOC
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         (F.count(F.lit(1)) / blocks).cast("int").alias("times"),
     )
-    first = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
-    last = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
+    first = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
+    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
     merged = merged.withColumn("hits", F.flatten(F.zip_with(first, last, lambda a, b: F.array(a, b + 1))))
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "n_words", "hits", "items")
 
@@ -205,7 +209,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Documents without any hit word, with their own columns: a filter for each block, no shuffle."""
     windows, blocks = _windows(benchmark, block_windows)
-    kept, place = documents, documents.columns.index("text")
+    (kept, named), place = numbered(documents), documents.columns.index("text")
+    schema = kept.schema
 
     def clean(block):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +220,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int
         return keep
 
     for i in range(blocks):
-        kept = kept.mapInArrow(clean(_held(windows, blocks, i)), documents.schema)
+        held = _held(windows, blocks, i)
+        kept = kept.mapInArrow(clean(held), schema)
         if i + 1 < blocks:
             kept = materialise(kept)
-    return kept
+            held.destroy()
+    return named(kept)
