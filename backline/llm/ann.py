@@ -12,8 +12,9 @@ entry too, so no piece of the graph is out of reach.
 
 Largest inner product becomes nearest neighbour by one more coordinate that gives all vectors
 the largest norm. Reported scores are inner products of the original vectors in double precision.
-Vectors that are null, zero, or hold null or non-finite components, rows without an id, and vectors
-of another length than the commonest (of ties the longest) take no part. Repeated (id, vector) rows count once. An
+Vectors that are null, zero, or hold null or non-finite components and rows without an id take no part. Vectors of
+one length are searched among themselves, as there is no inner product between lengths. Every row is a candidate of every other:
+of repeated rows each asks for itself and finds the others, under their common id. Ties go to the smaller id. An
 empty table gives no rows. Other columns are ignored.
 """
 
@@ -151,28 +152,32 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-def _build(top_norm: float):
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        v = _matrix(table["vector"])
-        more = np.sqrt(np.maximum(top_norm**2 - (v**2).sum(1), 0))
-        edges, entries = build_graph(np.concatenate([v, more[:, None]], 1).astype(np.float32))
-        start = np.zeros(len(v), bool)
-        start[entries] = True
-        return pa.table({"shard": table["shard"], "node": table["node"], "vector": table["vector"], "edges": pa.array(list(edges), pa.list_(pa.int64())), "entry": start})
+_GRAPH = "length int, shard int, node bigint, least bigint, top_norm double, vector array<double>, edges array<bigint>, entry boolean"
 
-    return build
 
+def _wide(vectors: np.ndarray, table: pa.Table) -> np.ndarray:
+    """Vectors with the coordinate that gives all the largest norm."""
+    more = np.sqrt(np.maximum(table["top_norm"][0].as_py() ** 2 - (vectors**2).sum(1), 0))
+    return np.concatenate([vectors, more[:, None]], 1).astype(np.float32)
 
-def _search(top: int, beam: int, top_norm: float):
+
+def _build(table: pa.Table) -> pa.Table:
+    table = table.sort_by("node")
+    v = _matrix(table["vector"])
+    edges, entries = build_graph(_wide(v, table))
+    start = np.zeros(len(v), bool)
+    start[entries] = True
+    return table.append_column("edges", pa.array(list(edges), pa.list_(pa.int64()))).append_column("entry", pa.array(start))
+
+
+def _search(top: int, beam: int):
     def search(graph: pa.Table, queries: pa.Table) -> pa.Table:
         out = [[], [], []]
         if graph.num_rows and queries.num_rows:
             graph = graph.sort_by("node")
             v, q = _matrix(graph["vector"]), _matrix(queries["vector"])
-            node, name = graph["node"].to_numpy(), queries["query"].to_numpy()
-            more = np.sqrt(np.maximum(top_norm**2 - (v**2).sum(1), 0))
-            wide = np.concatenate([v, more[:, None]], 1).astype(np.float32)
+            node, least, name = graph["node"].to_numpy(), graph["least"].to_numpy(), queries["query"].to_numpy()
+            wide = _wide(v, graph)
             edges = np.asarray(graph["edges"].combine_chunks().flatten()).reshape(len(v), DEGREE)
             edges = np.concatenate([edges, np.full((1, DEGREE), -1, np.int64)])
             entries = np.flatnonzero(graph["entry"].to_numpy())
@@ -182,7 +187,7 @@ def _search(top: int, beam: int, top_norm: float):
                 for i, row in enumerate(found):
                     row = row[row >= 0]
                     score = (v[row] * q[at + i]).sum(1)
-                    best = np.lexsort((node[row], -score))[:top]
+                    best = np.lexsort((least[row], -score))[:top]
                     out[0].append(np.full(len(best), name[at + i]))
                     out[1].append(node[row[best]])
                     out[2].append(score[best])
@@ -198,38 +203,37 @@ def nearest(embeddings: DataFrame, is_query, top: int = TOP, shard_rows: int = S
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     usable &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", is_query.alias("asks")).where(usable)
-    lengths = rows.groupBy(F.size("embedding").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("length")).limit(1).collect()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    spark = embeddings.sparkSession
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == lengths[0]["length"]).withColumn("vector", v).drop("embedding")
     # Negative zero equals zero.
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    classes = rows.groupBy("vector").agg(F.min("vec_id").alias("node"), F.max(F.col("asks").cast("int")).alias("asks"))
-    nodes = materialise(classes)
-    found = nodes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    shards = max(1, -(-found[0] // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
-    graph = dealt.select("shard", "node", "vector").groupBy("shard").applyInArrow(_build(found[1]), "shard int, node bigint, vector array<double>, edges array<bigint>, entry boolean")
-    graph = materialise(graph)
-    asking = nodes.where("asks = 1").select(F.col("node").alias("query"), "vector")
+    rows = rows.withColumn("vector", F.transform(v, lambda x: x + F.lit(0.0))).drop("embedding")
+    classes = rows.groupBy("vector").agg(F.min("vec_id").alias("least"), F.max(F.col("asks").cast("int")).alias("asks"))
+    # Numbered and written in one step, so that a number stays with its vector.
+    nodes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "vector", "least", "asks", F.size("vector").alias("length")))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    # A row a length; written, so that the planner knows its size.
+    groups = materialise(nodes.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.max(norm).alias("top_norm")))
+    dealt = nodes.join(groups, "length").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards").cast("bigint")).cast("int"))
+    graph = materialise(dealt.select("length", "shard", "node", "least", "top_norm", "vector").groupBy("length", "shard").applyInArrow(_build, _GRAPH))
+    asking = nodes.where("asks = 1").select(F.col("node").alias("query"), "vector", "length")
     blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    asking = asking.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    sent = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asking = asking.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).join(groups.select("length", "shards"), "length")
+    sent = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     held = graph if blocks == 1 else graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["shard"] if blocks == 1 else ["shard", "block"]
-    answers = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(top + 1, beam, found[1]), "query bigint, node bigint, score double")
-    # A node stands for its smallest ids, as many as an answer can need; the limit works before the shuffle.
-    least = Window.partitionBy("vector").orderBy("vec_id")
-    ids = rows.select("vector", "vec_id").distinct().withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= top + 1).select("vector", "vec_id")
-    ids = ids.join(nodes.select("vector", "node"), "vector").select("node", "vec_id")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    ranked = answers.join(ids, "node").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top + 1).select("query", "vec_id", "score")
-    ranked = ranked.groupBy("query").agg(F.collect_list(F.struct("score", "vec_id")).alias("answers"))
-    asked = rows.where("asks").select("vector", F.col("vec_id").alias("query_id")).distinct().join(nodes.select("vector", F.col("node").alias("query")), "vector").select("query_id", "query")
-    both = asked.join(ranked, "query").withColumn("a", F.explode("answers")).where("a.vec_id <> query_id")
-    last = Window.partitionBy("query_id").orderBy(F.desc("a.score"), "a.vec_id")
+    keys = ["length", "shard"] if blocks == 1 else ["length", "shard", "block"]
+    answers = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(top + 1, beam), "query bigint, node bigint, score double")
+    # A node stands for the rows of its smallest ids, as many as an answer can need; the limit works before the shuffle.
+    smallest = Window.partitionBy("vector").orderBy("vec_id")
+    copy = F.row_number().over(Window.partitionBy("vector", "vec_id").orderBy("vec_id")).alias("copy")
+    ids = rows.select("vector", "vec_id").withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= top + 1).select("vector", "vec_id", copy)
+    ids = ids.join(nodes.select("vector", "node"), "vector").select("node", "vec_id", "copy")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "copy")
+    ranked = answers.join(ids, "node").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top + 1)
+    ranked = ranked.groupBy("query").agg(F.collect_list(F.struct("score", "vec_id", (F.col("node") == F.col("query")).alias("own"), "copy")).alias("answers"))
+    asked = rows.where("asks").select("vector", F.col("vec_id").alias("query_id"))
+    asked = asked.withColumn("row", F.row_number().over(Window.partitionBy("vector", "query_id").orderBy("query_id")))
+    asked = asked.join(nodes.select("vector", F.col("node").alias("query")), "vector").select("query_id", "row", "query")
+    itself = F.col("a.own") & (F.col("a.vec_id") == F.col("query_id")) & (F.col("a.copy") == 1)
+    both = asked.join(ranked, "query").withColumn("a", F.explode("answers")).where(~itself)
+    last = Window.partitionBy("query_id", "query", "row").orderBy(F.desc("a.score"), "a.vec_id", "a.copy")
     return both.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= top).select("query_id", "rank", "a.vec_id", "a.score")
 
 
