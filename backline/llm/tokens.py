@@ -2,12 +2,13 @@
 
 A token file is a flat run of 16-bit little-endian ids without an index; each document ends with the
 separator. Files are read as blocks. A block is searched for separators with one vectorised
-comparison, and only its summary (length, separator positions) goes on; a prefix scan over the
-summaries of a file (sum of separators, maximum of their places) stitches the documents that
-straddle blocks. A scan never holds more than a block, and what is shuffled is a row a block.
+comparison; a prefix scan over the blocks' summaries (length, number of separators, place of the last) stitches the documents that
+straddle blocks, and each block then counts its own documents. A scan never holds more than a block, and what a file's scan
+gathers is a short row a block.
 
-Empty documents count 0 tokens; null texts are empty; an unterminated tail counts as a
-document; a file with an odd byte at its end raises; empty tables and files give no rows.
+Empty documents count 0 tokens; null texts are empty; a null id names its own row; repeated rows count each; very long
+texts are encoded whole, long runs of white space as the one piece that they are (``pieces``); an unterminated tail counts as a
+document; a file with an odd byte at its end raises; empty tables and files give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import base64
 import importlib
 import importlib.util
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,20 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+# White space as Unicode has it; a run that is longer would exhaust the stack of the pattern's matcher.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+
+
+def encode_whole(enc, text: str) -> list[int]:
+    """Tokens of a text of any kind. Of a run of white space the pattern makes one piece, but for its last sign if the text goes on; long runs are cut out so."""
+    out, at = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        out += enc.encode_ordinary(text[at : run.start()])
+        at = run.end() - (run.end() < len(text))
+        out += enc._encode_single_piece(text[run.start() : at])
+    return out + enc.encode_ordinary(text[at:])
+
+
 TOKEN_TABLE = "file int, block int, payload binary, ids array<bigint>"
 
 
@@ -70,7 +86,7 @@ def write_tokens(documents: DataFrame, vocabulary: str = f"{VOCABULARIES}/{VOCAB
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.array([*enc.encode_ordinary(text), SEPARATOR], dtype="<u2")
+                tokens = np.array([*encode_whole(enc, text), SEPARATOR], dtype="<u2")
                 roster.append(doc_id)
                 held.append(tokens)
                 size += len(tokens)
@@ -93,19 +109,39 @@ def write_tokens(documents: DataFrame, vocabulary: str = f"{VOCABULARIES}/{VOCAB
 
 
 def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, payload) of flat binary files below ``path``; a file is one task's input (2 GB at most)."""
+    """Blocks (file, block, payload) of flat binary files below ``path``, of any size: each task reads byte ranges of its own.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The driver lists names and sizes only. Executors open the files by pyarrow's file systems (local, HDFS, object stores).
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(conf).listFiles(root, True)
+    files = []
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().toString()
+        if status.getLen() % 2:
+            raise ValueError(f"{name} doesn't hold whole 16-bit ids")
+        if not status.getPath().getName().startswith(("_", ".")):
+            files.append((name, status.getLen()))
+    step = 2 * block_tokens
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        opened = (None, None)
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                if len(data) % 2:
-                    raise ValueError(f"{name.as_py()} doesn't hold whole 16-bit ids")
-                step = 2 * block_tokens
-                for block, at in enumerate(range(0, len(data), step)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([block], pa.int32()), pa.array([bytes(data[at : at + step])], pa.binary())], names=["file", "block", "payload"])
+            for name, block, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if opened[0] != name:
+                    uri = re.sub("^file:/+", "file:///", name)
+                    system, inner = fs.FileSystem.from_uri(uri)
+                    opened = name, system.open_input_file(inner)
+                data = opened[1].read_at(min(step, size - block * step), block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block int, payload binary")
+    listed = spark.createDataFrame(files, "file string, size bigint").where("size > 0")
+    blocks = listed.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / step).cast("int"))).alias("block"), "size")
+    return blocks.repartition("file", "block").sortWithinPartitions("file", "block").mapInArrow(read, "file string, block int, payload binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
@@ -121,16 +157,18 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["file", "block", "length", "at"])
 
     kind = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "block", "payload").mapInArrow(scan, f"file {kind}, block int, length bigint, at array<int>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.col("base") + F.element_at("at", -1) + 1
-    last = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.withColumn("base", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
-    stitched = stitched.withColumn("open_at", F.coalesce(F.max(F.when(F.size("at") > 0, ends)).over(last), F.lit(0).cast("bigint")))
-    stitched = stitched.withColumn("ordinal", F.coalesce(F.sum(F.size("at").cast("bigint")).over(before), F.lit(0).cast("bigint")))
-    final = F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()
-    tail_from = F.when(F.size("at") > 0, ends).otherwise(F.col("open_at"))
-    stitched = stitched.withColumn("tail", F.when(final, F.col("base") + F.col("length") - tail_from).otherwise(F.lit(0).cast("bigint")))
+    found = materialise(blocks.select("file", "block", "payload").mapInArrow(scan, f"file {kind}, block int, length bigint, at array<int>"))
+    # The prefix scan sees a few numbers a block; the places of the separators stay with their blocks.
+    short = found.select("file", "block", "length", F.size("at").cast("bigint").alias("n"), F.get("at", F.size("at") - 1).alias("last"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    short = short.withColumn("base", F.coalesce(F.sum("length").over(before), none)).withColumn("ordinal", F.coalesce(F.sum("n").over(before), none))
+    ends = F.col("base") + F.col("last") + 1
+    short = short.withColumn("open_at", F.coalesce(F.max(ends).over(before), none))
+    tail = F.when(F.lead("block").over(order).isNull(), F.col("base") + F.col("length") - F.coalesce(ends, F.col("open_at"))).otherwise(none)
+    short = short.select("file", "block", "base", "ordinal", "open_at", tail.alias("tail"))
+    stitched = found.join(short, ["file", "block"])
     counts = F.transform(
         "at", lambda x, i: F.struct((F.col("ordinal") + i).alias("ordinal"), (F.col("base") + x - F.when(i == 0, F.col("open_at")).otherwise(F.col("base") + F.get("at", i - 1) + 1)).alias("n_tokens"))
     )
