@@ -5,8 +5,8 @@ Tokens are summed per source, a source's target is its share of the mix, capped
 with probability equal to the fraction, decided by a hash of its id and text.
 
 Null texts have size 0; a null source is a source of its own, ordered last; a null id is drawn
-by its text; repeated rows draw alike; sources without words get target 0; an empty table gives
-an empty mix.
+by its text; repeated rows draw alike; sources without words get target 0; very long texts are counted whole in the JVM; other
+columns, whatever their names, are carried; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, plain_text
+from .common import materialise, own_columns, plain_text
 
 #: Weights of the sources, repeated in their order.
 WEIGHTS = (5, 2, 1)
@@ -76,7 +76,7 @@ def mix_plan(documents: DataFrame, seed: int = SEED, **targets) -> DataFrame:
 
 def mix(documents: DataFrame, seed: int = SEED, **targets) -> DataFrame:
     """The mixed corpus: every document as often as its number of copies says, with its own columns whatever their names."""
-    rows = documents.select("doc_id", "text", "source", F.struct(*documents.columns).alias("doc"))
+    rows = documents.select("doc_id", "text", "source", F.struct(*own_columns(documents)).alias("doc"))
     plan = mix_plan(rows, seed, **targets).where("copies > 0")
     return plan.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 

@@ -4,21 +4,24 @@ Arrivals are appended as small Parquet shards that never change. Compaction take
 of one size tier (sizes within a factor ``fanout``) and merges them into files of the target
 size; a tier is merged once it has ``fanout`` shards or a target's worth of bytes. Each append or
 compaction writes new files and then commits version n + 1 of the manifest by renaming it into
-place, which fails if another writer was first. Readers see whole versions only; files that no
-version names are garbage of failed jobs and are removed by ``vacuum``.
+place, which fails if another writer was first; an append then tries again on the newer version, as does a merge
+whose shards are still there. Readers see whole versions only. Files of versions given up, and old files that no
+version has named, left by failed jobs, are removed by ``vacuum``.
 
 A merge reads its shards and coalesces them: nothing is shuffled, and a task's data is about a
-target file. Every row, null, empty or repeated, and every column is kept as it is; an empty
-arrival commits a version without new shards.
+target file. Every row, null, empty, repeated or very long, and every column is kept as it is, whatever its name; rows of equal
+ids arrive together; an empty arrival commits a version without new shards.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +47,16 @@ def _tail(path: str) -> str:
     return "/".join(path.rsplit("/", 2)[1:])
 
 
+def _file_of(df: DataFrame):
+    """The file of each row, though a column may be called _metadata."""
+    return df.metadataColumn("_metadata").getField("file_path")
+
+
 class ShardStore:
-    """A folder of shards and manifests in any store that Hadoop reads."""
+    """A folder of shards and manifests in a file system of Hadoop's whose rename is exclusive: HDFS and local disks, not bare object stores.
+
+    The driver holds a short row a shard, about 150 bytes for each target file.
+    """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
@@ -109,13 +120,18 @@ class ShardStore:
         df.write.option("compression", "zstd").parquet(folder)
         files = {s.getPath().getName(): s.getLen() for s in self._fs().listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")}
         stored = self.spark.read.schema(df.schema).parquet(folder)
-        counts = {r[0].rsplit("/", 1)[1]: r[1] for r in stored.groupBy(F.col("_metadata.file_path")).count().collect()}
+        counts = {r[0].rsplit("/", 1)[1]: r[1] for r in stored.groupBy(_file_of(stored).alias("file")).agg(F.count(F.lit(1))).collect()}
         return [Shard(f"{folder}/{name}", files[name], n, self.tier(files[name])) for name, n in sorted(counts.items()) if n]
 
     def append(self, arrival: DataFrame) -> int:
         """Add an arrival as it is partitioned, a shard a partition."""
-        version, shards = self.manifest()
-        return self.commit(version, shards + self._write(arrival), "append")
+        new = self._write(arrival)
+        while True:
+            version, shards = self.manifest()
+            try:
+                return self.commit(version, shards + new, "append")
+            except Conflict:
+                continue  # what others committed stays; theirs and ours add up
 
     def _due(self, shards: list[Shard]) -> list[list[Shard]]:
         tiers: dict[int, list[Shard]] = {}
@@ -128,12 +144,17 @@ class ShardStore:
         """Merge due tiers until none is, one version a round; each merge leaves fewer shards, so it ends."""
         version, shards = self.manifest()
         while due := self._due(shards):
-            gone = {s.path for t in due for s in t}
-            shards = [s for s in shards if s.path not in gone]
+            gone, new = {s.path for t in due for s in t}, []
             for t in due:
                 files = max(1, round(sum(s.bytes for s in t) / self.target))
-                shards += self._write(self.spark.read.schema(schema).parquet(*[s.path for s in t]).coalesce(files))
-            version = self.commit(version, shards, "compact")
+                new += self._write(self.spark.read.schema(schema).parquet(*[s.path for s in t]).coalesce(files))
+            while gone <= {s.path for s in shards}:
+                try:
+                    left = [s for s in shards if s.path not in gone] + new
+                    version, shards = self.commit(version, left, "compact"), left
+                    break
+                except Conflict:
+                    version, shards = self.manifest()
         return version
 
     def read(self, schema, version: int | None = None) -> DataFrame:
@@ -141,16 +162,22 @@ class ShardStore:
         _, shards = self.manifest(version)
         return self.spark.read.schema(schema).parquet(*[s.path for s in shards]) if shards else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete files that none of the last ``keep`` versions names; the number of files deleted."""
-        named = {s.path for v in self.versions()[-keep:] for s in self.manifest(v)[1]}
-        tails = {_tail(p) for p in named}
+    def vacuum(self, keep: int = 2, least_age: float = 86_400) -> int:
+        """Delete shards that only versions before the last ``keep`` name, and files of ``least_age`` seconds that none does; the number deleted.
+
+        A younger file may be a shard that its writer has yet to commit. Readers of an older version lose it.
+        """
+        versions = self.versions()
+        every = {v: {_tail(s.path) for s in self.manifest(v)[1]} for v in versions}
+        kept, known = (set().union(*(every[v] for v in part)) for part in (versions[-keep:], versions))
         fs, n = self._fs(), 0
         data = self._path(f"{self.root}/data")
         for folder in fs.listStatus(data) if fs.exists(data) else []:
             for s in fs.listStatus(folder.getPath()):
                 name = s.getPath().getName()
-                if name.endswith(".parquet") and f"{folder.getPath().getName()}/{name}" not in tails:
+                tail = f"{folder.getPath().getName()}/{name}"
+                old = tail in known or time.time() - s.getModificationTime() / 1000 >= least_age
+                if name.endswith(".parquet") and tail not in kept and old:
                     n += bool(fs.delete(s.getPath(), False))
         return n
 
@@ -168,9 +195,14 @@ def shard_documents(documents: DataFrame, root: str | None = None, target_bytes:
         store.append(documents.where((part >= start) & (part < start + share)))
         start += share
     store.compact(documents.schema)
-    store.vacuum()
+    store.vacuum(keep=1)  # nobody else reads this store yet
     version, shards = store.manifest()
     order = sorted(shards, key=lambda s: (-s.bytes, s.path))
-    names = spark.createDataFrame([(_tail(s.path), i, s.rows, s.bytes, s.tier, version) for i, s in enumerate(order)], "_tail string, shard int, shard_rows bigint, shard_bytes bigint, tier int, version int")
-    rows = store.read(documents.schema).select("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("_tail")) if shards else spark.createDataFrame([], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, _tail string")
-    return store, rows.join(names, "_tail").drop("_tail")
+    places = [(_tail(s.path), i, s.rows, s.bytes, s.tier, version) for i, s in enumerate(order)]
+    names = "_tail", "shard", "shard_rows", "shard_bytes", "tier", "version"
+    kinds = pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
+    # From Arrow, so that the planner knows the table's size and broadcasts it only if it is small.
+    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(list(zip(*places)) or [()] * 6, kinds, strict=True)], names=list(names)))
+    stored = store.read(documents.schema)
+    tail = F.regexp_extract(_file_of(stored), "([^/]+/[^/]+)$", 1) if shards else F.lit("")
+    return store, stored.select("doc_id", tail.alias("_tail")).join(table, "_tail").drop("_tail")
