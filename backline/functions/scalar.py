@@ -11,7 +11,6 @@ LEAST_C = 1_000_000
 CAPACITY_BANDS = [(1_000, "under 1,000"), (2_500, "1,000-2,499"), (5_000, "2,500-4,999"), (10_000, "5,000-9,999"), (20_000, "10,000-19,999"), (40_000, "20,000-39,999"), (60_000, "40,000-59,999"), (10**9, "60,000+")]
 LADDER_BANDS = [(1_500, "club (under 1,500)"), (3_500, "theatre (1,500-3,499)"), (8_000, "mid-scale (3,500-7,999)"), (15_000, "arena (8,000-14,999)"), (30_000, "large arena (15,000-29,999)"), (10**9, "stadium (30,000+)")]
 GROSS_BANDS = [500, 1_500, 3_500, 8_000, 15_000, 30_000, 200_000]
-EUROPE = "AD AL AT BA BE BG BY CH CY CZ DE DK EE ES FI FO FR GB GG GI GR HR HU IE IM IS IT JE LI LT LU LV MC MD ME MK MT NL NO PL PT RO RS RU SE SI SK SM UA VA XK".split()
 CONTINENTS = {
     "Europe": "AD AL AT BA BE BG BY CH CY CZ DE DK EE ES FI FO FR GB GG GI GR HR HU IE IM IS IT JE LI LT LU LV MC MD ME MK MT NL NO PL PT RO RS RU SE SI SK SM UA VA XK",
     "North America": "AG AI AW BB BM BS BZ CA CR CU CW DM DO GD GL GP GT HN HT JM KN KY LC MQ MS MX NI PA PR SV TC TT US VC VG VI",
@@ -27,6 +26,11 @@ def not_blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) != ""
 
 
+def day(c: Column) -> Column:
+    """The date of an ISO text, null where it isn't one."""
+    return c.try_cast("date")
+
+
 def venue_key(venue_id: Column, venue: Column, city: Column) -> Column:
     """The id where there is one, else name and city (null if either is)."""
     return F.coalesce(F.nullif(venue_id, F.lit("")), F.concat(venue, F.lit("|"), city))

@@ -1,117 +1,261 @@
-"""Choice of city: occasions and alternatives, design matrix, counterfactuals."""
+"""Choice of city: occasions and alternatives, design matrix, counterfactuals and what they say of tours, cities and rooms."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .models import linear, softmax
 
-NAMES = ["log_catchment", "log_room", "big_enough", "fit_gap", "log_km"]
+#: Variables of specification A; B adds the last.
+NAMES = ["log_catchment", "log_income", "log_room", "big_enough", "fit_gap", "log_km", "km_x_stops", "km_x_need", "big_x_need"]
+NAMES_B = [*NAMES, "log_shows"]
+# The published coefficients of either specification, in the order of the names.
+BETA_A = [1.630421, 1.097434, 0.284546, 0.209136, -0.844155, 0.680864, 0.004203, 0.067158, -0.015612]
+BETA_B = [0.340565, 0.138614, -0.038228, 0.232022, -0.508391, 0.555949, 0.032717, 0.085608, 0.00916, 1.081449]
+# Bands of a tour's best chance, and the chance from which a city is in play.
+IN_PLAY = 0.02
+CHANCE_BANDS = [(0.5, "better than even"), (0.2, "one in two to one in five"), (0.05, "one in five to one in twenty"), (IN_PLAY, "long shots"), (0.0, "not in play")]
+#: Stands in where no occasion has a known value.
+DEFAULTS = {"income_median": 1e4, "ceiling_floor": 500.0, "need_median": 1000.0, "fitgap_median": 0.75, "km_median": 0.0}
 
 
-def candidate_markets(cities: DataFrame, least: int = 12) -> DataFrame:
-    """Cities with enough events and people, numbered by country and name."""
-    rows = cities.where((F.col("events") >= least) & (F.col("population") > 0))
-    return rows.withColumn("market_id", F.row_number().over(Window.orderBy("country", "city")) - 1)
+def candidate_markets(cities: DataFrame, years: float = 1.0, per_year: float = 5.0, floor: float = 12.0, covered: list[str] | None = None) -> DataFrame:
+    """Cities on the menu: of a covered country, with people and with ``per_year`` events for each of ``years``, ``floor`` at least."""
+    rows = cities.where((F.coalesce("events", F.lit(0)) >= max(per_year * years, floor)) & (F.coalesce("population", F.lit(0)) > 0))
+    return rows if covered is None else rows.where(F.col("country").isin(covered))
 
 
-def occasions(visits: DataFrame, menu: DataFrame) -> DataFrame:
+def ladders(venues: DataFrame, keys: list[str]) -> DataFrame:
+    """Known capacities of each market in ascending order: of halls, of open-air sites, of all."""
+    of = lambda keep, name: F.array_sort(F.collect_list(F.when(keep, F.col("capacity")))).alias(name)
+    known = venues.where(F.col("capacity").isNotNull())
+    return known.groupBy(*keys).agg(of(F.col("io") == "inside", "rooms_indoor"), of(F.col("io") == "outside", "rooms_outdoor"), of(F.lit(True), "rooms"))
+
+
+def log_gap(room: Column, need: Column) -> Column:
+    """Distance of two capacities in log seats, from 50 on."""
+    return F.abs(F.log(F.greatest(room, F.lit(50))) - F.log(F.greatest(need, F.lit(50))))
+
+
+def of_kind(plays: Column, indoor: Column, outdoor: Column, either: Column) -> Column:
+    return F.when(plays == "indoor", indoor).when(plays == "outdoor", outdoor).otherwise(either)
+
+
+def nearest_room(plays: Column, need: Column, indoor: Column, outdoor: Column, rooms: Column) -> Column:
+    """The room of the ladder nearest in log capacity, of the act's kind if there is any; of ties the smaller. Null without rooms or need."""
+    own = of_kind(plays, indoor, outdoor, rooms)
+    pool = F.when(F.size(F.coalesce(own, F.array())) > 0, own).otherwise(rooms)
+    best = F.array_min(F.transform(pool, lambda r: F.struct(F.round(log_gap(r, need), 9).alias("away"), r.alias("room"))))
+    return F.when(need.isNotNull(), best["room"])
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array without its nulls; null if nothing is left."""
+    known = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    n = F.size(known)
+    return (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def occasions(visits: DataFrame, menu: DataFrame, least_stops: int = 2) -> DataFrame:
     """One row for each visit and alternative: the country's menu without the tour's other stops.
 
-    Only tours with two or more stops on a country's menu count. What the tour needs is left-one-out:
-    the median of the largest rooms at its other stops; km is the least distance from the alternative to them.
+    Only tours with two or more stops on a country's menu count. What the tour is like is left-one-out, from its other stops: the
+    median of the largest rooms, halls or open air by numbers of shows, and the distance of each alternative to the nearest.
+    A tour's stops are gathered once; menus meet occasions by country.
     """
+    stop = F.struct("city", "lat", "lon", "shows", "indoor", "outdoor", "largest")
     stops = visits.join(menu.select("country", "city", "lat", "lon"), ["country", "city"])
-    key = ["tour", "country"]
-    many = stops.groupBy(*key).agg(F.count(F.lit(1)).alias("stops")).where("stops >= 2")
-    stops = stops.join(many, key).select(*key, "city", "lat", "lon", "largest", "shows", "stops")
-    other = stops.select(*key, F.col("city").alias("o_city"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("largest").alias("o_largest"))
-    focal = stops.select(*key, "city", "stops", "shows").join(other, key).where("city <> o_city")
-    alone = focal.groupBy(*key, "city").agg(F.first("stops").alias("stops"), F.first("shows").alias("shows"), F.percentile("o_largest", F.lit(0.5)).alias("room_needed"), F.collect_list(F.struct("o_lat", "o_lon")).alias("others"), F.collect_set("o_city").alias("taken"))
-    alone = alone.withColumnRenamed("city", "visited").withColumn("occasion", F.concat_ws("|", "tour", "country", "visited"))
-    alts = menu.select("country", "city", "population", "ceiling", "lat", "lon")
-    rows = alone.join(alts, "country").where(~F.array_contains("taken", F.col("city")))
-    km = F.array_min(F.transform("others", lambda o: S.haversine_km(F.col("lat"), F.col("lon"), o["o_lat"], o["o_lon"])))
-    return rows.select("occasion", "tour", "country", "visited", "city", (F.col("city") == F.col("visited")).cast("int").alias("chosen"), "stops", "shows", "room_needed", km.alias("km"), "population", "ceiling")
+    tours = stops.groupBy("tour", "country").agg(F.collect_list(stop).alias("stops")).where(F.size("stops") >= least_stops)
+    rows = tours.withColumn("here", F.explode("stops")).withColumn("others", F.filter("stops", lambda s: s["city"] != F.col("here.city")))
+    total = lambda name: F.aggregate("others", F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(s[name], F.lit(0)))
+    rows = rows.withColumn("_in", total("indoor")).withColumn("_out", total("outdoor"))
+    plays = F.when(F.col("_in") > F.col("_out"), "indoor").when(F.col("_out") > F.col("_in"), "outdoor").otherwise("either")
+    rows = rows.select(
+        F.concat_ws("|", "tour", "country", "here.city").alias("occasion"), "tour", "country", F.col("here.city").alias("visited"), F.size("stops").alias("stops"), F.col("here.shows").alias("shows"),
+        plays.alias("plays"), median_of(F.transform("others", lambda s: s["largest"])).alias("room_needed"), "others",
+    )
+    alts = menu.select("country", "city", "lat", "lon", F.col("events").alias("market_events"), "population", "income", "ceiling", "ceiling_indoor", "ceiling_outdoor", "rooms", "rooms_indoor", "rooms_outdoor")
+    rows = rows.join(alts, "country").where(~F.exists("others", lambda s: s["city"] == F.col("city")))
+    km = F.array_min(F.transform("others", lambda s: S.haversine_km(F.col("lat"), F.col("lon"), s["lat"], s["lon"])))
+    chosen = F.col("city") == F.col("visited")
+    kind, need = F.col("plays"), F.col("room_needed")
+    return rows.select(
+        "occasion", "tour", "country", "visited", "city", chosen.cast("int").alias("chosen"), "stops", "shows", "plays", "room_needed", km.alias("km"), "population", "income",
+        of_kind(kind, F.col("ceiling_indoor"), F.col("ceiling_outdoor"), F.col("ceiling")).alias("ceiling"),
+        nearest_room(kind, need, F.col("rooms_indoor"), F.col("rooms_outdoor"), F.col("rooms")).alias("best_room"),
+        "market_events", F.when(chosen, F.col("shows")).otherwise(0).alias("own_shows"),
+    )
 
 
 def nearest_rung(needs: DataFrame, rooms: DataFrame, keys: list[str], need: str = "room_needed", room: str = "capacity") -> DataFrame:
     """The room nearest in log capacity (from 50 on) to each need; of ties the smaller."""
-    away = F.abs(F.log(F.greatest(F.col(room), F.lit(50))) - F.log(F.greatest(F.col(need), F.lit(50))))
     pairs = needs.join(rooms.select(*keys, room), keys)
     mine = [c for c in needs.columns]
-    return pairs.groupBy(*mine).agg(F.min(F.struct(F.round(away, 9).alias("away"), F.col(room).alias("room"))).alias("b")).select(*mine, F.col("b.room").alias("best_room"), F.col("b.away").alias("away"))
+    away = F.round(log_gap(F.col(room), F.col(need)), 9)
+    return pairs.groupBy(*mine).agg(F.min(F.struct(away.alias("away"), F.col(room).alias("room"))).alias("b")).select(*mine, F.col("b.room").alias("best_room"), F.col("b.away").alias("away"))
 
 
 def design_constants(rows: DataFrame) -> DataFrame:
-    """One row of frozen constants: medians, the first percentile of ceilings, means."""
+    """One row of constants that the design takes from all occasions and that counterfactuals keep: medians, the first percentile of ceilings, means."""
     p = lambda c, at, name: F.percentile(c, F.lit(at)).alias(name)
-    return rows.agg(p("room_needed", 0.5, "need_median"), p("km", 0.5, "km_median"), p("ceiling", 0.01, "ceiling_floor"), F.avg(F.log("stops")).alias("stops_mean"), F.avg(F.log(F.greatest("room_needed", F.lit(100)) / 1000)).alias("big_mean"))
+    filled = rows.crossJoin(F.broadcast(rows.agg(p("room_needed", 0.5, "_median"))))
+    big = F.log(F.greatest(F.coalesce("room_needed", "_median"), F.lit(100)) / 1000)
+    return filled.agg(
+        p("income", 0.5, "income_median"), p("ceiling", 0.01, "ceiling_floor"), p("room_needed", 0.5, "need_median"), p(log_gap(F.col("best_room"), F.col("room_needed")), 0.5, "fitgap_median"),
+        p("km", 0.5, "km_median"), F.avg(F.log(F.greatest(F.coalesce("stops", F.lit(2)), F.lit(1)))).alias("stops_mean"), F.avg(big).alias("big_mean"),
+    )
+
+
+def frozen(rows: DataFrame) -> dict[str, float]:
+    """The constants as numbers, with defaults where nothing is known."""
+    found = design_constants(rows).first().asDict()
+    return {k: float(v if v is not None else DEFAULTS.get(k, 0.0)) for k, v in found.items()}
 
 
-def design(rows: DataFrame, floor: float = 100.0) -> DataFrame:
-    """The variables of the choice model, row by row."""
+def variables(k: dict[str, float]) -> dict[str, Column]:
+    """Expressions of the choice model's variables over the columns of ``occasions``, given the constants."""
     need, ceiling = F.col("room_needed"), F.col("ceiling")
-    gap = F.abs(F.log(F.greatest(ceiling, F.lit(50))) - F.log(F.greatest(need, F.lit(50))))
-    return rows.select(
-        "occasion", "tour", "country", "city", "chosen", "room_needed", "ceiling",
-        F.log(F.greatest(F.col("population"), F.lit(1000)) / 1e6).alias("log_catchment"),
-        F.log(F.greatest(F.coalesce(ceiling, F.lit(floor)), F.lit(floor))).alias("log_room"),
-        F.coalesce(ceiling >= need, F.lit(False)).cast("double").alias("big_enough"),
-        F.coalesce(gap, F.lit(0.75)).alias("fit_gap"),
-        F.log1p(F.coalesce("km", F.lit(0.0))).alias("log_km"),
-    )
+    km = F.log1p(F.coalesce("km", F.lit(k["km_median"])))
+    stops = F.log(F.greatest(F.coalesce("stops", F.lit(2)), F.lit(1))) - k["stops_mean"]
+    big = F.log(F.greatest(F.coalesce(need, F.lit(k["need_median"])), F.lit(100)) / 1000) - k["big_mean"]
+    enough = F.coalesce(F.coalesce(ceiling, F.lit(0)) >= need, F.lit(False)).cast("double")
+    return {
+        "log_catchment": F.log(F.greatest("population", F.lit(1000)) / 1e6),
+        "log_income": F.log(F.greatest(F.coalesce("income", F.lit(k["income_median"])), F.lit(1000)) / 1e4),
+        "log_room": F.log(F.greatest(F.coalesce(ceiling, F.lit(k["ceiling_floor"])), F.lit(k["ceiling_floor"]))),
+        "big_enough": enough,
+        "fit_gap": F.coalesce(log_gap(F.col("best_room"), need), F.lit(k["fitgap_median"])),
+        "log_km": km,
+        "km_x_stops": km * stops,
+        "km_x_need": km * big,
+        "big_x_need": enough * big,
+        "log_shows": F.log1p(F.greatest(F.coalesce("market_events", F.lit(0)) - F.coalesce("own_shows", F.lit(0)), F.lit(0)).cast("double")),
+    }
+
+
+def design(rows: DataFrame, constants: dict[str, float], names: list[str] = NAMES) -> DataFrame:
+    """Occasions with the variables of the model as further columns."""
+    made = variables(constants)
+    return rows.select("*", *[made[n].alias(n) for n in names])
 
 
 def probabilities(rows: DataFrame, beta, names: list[str] = NAMES) -> DataFrame:
     return softmax(rows, "occasion", linear(names, beta))
 
 
-def expected_and_actual(rows: DataFrame, beta, by: list[str]) -> DataFrame:
-    p = probabilities(rows, beta)
+def expected_and_actual(rows: DataFrame, beta, by: list[str], names: list[str] = NAMES) -> DataFrame:
+    p = probabilities(rows, beta, names)
     return p.groupBy(*by).agg(F.sum("p").alias("expected"), F.sum("chosen").cast("bigint").alias("actual"), F.count(F.lit(1)).alias("offered"))
 
 
-def with_room(rows: DataFrame, target: Column, capacity: int) -> DataFrame:
-    """Design rows as if the target had a room of this size; other rows stay."""
-    best = F.when(target, F.greatest("ceiling", F.lit(capacity))).otherwise(F.col("ceiling"))
-    gap = F.abs(F.log(F.greatest(best, F.lit(50))) - F.log(F.greatest("room_needed", F.lit(50))))
-    changed = rows.withColumn("log_room", F.when(target, F.log(F.greatest(best, F.lit(100)).cast("double"))).otherwise(F.col("log_room")))
-    changed = changed.withColumn("big_enough", F.when(target, (best >= F.col("room_needed")).cast("double")).otherwise(F.col("big_enough")))
-    return changed.withColumn("fit_gap", F.when(target, gap).otherwise(F.col("fit_gap"))).withColumn("ceiling", best)
+def why_expected(rows: DataFrame, beta, by: list[str], names: list[str] = NAMES) -> DataFrame:
+    """What each variable adds to a city's utility against the mean alternative of its country: the mean difference times the coefficient."""
+    mean = rows.groupBy("country").agg(*[F.avg(n).alias(f"_{n}") for n in names])
+    own = rows.groupBy(*by).agg(*[F.avg(n).alias(n) for n in names])
+    return own.join(mean, "country").select(*by, *[((F.col(n) - F.col(f"_{n}")) * float(b)).alias(n) for n, b in zip(names, beta, strict=True)])
+
+
+def _utility(constants: dict[str, float], beta, names: list[str], ceiling: Column, best_room: Column) -> Column:
+    """Utility of an alternative as if its ceiling and nearest room were these; other variables stay."""
+    need = F.col("room_needed")
+    enough = F.coalesce(F.coalesce(ceiling, F.lit(0)) >= need, F.lit(False)).cast("double")
+    big = F.log(F.greatest(F.coalesce(need, F.lit(constants["need_median"])), F.lit(100)) / 1000) - constants["big_mean"]
+    changed = {
+        "log_room": F.log(F.greatest(F.coalesce(ceiling, F.lit(constants["ceiling_floor"])), F.lit(constants["ceiling_floor"]))),
+        "big_enough": enough,
+        "fit_gap": F.coalesce(log_gap(best_room, need), F.lit(constants["fitgap_median"])),
+        "big_x_need": enough * big,
+    }
+    out = F.lit(0.0)
+    for n, b in zip(names, beta, strict=True):
+        out = out + changed.get(n, F.col(n)) * float(b)
+    return out
+
+
+def with_room(capacity: Column) -> tuple[Column, Column]:
+    """Ceiling and nearest room of an alternative that gets a room of this size."""
+    need, old = F.col("room_needed"), F.col("best_room")
+    nearer = F.coalesce(log_gap(capacity, need) < log_gap(old, need), old.isNull() & need.isNotNull())
+    return F.greatest(F.coalesce("ceiling", F.lit(0)), capacity), F.when(nearer, capacity.cast("double")).otherwise(old)
+
 
+def applies(kind: str) -> Column:
+    """Acts that a room of this kind can help: those of the kind and those that play either."""
+    return F.col("plays").isin(kind, "either") if kind in ("indoor", "outdoor") else F.lit(True)
 
-def impact(rows: DataFrame, beta, target: Column, capacity: int, by: list[str]) -> DataFrame:
-    """Expected visits before and after the target gets a room."""
-    before = expected_and_actual(rows, beta, by).select(*by, F.col("expected").alias("before"))
-    after = expected_and_actual(with_room(rows, target, capacity), beta, by).select(*by, F.col("expected").alias("after"))
-    return before.join(after, by).withColumn("gain", F.col("after") - F.col("before"))
 
+def counterfactual(rows: DataFrame, constants: dict[str, float], beta, target: Column, ceiling: Column, best_room: Column, names: list[str] = NAMES) -> DataFrame:
+    """Design rows with probabilities before (``p``) and after (``p_after``) the target rows' ceiling and room are replaced, in one pass."""
+    w = rows.withColumn("_v", linear(names, beta)).withColumn("_t", F.coalesce(target, F.lit(False)))
+    w = w.withColumn("_after", F.when(F.col("_t"), _utility(constants, beta, names, ceiling, best_room)).otherwise(F.col("_v")))
+    g = Window.partitionBy("occasion")
+    top = F.greatest(F.max("_v").over(g), F.max("_after").over(g))
+    w = w.withColumn("_top", top).withColumn("_e", F.exp(F.col("_v") - F.col("_top"))).withColumn("_f", F.exp(F.col("_after") - F.col("_top")))
+    w = w.withColumn("p", F.col("_e") / F.sum("_e").over(g)).withColumn("p_after", F.col("_f") / F.sum("_f").over(g))
+    return w.drop("_v", "_t", "_after", "_top", "_e", "_f")
 
-def sweep(rows: DataFrame, beta, target: Column, sizes: list[int], names: list[str] = NAMES) -> DataFrame:
-    """Expected visits of the target for each size of its room, all in one pass, and the step from the size before."""
-    spark = rows.sparkSession
-    grid = spark.createDataFrame([(s,) for s in sizes], "size bigint")
-    tried = rows.join(F.broadcast(grid))
-    best = F.when(target, F.greatest(F.col("ceiling"), F.col("size"))).otherwise(F.col("ceiling"))
-    gap = F.abs(F.log(F.greatest(best, F.lit(50))) - F.log(F.greatest("room_needed", F.lit(50))))
-    tried = tried.withColumn("log_room", F.when(target, F.log(F.greatest(best, F.lit(100)).cast("double"))).otherwise(F.col("log_room")))
-    tried = tried.withColumn("big_enough", F.when(target, (best >= F.col("room_needed")).cast("double")).otherwise(F.col("big_enough"))).withColumn("fit_gap", F.when(target, gap).otherwise(F.col("fit_gap")))
-    tried = tried.withColumn("_g", F.struct("occasion", "size"))
-    p = softmax(tried, "_g", linear(names, beta)).where(target).groupBy("size").agg(F.sum("p").alias("expected"))
-    return p.withColumn("step", F.col("expected") - F.lag("expected").over(Window.orderBy("size")))
 
+def impact(rows: DataFrame, constants: dict[str, float], beta, target: Column, capacity: int, by: list[str], kind: str = "indoor", names: list[str] = NAMES) -> DataFrame:
+    """Expected visits before and after the target gets a room of a size and kind."""
+    after = counterfactual(rows, constants, beta, target & applies(kind), *with_room(F.lit(capacity)), names)
+    return after.groupBy(*by).agg(F.sum("p").alias("before"), F.sum("p_after").alias("after")).withColumn("gain", F.col("after") - F.col("before"))
 
-def without_largest(rows: DataFrame, target: Column, second: DataFrame) -> DataFrame:
-    """Design rows as if the target's largest room were gone; ``second`` has country, city and the next ceiling."""
-    joined = rows.join(F.broadcast(second.select("country", "city", F.col("second").alias("_second"))), ["country", "city"], "left")
-    best = F.when(target, F.coalesce("_second", F.lit(0).cast("bigint"))).otherwise(F.col("ceiling"))
-    gap = F.abs(F.log(F.greatest(best, F.lit(50))) - F.log(F.greatest("room_needed", F.lit(50))))
-    joined = joined.withColumn("log_room", F.when(target, F.log(F.greatest(best, F.lit(100)).cast("double"))).otherwise(F.col("log_room")))
-    joined = joined.withColumn("big_enough", F.when(target, (best >= F.col("room_needed")).cast("double")).otherwise(F.col("big_enough")))
-    return joined.withColumn("fit_gap", F.when(target, gap).otherwise(F.col("fit_gap"))).drop("_second")
+
+def tour_gains(rows: DataFrame, constants: dict[str, float], beta, target: Column, capacity: int, kind: str = "indoor", names: list[str] = NAMES) -> DataFrame:
+    """Of each tour offered the target: its chances there before and after, and whether the room clears its bar."""
+    after = counterfactual(rows, constants, beta, target & applies(kind), *with_room(F.lit(capacity)), names).where(target)
+    per = after.groupBy("tour").agg(F.count(F.lit(1)).alias("occasions"), F.sum("p").alias("before"), F.sum("p_after").alias("after"), F.percentile("room_needed", F.lit(0.5)).alias("room_needed"))
+    return per.withColumn("gain", F.col("after") - F.col("before")).withColumn("clears", F.coalesce(F.col("room_needed") <= capacity, F.lit(False)).cast("int"))
+
+
+def cleared(rows: DataFrame, target: Column, capacity: int, kind: str = "indoor") -> DataFrame:
+    """One row: occasions that the room could help, and the share of them whose bar the market clears before and after."""
+    rows = rows.where(target)
+    could = rows.where(applies(kind)).where("room_needed IS NOT NULL")
+    now = F.coalesce("ceiling", F.lit(0))
+    share = lambda c: F.avg((c >= F.col("room_needed")).cast("double"))
+    return could.agg(F.count(F.lit(1)).alias("testable"), share(now).alias("before"), share(F.greatest(now, F.lit(capacity))).alias("after"))
+
+
+def sweep(rows: DataFrame, constants: dict[str, float], beta, target: Column, sizes: list[int], kind: str = "indoor", names: list[str] = NAMES) -> DataFrame:
+    """Expected visits of the target for each size of a new room, and the step from the size before.
+
+    The other alternatives' sum is taken once an occasion; each size only changes the target's own term.
+    """
+    g = Window.partitionBy("occasion")
+    w = rows.withColumn("_v", linear(names, beta)).withColumn("_top", F.max("_v").over(g))
+    w = w.withColumn("_e", F.exp(F.col("_v") - F.col("_top"))).withColumn("_others", F.sum("_e").over(g) - F.col("_e")).where(target)
+    at = []
+    for i, size in enumerate(sizes):
+        e = F.when(applies(kind), F.exp(_utility(constants, beta, names, *with_room(F.lit(size))) - F.col("_top"))).otherwise(F.col("_e"))
+        at.append(F.sum(e / (F.greatest(F.col("_others"), F.lit(0.0)) + e)).alias(f"s{i}"))
+    one = w.agg(*at)
+    pairs = F.array(*[F.struct(F.lit(size).cast("bigint").alias("size"), F.col(f"s{i}").alias("expected"), (F.col(f"s{i}") - (F.col(f"s{i - 1}") if i else F.lit(None))).alias("step")) for i, size in enumerate(sizes)])
+    return one.select(F.explode(pairs).alias("x")).select("x.size", "x.expected", "x.step").where("expected IS NOT NULL")
+
+
+def ladder_without(menu: DataFrame, venue_capacity: Column, venue_io: Column) -> DataFrame:
+    """Menu rows whose ladders and ceilings lack one room of this size and kind."""
+    drop = lambda rooms, size: F.when(F.array_position(rooms, size) > 0, F.concat(F.slice(rooms, 1, (F.array_position(rooms, size) - 1).cast("int")), F.slice(rooms, (F.array_position(rooms, size) + 1).cast("int"), F.size(rooms)))).otherwise(rooms)
+    of = lambda kind, name: F.when(venue_io == kind, drop(F.col(name), venue_capacity)).otherwise(F.col(name))
+    rows = menu.withColumn("rooms_indoor", of("inside", "rooms_indoor")).withColumn("rooms_outdoor", of("outside", "rooms_outdoor")).withColumn("rooms", drop(F.col("rooms"), venue_capacity))
+    return rows.withColumn("ceiling_indoor", F.array_max("rooms_indoor")).withColumn("ceiling_outdoor", F.array_max("rooms_outdoor")).withColumn("ceiling", F.array_max("rooms"))
+
+
+def without_largest(rows: DataFrame, constants: dict[str, float], beta, target: Column, menu: DataFrame, names: list[str] = NAMES) -> DataFrame:
+    """Probabilities before and after the target's largest room is gone, from its ladder; ``menu`` has the ladders of the target alone."""
+    largest = F.array_max("rooms")
+    io = F.when(F.array_contains("rooms_indoor", largest), "inside").when(F.array_contains("rooms_outdoor", largest), "outside")
+    less = ladder_without(menu.where(target).withColumn("_size", largest).withColumn("_io", io), F.col("_size"), F.col("_io"))
+    less = less.select("country", "city", *[F.col(c).alias(f"_{c}") for c in ("ceiling", "ceiling_indoor", "ceiling_outdoor", "rooms", "rooms_indoor", "rooms_outdoor")])
+    joined = rows.join(less, ["country", "city"], "left")
+    plays = F.col("plays")
+    ceiling = of_kind(plays, F.col("_ceiling_indoor"), F.col("_ceiling_outdoor"), F.col("_ceiling"))
+    room = nearest_room(plays, F.col("room_needed"), F.col("_rooms_indoor"), F.col("_rooms_outdoor"), F.col("_rooms"))
+    return counterfactual(joined, constants, beta, target, ceiling, room, names)
 
 
 def decompose(rows: DataFrame, beta, by: list[str], names: list[str] = NAMES) -> DataFrame:
@@ -120,7 +264,66 @@ def decompose(rows: DataFrame, beta, by: list[str], names: list[str] = NAMES) ->
     return rows.groupBy(*by).agg(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
 
 
-def touring_share(visits: DataFrame, city: str) -> DataFrame:
-    """Share of a country's tours, by their number of cities there, that play the city."""
-    tours = visits.groupBy("country", "tour").agg(F.count(F.lit(1)).alias("cities"), F.count_if(F.col("city") == city).alias("here"))
-    return tours.groupBy("country", "cities").agg(F.count(F.lit(1)).alias("tours"), F.count_if(F.col("here") > 0).alias("came")).withColumn("share", F.round(F.col("came") / F.col("tours"), 4))
+def tours_of_city(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows with ``p``: each tour's expected visits to a city, its best occasion, and whether the city is in play for it."""
+    out = scored.groupBy(*by, "tour").agg(F.sum("p").alias("expected"), F.max("p").alias("best"), F.count(F.lit(1)).alias("occasions"), F.percentile("room_needed", F.lit(0.5)).alias("room_needed"))
+    return out.withColumn("in_play", (F.col("best") >= IN_PLAY).cast("int"))
+
+
+def chance_shape(tours: DataFrame, by: list[str]) -> DataFrame:
+    """What a city's expected visits are made of: tours and expected visits by band of the best chance; all bands are listed."""
+    band = F.lit(None).cast("string")
+    for least, label in reversed(CHANCE_BANDS):
+        band = F.when(F.col("best") >= least, label).otherwise(band)
+    labels = tours.sparkSession.createDataFrame([(i, b) for i, (_, b) in enumerate(CHANCE_BANDS)], "place int, band string")
+    found = tours.withColumn("band", band).groupBy(*by, "band").agg(F.count(F.lit(1)).alias("tours"), F.round(F.sum("expected"), 2).alias("expected"))
+    grid = tours.select(*by).distinct().join(F.broadcast(labels))
+    rows = grid.join(found, [*by, "band"], "left").fillna(0, ["tours", "expected"])
+    return rows.withColumn("share", F.round(F.try_divide(F.col("expected"), F.sum("expected").over(Window.partitionBy(*by))), 3))
+
+
+def cities_of_tour(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with ``p`` and ``p_after``: a tour's mean chance of each city over the menus it stood on, before and after, with ranks and the move."""
+    out = scored.groupBy("tour", *keys).agg(F.avg("p").alias("chance"), F.avg("p_after").alias("chance_after"), F.count(F.lit(1)).alias("menus"), F.max("chosen").alias("played"))
+    rank = lambda c: F.rank().over(Window.partitionBy("tour", keys[0]).orderBy(F.desc(F.round(c, 12))))
+    out = out.withColumn("rank_before", rank("chance")).withColumn("rank_after", rank("chance_after"))
+    return out.withColumn("rank_move", F.col("rank_before") - F.col("rank_after"))
+
+
+def touring_share(visits: DataFrame, cities: DataFrame) -> DataFrame:
+    """Of each city the share of its shows by tours of two or more cities, and what the model sees of its calendar."""
+    several = visits.groupBy("tour").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("tour")
+    seen = visits.join(several, "tour", "left_semi").groupBy("country", "city").agg(F.sum("shows").alias("touring"))
+    rows = cities.where("events > 0").select("country", "city", "events").join(seen, ["country", "city"], "left").withColumn("touring", F.coalesce("touring", F.lit(0)))
+    share = F.col("touring") / F.col("events")
+    verdict = F.when(share >= 0.55, "most of the calendar").when(share >= 0.3, "about half of the calendar").otherwise("a small corner of the year")
+    return rows.withColumn("share", share).withColumn("verdict", verdict)
+
+
+def simulate(rows: DataFrame, fit, by: list[str], draws: int = 200, seed: int = 0) -> DataFrame:
+    """Expected choices with a 5 % to 95 % band over draws of the coefficients (drawn on the driver), for all draws in one pass.
+
+    An occasion's menu comes together as one row; Python gets menus in Arrow batches and sends sums a draw.
+    """
+    import pandas as pd
+
+    drawn = np.random.default_rng(seed).multivariate_normal(fit.beta, fit.covariance, size=draws)
+    keys = F.concat_ws("\x1f", *by)
+    menus = rows.groupBy("occasion").agg(F.collect_list(keys).alias("unit"), *[F.collect_list(F.col(n).cast("double")).alias(n) for n in fit.names])
+
+    def expected(batches):
+        for frame in batches:
+            sums: dict[str, np.ndarray] = {}
+            for row in frame.itertuples(index=False):
+                v = np.stack([np.asarray(x) for x in row[2:]], 1) @ drawn.T
+                e = np.exp(v - v.max(0))
+                for unit, p in zip(row[1], e / e.sum(0), strict=True):
+                    sums[unit] = sums.get(unit, 0) + p
+            if sums:
+                yield pd.DataFrame({"unit": list(sums), "sums": [list(map(float, s)) for s in sums.values()]})
+
+    parts = menus.mapInPandas(expected, "unit string, sums array<double>")
+    each = parts.select("unit", F.posexplode("sums").alias("draw", "x")).groupBy("unit", "draw").agg(F.sum("x").alias("expected"))
+    out = each.groupBy("unit").agg(F.avg("expected").alias("mean"), F.percentile("expected", F.lit(0.05)).alias("p5"), F.percentile("expected", F.lit(0.95)).alias("p95"))
+    names = F.split("unit", "\x1f")
+    return out.select(*[F.get(names, F.lit(i)).alias(c) for i, c in enumerate(by)], "mean", "p5", "p95")

@@ -52,27 +52,39 @@ def route(rows: DataFrame, keys: list[str], order: list[str], city: str = "city"
 
 
 def legs(events: DataFrame) -> DataFrame:
-    """Successive shows of a tour with the days between; tours are told apart by name alone."""
+    """Successive shows of a tour with the days between; tours are told apart by name alone. Shows without a valid date drop out."""
     w = Window.partitionBy("tour").orderBy("date_iso", "event_id")
     ahead = {c: F.lead(c).over(w).alias(f"to_{c}") for c in ("event_id", "date_iso", "city", "country", "venue", "capacity")}
-    rows = events.where(S.not_blank(F.col("tour"))).select("tour", "event_id", "date_iso", "city", "country", "venue", "capacity", *ahead.values())
-    days = F.date_diff(F.col("to_date_iso").cast("date"), F.col("date_iso").cast("date"))
+    dated = events.where(S.not_blank(F.col("tour")) & S.day(F.col("date_iso")).isNotNull())
+    rows = dated.select("tour", "event_id", "date_iso", "city", "country", "venue", "capacity", *ahead.values())
+    days = F.date_diff(S.day(F.col("to_date_iso")), S.day(F.col("date_iso")))
     return rows.where("to_event_id IS NOT NULL").withColumn("days_between", days)
 
 
+#: Places by which an event and a run can agree, best first.
+MATCH_TIERS = ("arena_id", "venue", "city")
+
+
 def match_runs(events: DataFrame, runs: DataFrame, slack: int = 1) -> DataFrame:
-    """The best box-office run of each event: same headliner, date in the run or ``slack`` days around it, and the same venue (tier 2) or city (tier 3).
+    """The best box-office run of each event: same headliner, date in the run or ``slack`` days around it, and the same arena (tier 1, where
+    both tables have ``arena_id``), venue (2) or city (3).
 
-    The headliner is the join key; dates and places filter the joined pairs. Best: tier, days off, fewest shows, id.
+    Both sides are taken apart by tier and by month, so headliner, place and month are an equality and a busy headliner's shows
+    don't meet all its runs. Best: tier, days off, fewest shows, id. Blank places match nothing; rows without valid dates drop out.
     """
-    r = runs.select("pid", F.col("artist_key").alias("_act"), F.col("venue").alias("_venue"), F.col("city").alias("_city"), F.col("start_iso").cast("date").alias("_from"), F.col("end_iso").cast("date").alias("_to"), "n_shows", "gross_usd")
-    e = events.withColumn("_day", F.col("date_iso").cast("date"))
+    tiers = [(i, c) for i, c in enumerate(MATCH_TIERS, 1) if c in events.columns and c in runs.columns]
+    places = lambda: F.array(*[F.struct(F.lit(i).alias("tier"), F.col(c).cast("string").alias("place")) for i, c in tiers])
+    r = runs.withColumn("_from", S.day(F.col("start_iso"))).withColumn("_to", F.coalesce(S.day(F.col("end_iso")), F.col("_from"))).where("_from <= _to")
+    months = F.sequence(F.trunc(F.date_sub("_from", slack), "month"), F.trunc(F.date_add("_to", slack), "month"), F.expr("INTERVAL 1 MONTH"))
+    r = r.select(F.col("artist_key").alias("_act"), F.explode(places()).alias("_p"), "_from", "_to", "n_shows", "pid", "gross_usd", months.alias("_months"))
+    r = r.where(S.not_blank(F.col("_p.place"))).select("_act", "_p.tier", "_p.place", F.explode("_months").alias("_month"), "_from", "_to", "n_shows", "pid", "gross_usd")
+    e = events.where(S.not_blank(F.col("headliner_key"))).select("event_id", F.col("headliner_key").alias("_act"), S.day(F.col("date_iso")).alias("_day"), F.explode(places()).alias("_p"))
+    e = e.where(F.col("_day").isNotNull() & S.not_blank(F.col("_p.place"))).select("event_id", "_act", "_day", "_p.tier", "_p.place", F.trunc("_day", "month").alias("_month"))
     near = (F.col("_day") >= F.date_sub("_from", slack)) & (F.col("_day") <= F.date_add("_to", slack))
-    pairs = e.join(r, (F.col("headliner_key") == F.col("_act")) & near & ((F.col("venue") == F.col("_venue")) | (F.col("city") == F.col("_city"))))
+    pairs = e.join(r, ["_act", "tier", "place", "_month"]).where(near)
     off = F.when(F.col("_day") < F.col("_from"), F.date_diff("_day", "_from")).when(F.col("_day") > F.col("_to"), F.date_diff("_day", "_to")).otherwise(0)
-    pairs = pairs.withColumn("tier", F.when(F.col("venue") == F.col("_venue"), 2).otherwise(3)).withColumn("day_off", off)
-    best = F.row_number().over(Window.partitionBy("event_id").orderBy("tier", F.abs("day_off"), "n_shows", "pid"))
-    return pairs.withColumn("_nth", best).where("_nth = 1").select("event_id", "pid", "tier", "day_off", "n_shows", "gross_usd")
+    best = pairs.withColumn("day_off", off).groupBy("event_id").agg(F.min(F.struct("tier", F.abs("day_off").alias("_off"), "n_shows", "pid", "day_off", "gross_usd")).alias("b"))
+    return best.select("event_id", "b.pid", "b.tier", "b.day_off", "b.n_shows", "b.gross_usd")
 
 
 def match_incremental(events: DataFrame, runs: DataFrame, previous: DataFrame, slack: int = 1) -> DataFrame:

@@ -13,9 +13,12 @@ from ..functions import text as T
 
 
 def shared_store(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one on a single machine and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="backline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -45,6 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         label = following.select("u", "c")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
@@ -107,25 +112,30 @@ def flag_counts(aliases: DataFrame, key: str, value: str, least: int, name: str)
 
 
 # Vocabularies of the verdict on two similar names.
-SPONSORS = (
-    "o2, ao, men, carling, 3, 3arena, 3olympia, citizens, vodafone, movistar, barclaycard, barclays, santander, utilita, motorpoint, ovo, co op, coop, bonus, first direct, "
-    "m and s, m and s bank, resorts world, mercedes benz, telekom, lanxess, sap, uber, crypto com, chase, t mobile, xfinity, toyota, honda, prudential, capital one, "
-    "rocket mortgage, little caesars, fiserv, delta, footprint, climate pledge, moda, paycom, frost bank, at and t, golden 1, bridgestone, nationwide, keybank, wells fargo, "
-    "cfg bank, amalie, kaseya, amerant, gainbridge, ball, verizon, sprint, enterprise, ppg, smoothie king, target, united center, scotiabank, canadian tire, rogers, bell, "
-    "videotron, place bell, avicii, friends, tele2, hovet, globen, jyske bank, royal, forum, zenith, accor, bercy, paris la defense, adidas, puma, emirates, etihad, eventim, "
-    "mitsubishi electric, wizink, riyadh air, swansea com, principality, cardiff city"
-).split(", ")
-GENERIC_NAMES = (
-    "club, hall, theatre, theater, arena, stadium, stadion, venue, the venue, auditorium, upstairs, downstairs, basement, bar, cafe, centre, center, pavilion, festival, park, "
-    "square, church, cathedral, museum, gallery, studio, studios, tent, big top, main stage, outdoor, indoor, unknown"
-).split(", ")
-DESCRIPTIVE = (
-    "theatre theater centre center coliseum stadium arena hall poppodium concert venue campground convention auditorium playhouse complex the at and of in s zaal sala salle "
-    "teatro teatre halle palais pavilion amphitheater amphitheatre music"
-).split()
-DISTINGUISHERS = (
-    "west east north south upper lower grand main big little old new annex terrassen terrace side bayside front back red blue green black white one two three a b i ii iii"
-).split()
+SPONSORS = [
+    "o2", "ao", "men", "carling", "3", "3arena", "3olympia", "citizens", "vodafone", "movistar", "barclaycard", "barclays", "santander", "utilita",
+    "motorpoint", "ovo", "co op", "coop", "bonus", "first direct", "m and s", "m and s bank", "resorts world", "mercedes benz", "telekom", "lanxess", "sap",
+    "uber", "crypto com", "chase", "t mobile", "xfinity", "toyota", "honda", "prudential", "capital one", "rocket mortgage", "little caesars", "fiserv",
+    "delta", "footprint", "climate pledge", "moda", "paycom", "frost bank", "at and t", "golden 1", "bridgestone", "nationwide", "keybank", "wells fargo",
+    "cfg bank", "amalie", "kaseya", "amerant", "gainbridge", "ball", "verizon", "sprint", "enterprise", "ppg", "smoothie king", "target", "united center",
+    "scotiabank", "canadian tire", "rogers", "bell", "videotron", "place bell", "avicii", "friends", "tele2", "hovet", "globen", "jyske bank", "royal", "forum",
+    "zenith", "accor", "bercy", "paris la defense", "adidas", "puma", "emirates", "etihad", "eventim", "mitsubishi electric", "wizink", "riyadh air",
+    "swansea com", "principality", "cardiff city",
+]
+GENERIC_NAMES = [
+    "club", "hall", "theatre", "theater", "arena", "stadium", "stadion", "venue", "the venue", "auditorium", "upstairs", "downstairs", "basement", "bar",
+    "cafe", "centre", "center", "pavilion", "festival", "park", "square", "church", "cathedral", "museum", "gallery", "studio", "studios", "tent", "big top",
+    "main stage", "outdoor", "indoor", "unknown",
+]
+DESCRIPTIVE = [
+    "theatre", "theater", "centre", "center", "coliseum", "stadium", "arena", "hall", "poppodium", "concert", "venue", "campground", "convention", "auditorium",
+    "playhouse", "complex", "the", "at", "and", "of", "in", "s", "zaal", "sala", "salle", "teatro", "teatre", "halle", "palais", "pavilion", "amphitheater",
+    "amphitheatre", "music",
+]
+DISTINGUISHERS = [
+    "west", "east", "north", "south", "upper", "lower", "grand", "main", "big", "little", "old", "new", "annex", "terrassen", "terrace", "side", "bayside",
+    "front", "back", "red", "blue", "green", "black", "white", "one", "two", "three", "a", "b", "i", "ii", "iii",
+]
 
 
 def dedup_verdict(pairs: DataFrame, overrides: DataFrame | None = None, concurrent: float = 0.25) -> DataFrame:

@@ -91,18 +91,6 @@ def fit_logit(rows: DataFrame, names: list[str], group: str, chosen: str, cluste
     return LogitFit(names, beta, inverse, value, null, rounds)
 
 
-def simulate(rows: DataFrame, fit: LogitFit, group: str, unit: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Expected choices of each unit with a 5 % to 95 % band over draws of the coefficients (drawn on the driver)."""
-    drawn = np.random.default_rng(seed).multivariate_normal(fit.beta, fit.covariance, size=draws)
-    betas = rows.sparkSession.createDataFrame([(i, [float(x) for x in b]) for i, b in enumerate(drawn)], "draw int, beta array<double>")
-    v = F.lit(0.0)
-    for i, n in enumerate(fit.names):
-        v = v + F.col(n) * F.get("beta", F.lit(i))
-    tried = rows.join(F.broadcast(betas)).withColumn("_g", F.struct(group, "draw"))
-    p = softmax(tried, "_g", v).groupBy(unit, "draw").agg(F.sum("p").alias("expected"))
-    return p.groupBy(unit).agg(F.avg("expected").alias("mean"), F.percentile("expected", F.lit(0.05)).alias("p5"), F.percentile("expected", F.lit(0.95)).alias("p95"))
-
-
 def gross_fit(runs: DataFrame, capacity: str, gross: str) -> DataFrame:
     """One row: slope, intercept, residual deviation and correlation of log gross on log capacity."""
     x, y = F.log(F.col(capacity)), F.log(F.col(gross))

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .identity import written
 
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
-    """Rows with their place in ``order`` (which must be total)."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """Rows with their place in ``order`` (which must be total), numbered by partition.
+
+    Rows are range-partitioned and written in order; each partition numbers its own and adds the numbers before it, so no task
+    sees more than a partition and a row a partition.
+    """
+    part = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    own = part.withColumn("place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return own.join(before, "_part").withColumn("place", (F.col("place") + F.col("_before")).cast("int")).drop("_part", "_before")
 
 
 def top_venues(events: DataFrame) -> DataFrame:
@@ -35,7 +44,7 @@ def pivot_counts(rows: DataFrame, key: str, column: str, values: list[str]) -> D
 
 def seasonality(events: DataFrame, unit: str) -> DataFrame:
     """Events and shares for each of the 12 months, 366 days or 7 weekdays (from Monday), all of them listed."""
-    day = F.col("date_iso").cast("date")
+    day = S.day(F.col("date_iso"))
     n, at = {"month": (12, F.month(day)), "day": (366, F.dayofyear(day)), "weekday": (7, F.weekday(day) + 1)}[unit]
     counts = events.where(day.isNotNull()).groupBy(at.alias(unit)).agg(F.count(F.lit(1)).alias("events"))
     spark = events.sparkSession

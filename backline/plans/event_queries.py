@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import text as T
 from ..operators import events as E
+from ..operators.identity import written
 from .domain import CATEGORIES, EVENTS, PLACES, RUNS, SETLISTS, VENUES, Domain
 from .registry import query
 
@@ -82,42 +83,44 @@ def canonical_spelling(d: Domain) -> DataFrame:
     return n.withColumn("r", F.row_number().over(Window.partitionBy("artist_key").orderBy(F.desc("uses"), "spelling"))).where("r = 1").drop("r")
 
 
-_MATCH = f"""{RUNS}, pairs AS (SELECT e.event_id, r.pid, CASE WHEN e.venue = r.venue THEN 2 ELSE 3 END AS tier, CASE WHEN e.date_iso < r.start_iso THEN date_diff('day', r.start_iso::DATE, e.date_iso::DATE) WHEN e.date_iso > r.end_iso THEN date_diff('day', r.end_iso::DATE, e.date_iso::DATE) ELSE 0 END::INT AS day_off,
-  r.n_shows, r.gross_usd FROM events e JOIN runs r ON e.headliner_key = r.artist_key AND e.date_iso::DATE BETWEEN r.start_iso::DATE - 1 AND r.end_iso::DATE + 1 AND (e.venue = r.venue OR e.city = r.city)),
+_MATCH = f"""{RUNS}, ev AS (SELECT *, CASE WHEN venue_no % 3 <> 0 THEN venue_no // 4 END AS arena_id FROM events), rn AS (SELECT r.*, CASE WHEN p.venue_no % 5 <> 0 THEN p.venue_no // 4 END AS arena_id FROM runs r JOIN places p USING (venue)),
+pairs AS (SELECT e.event_id, r.pid, CASE WHEN e.arena_id = r.arena_id THEN 1 WHEN e.venue = r.venue THEN 2 ELSE 3 END AS tier, CASE WHEN e.date_iso < r.start_iso THEN date_diff('day', r.start_iso::DATE, e.date_iso::DATE) WHEN e.date_iso > r.end_iso THEN date_diff('day', r.end_iso::DATE, e.date_iso::DATE) ELSE 0 END::INT AS day_off,
+  r.n_shows, r.gross_usd FROM ev e JOIN rn r ON e.headliner_key = r.artist_key AND e.date_iso::DATE BETWEEN r.start_iso::DATE - 1 AND r.end_iso::DATE + 1 AND (e.arena_id = r.arena_id OR e.venue = r.venue OR e.city = r.city)),
 matched AS (SELECT event_id, pid, tier, day_off, n_shows, gross_usd FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY tier, abs(day_off), n_shows, pid) AS nth FROM pairs) WHERE nth = 1)"""
 
 
-def _even_runs(d: Domain) -> DataFrame:
-    """Half of the runs, so that some events find none in their venue."""
-    return d.runs().where(F.col("n_shows") * 0 + F.substring("month", 6, 2).cast("int") % 2 == 0)
+def _sited(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Events and runs with the arena, where it is known."""
+    arena = lambda known: F.when(F.col("venue_no") % known != 0, F.floor(F.col("venue_no") / 4)).alias("arena_id")
+    return d.events().select("*", arena(3)), d.runs().join(d.places().select("venue", arena(5)), "venue")
 
 
-_EVEN = _MATCH.replace("substr(date_iso, 1, 7) AS pid FROM setlists GROUP BY", "substr(date_iso, 1, 7) AS pid FROM setlists WHERE substr(date_iso, 6, 2)::INT % 2 = 0 GROUP BY")
-
-
-@query("range_match_tiered", f"WITH {_EVEN} SELECT * FROM matched")
+@query("range_match_tiered", f"WITH {_MATCH} SELECT * FROM matched")
 def range_match(d: Domain) -> DataFrame:
-    return E.match_runs(d.events(), _even_runs(d))
+    return E.match_runs(*_sited(d))
 
 
-@query("match_summary_by_tier", f"WITH {_EVEN} SELECT coalesce(m.tier, 0) AS tier, count(*)::BIGINT AS events, count(*) FILTER (day_off <> 0)::BIGINT AS off_by_days, round(sum(gross_usd), 0) AS gross FROM events e LEFT JOIN matched m USING (event_id) GROUP BY 1")
+@query("match_summary_by_tier", f"WITH {_MATCH} SELECT coalesce(m.tier, 0) AS tier, count(*)::BIGINT AS events, count(*) FILTER (day_off <> 0)::BIGINT AS off_by_days, round(sum(gross_usd), 0) AS gross FROM events e LEFT JOIN matched m USING (event_id) GROUP BY 1")
 def match_summary(d: Domain) -> DataFrame:
-    e = d.events()
-    m = e.select("event_id").join(E.match_runs(e, _even_runs(d)), "event_id", "left")
+    e, runs = _sited(d)
+    e = written(e)
+    m = e.select("event_id").join(E.match_runs(e, runs), "event_id", "left")
     return m.groupBy(F.coalesce("tier", F.lit(0)).alias("tier")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("day_off") != 0).alias("off_by_days"), F.round(F.sum("gross_usd"), 0).alias("gross"))
 
 
-@query("match_incremental", f"WITH {_EVEN}, previous AS (SELECT event_id, 'kept' AS pid FROM events WHERE substr(date_iso, 1, 4) <= '1997') SELECT * FROM previous UNION ALL SELECT e.event_id, coalesce(m.pid, 'none') FROM events e LEFT JOIN matched m USING (event_id) WHERE substr(e.date_iso, 1, 4) > '1997'")
+@query("match_incremental", f"WITH {_MATCH}, previous AS (SELECT event_id, 'kept' AS pid FROM events WHERE substr(date_iso, 1, 4) <= '1997') SELECT * FROM previous UNION ALL SELECT e.event_id, coalesce(m.pid, 'none') FROM events e LEFT JOIN matched m USING (event_id) WHERE substr(e.date_iso, 1, 4) > '1997'")
 def match_incremental(d: Domain) -> DataFrame:
-    e = d.events()
+    e, runs = _sited(d)
+    e = written(e)
     before = e.where(F.substring("date_iso", 1, 4) <= "1997").select("event_id", F.lit("kept").alias("pid"))
-    return E.match_incremental(e, _even_runs(d), before)
+    return E.match_incremental(e, runs, before)
 
 
 @query("unmatched_anti", f"WITH {_MATCH} SELECT artist_key, venue, month, n_shows FROM runs WHERE pid NOT IN (SELECT pid FROM matched)")
 def unmatched_anti(d: Domain) -> DataFrame:
-    runs = d.runs()
-    return E.unmatched(runs, E.match_runs(d.events(), runs)).select("artist_key", "venue", "month", "n_shows")
+    e, runs = _sited(d)
+    runs = written(runs)
+    return E.unmatched(runs, E.match_runs(e, runs)).select("artist_key", "venue", "month", "n_shows")
 
 
 @query("duplicate_risk_semi", f"WITH {SETLISTS}, fixtures AS (SELECT o_orderkey AS fixture, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Supplier#' || lpad((o_custkey % 100 + 1)::VARCHAR, 9, '0') END AS venue, strftime(o_orderdate, '%Y-%m-%d') AS date_iso FROM orders) SELECT fixture, venue, date_iso, CASE WHEN venue <> '' AND (venue, date_iso) IN (SELECT venue, date_iso FROM setlists) THEN 1 ELSE 0 END AS duplicate_risk FROM fixtures")
@@ -127,11 +130,11 @@ def duplicate_risk(d: Domain) -> DataFrame:
     return E.duplicate_risk(fixtures, d.setlists(), ["venue", "date_iso"])
 
 
-@query("fixture_union", f"WITH {SETLISTS}, u AS (SELECT venue || '|' || date_iso AS key, 'setlists' AS origin, num_songs, 0 AS o FROM (SELECT venue, date_iso, max(num_songs) AS num_songs FROM setlists WHERE venue_no % 2 = 0 GROUP BY 1, 2) UNION ALL SELECT venue || '|' || start, 'runs', NULL, 1 FROM (SELECT venue, min(date_iso) AS start FROM setlists GROUP BY venue, substr(date_iso, 1, 7))) SELECT key, origin, num_songs FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o) AS r FROM u) WHERE r = 1")
+@query("fixture_union", f"WITH {SETLISTS}, u AS (SELECT venue || '|' || date_iso AS key, 'setlists' AS origin, num_songs, 0 AS o FROM (SELECT venue, date_iso, max(num_songs) AS num_songs FROM setlists GROUP BY 1, 2) UNION ALL SELECT venue || '|' || start, 'runs', NULL, 1 FROM (SELECT venue, min(date_iso) AS start FROM setlists GROUP BY venue, substr(date_iso, 1, 7))) SELECT key, origin, num_songs FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o) AS r FROM u) WHERE r = 1")
 def fixture_union(d: Domain) -> DataFrame:
     s = d.setlists()
     key = lambda day: F.concat("venue", F.lit("|"), day).alias("key")
-    one = s.where("venue_no % 2 = 0").groupBy("venue", "date_iso").agg(F.max("num_songs").alias("num_songs")).select(key("date_iso"), F.lit("setlists").alias("origin"), "num_songs")
+    one = s.groupBy("venue", "date_iso").agg(F.max("num_songs").alias("num_songs")).select(key("date_iso"), F.lit("setlists").alias("origin"), "num_songs")
     two = s.groupBy("venue", F.substring("date_iso", 1, 7)).agg(F.min("date_iso").alias("start")).select(key("start"), F.lit("runs").alias("origin"))
     return E.union_sources([one, two], "key").select("key", "origin", "num_songs")
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import choice as C
 from ..operators import events as E
 from ..operators import identity as I
 from ..operators import market as M
 from ..operators import models as X
 from ..operators import reports as R
 from .domain import CITIES_ONLY, EVENTS, RUNS, VENUES, VISITS, Domain
-from .market_queries import _OCC, BETA, _prob, _rows
 from .registry import query
 
 _NIGHTS = "nights AS (SELECT l_suppkey AS venue_no, count(*) AS events FROM lineitem GROUP BY 1), venues AS (SELECT p.*, coalesce(n.events, 0)::BIGINT AS events FROM places p LEFT JOIN nights n USING (venue_no))"
@@ -55,12 +53,6 @@ def split_half(d: Domain) -> DataFrame:
     return X.split_half(d.runs(), "venue", "gross_usd", ["pid"]).withColumn("reliability", F.round("reliability", 6))
 
 
-@query("performance_verdict", f"WITH {_OCC}, e AS (SELECT country, city, sum(p) AS expected, sum(chosen)::BIGINT AS actual FROM {_prob('des')} GROUP BY 1, 2) SELECT country, city, actual, CASE WHEN actual / expected >= 1.5 THEN 'far more than expected' WHEN actual / expected >= 1.15 THEN 'more than expected' WHEN actual / expected <= 0.67 THEN 'far fewer than expected' WHEN actual / expected <= 0.87 THEN 'fewer than expected' ELSE 'about as expected' END AS verdict FROM e")
-def performance(d: Domain) -> DataFrame:
-    e = C.expected_and_actual(C.design(_rows(d)), BETA, ["country", "city"])
-    return e.select("country", "city", "actual", M.performance_verdict(F.col("actual"), F.col("expected")).alias("verdict"))
-
-
 @query("can_host", f"WITH {VENUES}, n AS (SELECT *, CASE WHEN venue_no % 8 <> 0 THEN (venue_no * 977 % 60000)::BIGINT END AS need, ['indoor', 'outdoor', 'either'][(venue_no % 7 % 3 + 1)::INT] AS plays FROM venues) SELECT venue_no, CASE WHEN need IS NULL THEN 'size unknown' WHEN NOT (plays = 'either' OR coalesce(plays = 'indoor' AND io = 'inside', false) OR coalesce(plays = 'outdoor' AND io = 'outside', false)) THEN 'wrong kind of room' WHEN need / 3 > capacity THEN 'far too small for the act' WHEN need > capacity THEN 'too big for this room' ELSE 'fits' END AS verdict FROM n")
 def can_host(d: Domain) -> DataFrame:
     need = F.when(F.col("venue_no") % 8 != 0, F.col("venue_no") * 977 % 60000)

@@ -6,28 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import choice as C
 from ..operators import market as M
 from ..operators import models as X
 from ..operators import reports as R
-from .domain import CITIES, CITIES_ONLY, PLACES, RUNS, SETLISTS, VENUES, VISITS, Domain
+from ..operators.identity import written
+from .domain import CITIES, RUNS, SETLISTS, VENUES, Domain
+from .choice_queries import km
 from .registry import query
 from .report_queries import _SKIPPED
 
-BETA = [0.6, 0.4, 0.8, -0.5, 0.3]
-_KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin((radians({2}) - radians({0})) / 2) ** 2 + cos(radians({0})) * cos(radians({2})) * sin(radians({3} - {1}) / 2) ** 2)))"
-
-
-def km(a, b, c, e):
-    return _KM.format(a, b, c, e)
-
-
-def _rounded(name: str, places: int):
-    """Rounded, without negative zeros."""
-    x = F.round(name, places)
-    return F.when(x == 0, F.lit(0.0)).otherwise(x).alias(name)
-
-
 def _towns(d: Domain) -> DataFrame:
     """Each supplier a town of its site's country."""
     return d.venues().withColumn("country", (F.col("site") % 25).cast("string")).withColumn("city", F.col("venue")).withColumn("venues", F.lit(1).cast("bigint"))
@@ -134,141 +121,22 @@ def rank_cases(d: Domain) -> DataFrame:
     return M.market_case(rows).select("market", "case", "seats", "blocked_share")
 
 
-_OCC = f"""{VISITS}, nights AS (SELECT l_suppkey AS venue_no, count(*) AS events FROM lineitem GROUP BY 1), venues AS (SELECT p.*, coalesce(n.events, 0)::BIGINT AS events FROM places p LEFT JOIN nights n USING (venue_no)), {CITIES_ONLY},
-menu AS (SELECT * FROM cities WHERE events >= 12 AND population > 0), st AS (SELECT v.tour, v.country, v.city, v.largest, m.lat, m.lon, count(*) OVER (PARTITION BY tour, v.country) AS stops, v.shows FROM visits v JOIN menu m USING (country, city) WHERE v.tour LIKE 'blue%'),
-foc AS (SELECT a.tour, a.country, a.city AS visited, any_value(a.stops)::BIGINT AS stops, any_value(a.shows)::BIGINT AS shows, median(b.largest)::DOUBLE AS room_needed FROM st a JOIN st b ON a.tour = b.tour AND a.country = b.country AND a.city <> b.city GROUP BY 1, 2, 3),
-occ AS (SELECT f.tour || '|' || f.country || '|' || visited AS occasion, f.tour, f.country, visited, m.city, CASE WHEN m.city = visited THEN 1 ELSE 0 END AS chosen, stops, shows, room_needed, m.population, m.ceiling, (SELECT min({km('m.lat', 'm.lon', 's.lat', 's.lon')}) FROM st s WHERE s.tour = f.tour AND s.country = f.country AND s.city <> f.visited) AS km
-  FROM foc f JOIN menu m ON f.country = m.country WHERE NOT EXISTS (SELECT 1 FROM st s WHERE s.tour = f.tour AND s.country = f.country AND s.city = m.city AND s.city <> f.visited)),
-des AS (SELECT occasion, tour, country, city, chosen, room_needed, ceiling, ln(greatest(population, 1000)::DOUBLE / 1000000) AS log_catchment, ln(greatest(coalesce(ceiling, 100), 100)::DOUBLE) AS log_room, CASE WHEN ceiling >= room_needed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS big_enough,
-  coalesce(abs(ln(greatest(ceiling, 50)::DOUBLE) - ln(greatest(room_needed, 50)::DOUBLE)), 0.75::DOUBLE) AS fit_gap, ln(1 + coalesce(km, 0)) AS log_km FROM occ)"""
-
-
-def _prob(table: str, room: str = "log_room", big: str = "big_enough", gap: str = "fit_gap") -> str:
-    v = f"0.6::DOUBLE * log_catchment + 0.4::DOUBLE * ({room}) + 0.8::DOUBLE * ({big}) - 0.5::DOUBLE * ({gap}) + 0.3::DOUBLE * log_km"
-    return f"(SELECT *, exp(v - max(v) OVER (PARTITION BY occasion)) / sum(exp(v - m)) OVER (PARTITION BY occasion) AS p FROM (SELECT *, max(v) OVER (PARTITION BY occasion) AS m FROM (SELECT *, {v} AS v FROM {table})))"
-
-
-def _rows(d: Domain) -> DataFrame:
-    return C.occasions(d.visits().where("tour LIKE 'blue%'"), C.candidate_markets(d.cities()))
-
-
-@query("choice_occasions", f"WITH {_OCC} SELECT occasion, city, chosen, stops, shows, room_needed, round(km, 3) AS km, population, ceiling FROM occ")
-def choice_occasions(d: Domain) -> DataFrame:
-    return _rows(d).select("occasion", "city", "chosen", "stops", "shows", "room_needed", F.round("km", 3).alias("km"), "population", "ceiling")
-
-
-@query("loo_room_needed", f"WITH {_OCC} SELECT tour, country, visited, stops, room_needed FROM foc")
-def loo_room(d: Domain) -> DataFrame:
-    return _rows(d).where("chosen = 1").select("tour", "country", "visited", "stops", "room_needed")
-
-
-@query("routing_min_km", f"WITH {_OCC} SELECT occasion, round(min(km), 3) AS least, round(max(km), 3) AS most FROM occ GROUP BY 1")
-def routing_km(d: Domain) -> DataFrame:
-    return _rows(d).groupBy("occasion").agg(F.round(F.min("km"), 3).alias("least"), F.round(F.max("km"), 3).alias("most"))
-
-
-@query("nearest_rung", f"WITH {PLACES}, n AS (SELECT c_custkey AS act, n_name AS city, floor(abs(c_acctbal) * 4)::BIGINT AS room_needed FROM customer JOIN nation ON c_nationkey = n_nationkey), j AS (SELECT act, n.city, room_needed, capacity, round(abs(ln(greatest(capacity, 50)::DOUBLE) - ln(greatest(room_needed, 50)::DOUBLE)), 9) AS away FROM n JOIN places p ON n.city = p.city) SELECT act, city, room_needed, capacity AS best_room, round(away, 6) AS away FROM (SELECT *, row_number() OVER (PARTITION BY act ORDER BY away, capacity) AS r FROM j) WHERE r = 1")
-def nearest_rung(d: Domain) -> DataFrame:
-    needs = d.raw("customer").join(F.broadcast(d.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("act"), F.col("n_name").alias("city"), F.floor(F.abs("c_acctbal") * 4).cast("bigint").alias("room_needed"))
-    return C.nearest_rung(needs, d.places(), ["city"]).withColumn("away", F.round("away", 6))
-
-
-@query("design_constants", f"WITH {_OCC} SELECT round(quantile_cont(room_needed, 0.5), 6) AS need_median, round(quantile_cont(km, 0.5), 3) AS km_median, round(quantile_cont(ceiling, 0.01), 6) AS ceiling_floor, round(avg(ln(stops)), 6) AS stops_mean, round(avg(ln(greatest(room_needed, 100) / 1000)), 6) AS big_mean FROM occ")
-def design_constants(d: Domain) -> DataFrame:
-    k = C.design_constants(_rows(d))
-    return k.select(*[F.round(c, 3 if c == "km_median" else 6).alias(c) for c in k.columns])
-
-
-@query("design_matrix", f"WITH {_OCC} SELECT occasion, city, chosen, " + ", ".join(f"round({n}, 6) AS {n}" for n in C.NAMES) + " FROM des")
-def design_matrix(d: Domain) -> DataFrame:
-    return C.design(_rows(d)).select("occasion", "city", "chosen", *[F.round(n, 6).alias(n) for n in C.NAMES])
-
-
-@query("softmax_probs", f"WITH {_OCC} SELECT occasion, city, round(p, 6) AS p FROM {_prob('des')}")
-def softmax_probs(d: Domain) -> DataFrame:
-    return C.probabilities(C.design(_rows(d)), BETA).select("occasion", "city", F.round("p", 6).alias("p"))
-
-
-@query("expected_vs_actual", f"WITH {_OCC} SELECT country, city, round(sum(p), 4) AS expected, sum(chosen)::BIGINT AS actual, count(*)::BIGINT AS offered FROM {_prob('des')} GROUP BY 1, 2")
-def expected_vs_actual(d: Domain) -> DataFrame:
-    return C.expected_and_actual(C.design(_rows(d)), BETA, ["country", "city"]).withColumn("expected", F.round("expected", 4))
-
-
-def _changed(best: str) -> str:
-    t = "city = 'NATION_2'"
-    return _prob("des", f"CASE WHEN {t} THEN ln(greatest({best}, 100)::DOUBLE) ELSE log_room END", f"CASE WHEN {t} THEN ({best} >= room_needed)::INT::DOUBLE ELSE big_enough END", f"CASE WHEN {t} THEN abs(ln(greatest({best}, 50)::DOUBLE) - ln(greatest(room_needed, 50)::DOUBLE)) ELSE fit_gap END")
-
-
-@query("whatif_impact", f"WITH {_OCC}, b AS (SELECT country, city, sum(p) AS before FROM {_prob('des')} GROUP BY 1, 2), a AS (SELECT country, city, sum(p) AS after FROM {_changed('greatest(ceiling, 60000)')} GROUP BY 1, 2) SELECT country, city, round(before, 4) AS before, round(after, 4) AS after, CASE WHEN round(after - before, 4) = 0 THEN 0 ELSE round(after - before, 4) END AS gain FROM b JOIN a USING (country, city)")
-def whatif_impact(d: Domain) -> DataFrame:
-    rows = C.impact(C.design(_rows(d)), BETA, F.col("city") == "NATION_2", 60000, ["country", "city"])
-    return rows.select("country", "city", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), _rounded("gain", 4))
-
-
-@query("capacity_sweep", f"WITH {_OCC}, s AS (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, sum(p) AS expected FROM {_changed(f'greatest(ceiling, {n})')} WHERE city = 'NATION_2'" for n in (2000, 20000, 60000)) + ") SELECT size, round(expected, 4) AS expected, CASE WHEN round(expected - lag(expected) OVER (ORDER BY size), 4) = 0 THEN 0 ELSE round(expected - lag(expected) OVER (ORDER BY size), 4) END AS step FROM s WHERE expected IS NOT NULL")
-def capacity_sweep(d: Domain) -> DataFrame:
-    rows = C.sweep(C.design(_rows(d)), BETA, F.col("city") == "NATION_2", [2000, 20000, 60000])
-    return rows.select("size", F.round("expected", 4).alias("expected"), _rounded("step", 4))
-
-
-@query("venue_pull", f"WITH {_OCC}, sec AS (SELECT country, city, capacity AS second FROM (SELECT *, row_number() OVER (PARTITION BY country, city ORDER BY capacity DESC, venue_no) AS r FROM venues) WHERE r = 2), b AS (SELECT country, city, sum(p) AS before FROM {_prob('des')} GROUP BY 1, 2), a AS (SELECT country, city, sum(p) AS after FROM {_changed("coalesce((SELECT second FROM sec WHERE city = 'NATION_2'), 0)")} GROUP BY 1, 2) SELECT country, city, round(before, 4) AS before, round(after, 4) AS after FROM b JOIN a USING (country, city)")
-def venue_pull(d: Domain) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("country", "city").orderBy(F.desc("capacity"), "venue_no"))
-    second = d.venues().withColumn("r", nth).where("r = 2").select("country", "city", F.col("capacity").alias("second"))
-    rows = C.design(_rows(d))
-    by = ["country", "city"]
-    before = C.expected_and_actual(rows, BETA, by).select(*by, F.round("expected", 4).alias("before"))
-    after = C.expected_and_actual(C.without_largest(rows, F.col("city") == "NATION_2", second), BETA, by).select(*by, F.round("expected", 4).alias("after"))
-    return before.join(after, by)
-
-
-@query("utility_decomposition", f"WITH {_OCC} SELECT country, " + ", ".join(f"CASE WHEN round((avg({n}) FILTER (chosen = 1) - avg({n})) * ({b})::DOUBLE, 6) = 0 THEN 0 ELSE round((avg({n}) FILTER (chosen = 1) - avg({n})) * ({b})::DOUBLE, 6) END AS {n}" for n, b in zip(C.NAMES, BETA, strict=True)) + " FROM des GROUP BY 1")
-def decomposition(d: Domain) -> DataFrame:
-    rows = C.decompose(C.design(_rows(d)), BETA, ["country"])
-    return rows.select("country", *[_rounded(n, 6) for n in C.NAMES])
-
-
-@query("logit_fit")
-def logit_fit(d: Domain) -> DataFrame:
-    rows = C.design(_rows(d)).cache()
-    fit = X.fit_logit(rows, C.NAMES, "occasion", "chosen", "tour")
-    return d.spark.createDataFrame(fit.summary())
-
-
-@query("expected_bands")
-def expected_bands(d: Domain) -> DataFrame:
-    rows = C.design(_rows(d)).cache()
-    fit = X.fit_logit(rows, C.NAMES, "occasion", "chosen", "tour")
-    return X.simulate(rows, fit, "occasion", "city", draws=20)
-
-
-@query("touring_share", f"WITH {VISITS}, t AS (SELECT country, tour, count(*)::BIGINT AS cities, count(*) FILTER (city = 'NATION_2') AS here FROM visits GROUP BY 1, 2) SELECT country, cities, count(*)::BIGINT AS tours, count(*) FILTER (here > 0)::BIGINT AS came, round(count(*) FILTER (here > 0) / count(*), 4) AS share FROM t GROUP BY 1, 2")
-def touring_share(d: Domain) -> DataFrame:
-    return C.touring_share(d.visits(), "NATION_2")
-
-
 @query("gross_ols", f"WITH {RUNS}, x AS (SELECT ln(avg_capacity) AS x, ln(gross_usd) AS y FROM runs WHERE avg_capacity >= 500 AND gross_usd > 0) SELECT count(*)::BIGINT AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)), 6) AS sigma, round(corr(y, x), 6) AS r FROM x")
 def gross_ols(d: Domain) -> DataFrame:
     fit = X.gross_fit(d.runs(), "avg_capacity", "gross_usd")
     return fit.select("n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "sigma", "r")])
 
 
-@query("sellthrough_residual", f"WITH {RUNS}, b AS (SELECT venue, avg_capacity // 10000 AS band, n_shows::DOUBLE * 100 / 5 AS st FROM runs WHERE n_shows <= 5), m AS (SELECT band, median(st) AS expected FROM b GROUP BY 1) SELECT venue, count(*)::BIGINT AS runs, round(avg(st - expected), 4) AS residual FROM b JOIN m USING (band) GROUP BY 1 HAVING count(*) >= 20")
-def sellthrough(d: Domain) -> DataFrame:
-    b = d.runs().where("n_shows <= 5").select("venue", F.floor(F.col("avg_capacity") / 10000).alias("band"), (F.col("n_shows") * 100.0 / 5).alias("st"))
-    m = b.groupBy("band").agg(F.percentile("st", F.lit(0.5)).alias("expected"))
-    rows = b.join(m, "band").groupBy("venue").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(F.col("st") - F.col("expected")), 4).alias("residual"))
-    return rows.where("runs >= 20")
-
-
 _PANEL = f"{SETLISTS}, c AS (SELECT venue, substr(date_iso, 1, 4)::INT AS year, count(*)::BIGINT AS shows FROM setlists GROUP BY 1, 2), panel AS (SELECT v.venue AS unit, y.year AS time, coalesce(shows, 0)::BIGINT AS y, [0, 1997, 1998, 1999, 0][(v.venue_no % 5 + 1)::INT] AS cohort FROM (SELECT DISTINCT venue, venue_no FROM setlists) v CROSS JOIN (SELECT DISTINCT year FROM c) y LEFT JOIN c ON v.venue = c.venue AND y.year = c.year)"
 
 
 def _panel(d: Domain) -> DataFrame:
-    s = d.setlists().select("venue", "venue_no", F.substring("date_iso", 1, 4).cast("int").alias("year"), F.lit(1).cast("bigint").alias("shows"))
-    p = X.balanced_panel(s, "venue", "year", "shows")
+    """Shows of every venue and year, from one pass of the artist-nights, written once."""
+    seen = written(d.setlists().groupBy("venue", "venue_no", F.substring("date_iso", 1, 4).cast("int").alias("year")).agg(F.count(F.lit(1)).alias("shows")))
+    p = X.balanced_panel(seen, "venue", "year", "shows")
     cohort = F.element_at(F.array(*[F.lit(x) for x in (0, 1997, 1998, 1999, 0)]), (F.col("venue_no") % 5 + 1).cast("int"))
-    return p.join(s.select("venue", cohort.alias("cohort")).distinct(), "venue").select(F.col("venue").alias("unit"), F.col("year").alias("time"), F.col("shows").alias("y"), "cohort")
+    p = p.join(seen.select("venue", cohort.alias("cohort")).distinct(), "venue")
+    return written(p.select(F.col("venue").alias("unit"), F.col("year").alias("time"), F.col("shows").alias("y"), "cohort"))
 
 
 @query("panel_balanced", f"WITH {_PANEL} SELECT * FROM panel")

@@ -266,22 +266,6 @@ def enrich_targets(d: Domain) -> DataFrame:
     return p.join(looked_up, "venue_no", "left_anti").join(shared, ["lat", "lon"], "left").select("venue_no", F.coalesce("centroid", F.lit(0)).alias("centroid"))
 
 
-@query("venue_fact_precedence", f"WITH {VENUES} SELECT venue_no, coalesce(nullif(CASE WHEN venue_no % 4 = 0 THEN capacity END, 0), CASE WHEN venue_no % 3 = 0 THEN capacity + 1 END, CASE WHEN events > 0 THEN capacity + 2 END) AS capacity, CASE WHEN nullif(CASE WHEN venue_no % 4 = 0 THEN capacity END, 0) IS NOT NULL THEN 'dashboard' WHEN venue_no % 3 = 0 THEN 'lookup' WHEN events > 0 THEN 'box office' END AS capacity_source FROM venues")
-def fact_precedence(d: Domain) -> DataFrame:
-    c = F.col("capacity")
-    sources = [("dashboard", F.nullif(F.when(F.col("venue_no") % 4 == 0, c), F.lit(0))), ("lookup", F.when(F.col("venue_no") % 3 == 0, c + 1)), ("box office", F.when(F.col("events") > 0, c + 2))]
-    name = F.coalesce(*[F.when(v.isNotNull(), n) for n, v in sources])
-    return d.venues().select("venue_no", F.coalesce(*[v for _, v in sources]).alias("capacity"), name.alias("capacity_source"))
-
-
-@query("review_flags", f"WITH {VENUES}, v AS (SELECT venue_no, events, CASE WHEN venue_no % 6 <> 0 THEN capacity END AS capacity, io FROM venues) SELECT venue_no, CASE WHEN events >= 20 AND (capacity IS NULL OR io IS NULL) THEN 1 ELSE 0 END AS needs_review, CASE WHEN events >= 20 THEN CASE WHEN capacity IS NULL AND io IS NULL THEN 'no capacity, no indoor/outdoor' WHEN capacity IS NULL THEN 'no capacity' WHEN io IS NULL THEN 'no indoor/outdoor' END END AS review_reason FROM v")
-def review_flags(d: Domain) -> DataFrame:
-    v = d.venues().withColumn("capacity", F.when(F.col("venue_no") % 6 != 0, F.col("capacity")))
-    c, io, busy = F.col("capacity").isNull(), F.col("io").isNull(), F.col("events") >= 20
-    reason = F.when(c & io, "no capacity, no indoor/outdoor").when(c, "no capacity").when(io, "no indoor/outdoor")
-    return v.select("venue_no", (busy & (c | io)).cast("int").alias("needs_review"), F.when(busy, reason).alias("review_reason"))
-
-
 @query("subroom_names", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS subroom FROM part")
 def subroom_names(d: Domain) -> DataFrame:
     name = F.when(F.col("p_partkey") % 3 == 0, "great theatre ii").otherwise("great theatre")

@@ -20,6 +20,7 @@ from backline.operators import identity as I
 from backline.operators import market as M
 from backline.operators import models as X
 from backline.operators import reports as R
+from backline.operators import venues as V
 from backline.sources import ingest
 from backline.streaming import upserts
 
@@ -226,17 +227,78 @@ def test_differences(spark):
     assert max(map(abs, flat)) < 3
 
 
-def test_more_room_never_lowers_visits(spark):
+def test_rooms_move_visits_the_right_way(spark):
+    from backline.plans import choice_queries as Q
     from backline.plans.domain import Domain
-    from backline.plans.market_queries import BETA
-
-    rows = C.occasions(Domain(spark, "/root/testdata/sf0.001").visits().withColumn("tour", F.substring("tour", 1, 12)).groupBy("tour", "country", "city").agg(F.sum("shows").alias("shows"), F.max("largest").alias("largest")), C.candidate_markets(Domain(spark, "/root/testdata/sf0.001").cities(), 1))
-    designed = C.design(rows).cache()
-    city = designed.groupBy("city").count().orderBy(F.desc("count"), "city").first()["city"]
-    steps = [r.step for r in C.sweep(designed, BETA, F.col("city") == city, [100, 50_000, 90_000]).orderBy("size").collect()]
-    assert steps[0] is None and all(abs(x) < 1e9 for x in steps[1:])
-    gain = {r.city: r.gain for r in C.impact(designed, BETA, F.col("city") == city, 1, ["city"]).collect()}
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    rows, constants = Q.designed(d, C.NAMES)
+    rows = rows.cache()
+    city = rows.groupBy("city").count().orderBy(F.desc("count"), "city").first()["city"]
+    here = F.col("city") == city
+    gain = {r.city: r.gain for r in C.impact(rows, constants, C.BETA_A, here, 1, ["city"], "either").collect()}
     assert all(abs(g) < 1e-9 for g in gain.values())
+    large = {r.city: r for r in C.impact(rows, constants, C.BETA_A, here, 20_000, ["city"]).collect()}
+    assert sum(r.before for r in large.values()) == pytest.approx(sum(r.after for r in large.values()))
+    swept = {r.size: r.expected for r in C.sweep(rows, constants, C.BETA_A, here, [1, 20_000]).collect()}
+    assert swept[20_000] == pytest.approx(large[city].after) and swept[1] == pytest.approx(large[city].before)
+    # A market never gains by the loss of its largest room.
+    lost = C.without_largest(rows, constants, C.BETA_A, here, Q.menu(d)).where(here).agg(F.sum("p").alias("before"), F.sum("p_after").alias("after")).first()
+    assert lost.after <= lost.before + 1e-9
+    rows.unpersist()
+
+
+def test_nearest_rooms(spark):
+    ladder = spark.createDataFrame([("indoor", 2000.0, [500, 1000, 4000], [2100], 1000), ("outdoor", 2000.0, [500], [], 2100), ("either", 10.0, [], [], 500), ("indoor", None, [1], [1], None)], "plays string, need double, rin array<bigint>, rout array<bigint>, best bigint")
+    rooms = F.array(*[F.lit(x).cast("bigint") for x in (500, 1000, 2100, 4000)])
+    got = ladder.select(C.nearest_room(F.col("plays"), F.col("need"), F.col("rin"), F.col("rout"), rooms).alias("b"), "best").collect()
+    assert [r.b for r in got] == [r.best for r in got]
+    assert [r[0] for r in spark.sql("SELECT array(3, null, 1) a UNION ALL SELECT array(4, 1, 2, 3) UNION ALL SELECT cast(array() AS array<int>)").select(C.median_of(F.col("a"))).collect()] == [2.0, 2.5, None]
+
+
+def test_malformed_dates_drop_out(spark):
+    cols = "event_id string, date_iso string, tour string, city string, country string, venue string, capacity int, headliner_key string, venue_key string"
+    rows = [("e1", "2024-02-30", "t", "Rome", "IT", "A", 1, "x", "a"), ("e2", "2024-03-01", "t", "Rome", "IT", "A", 1, "x", "a"), ("e3", "", "t", "Bari", "IT", "B", 1, "x", "b"), ("e4", "2024-03-05", "t", "Bari", "IT", "B", 1, "x", "b"), ("e5", None, "t", "Bari", "IT", "B", 1, "", "b")]
+    e = spark.createDataFrame(rows, cols)
+    assert [(r.event_id, r.to_event_id, r.days_between) for r in E.legs(e).collect()] == [("e2", "e4", 4)]
+    assert sum(r.events for r in R.seasonality(e, "month").collect()) == 2
+    runs = spark.createDataFrame([("p1", "x", "A", "Rome", "2024-02-28", "2024-02-31", 2, 1.0), ("p2", "x", "C", "Bari", "2024-03-06", None, 1, 2.0), ("p3", "x", "B", "Rome", "soon", "2024-03-09", 1, 3.0), ("p4", "", "A", "Rome", "2024-03-01", "2024-03-01", 1, 4.0)], "pid string, artist_key string, venue string, city string, start_iso string, end_iso string, n_shows int, gross_usd double")
+    got = {r.event_id: (r.pid, r.tier, r.day_off) for r in E.match_runs(e, runs).collect()}
+    assert got == {"e4": ("p2", 3, -1)}
+
+
+def test_matching_tiers(spark):
+    e = spark.createDataFrame([(f"e{i}", "act", day, venue, city, arena) for i, (day, venue, city, arena) in enumerate([("2024-05-10", "Old Name", "Rome", 7), ("2024-05-10", "Hall", "Rome", None), ("2024-05-10", "Else", "Rome", None), ("2024-05-10", "Else", "Oslo", None), ("2024-04-30", "Hall", "Rome", 8)])], "event_id string, headliner_key string, date_iso string, venue string, city string, arena_id int")
+    runs = spark.createDataFrame([("p1", "act", "New Name", "Rome", 7, "2024-05-01", "2024-06-30", 40), ("p2", "act", "Hall", "Rome", None, "2024-05-11", "2024-05-11", 1), ("p3", "act", "Hall", "Rome", None, "2024-05-10", "2024-05-10", 9)], "pid string, artist_key string, venue string, city string, arena_id int, start_iso string, end_iso string, n_shows int").withColumn("gross_usd", F.lit(1.0))
+    got = {r.event_id: (r.pid, r.tier, r.day_off) for r in E.match_runs(e, runs).collect()}
+    assert got == {"e0": ("p1", 1, 0), "e1": ("p3", 2, 0), "e2": ("p3", 3, 0), "e4": ("p1", 3, -1)}
+    assert {r.pid for r in E.unmatched(runs, E.match_runs(e, runs)).collect()} == {"p2"}
+
+
+def test_venues_merge_in_their_city_only(spark):
+    cols = "venue string, venue_norm string, venue_key string, city string, city_norm string, country string, countryCode string, latitude double, longitude double, arena_id int, venue_type string, observed_capacity bigint, date_iso string"
+    one = lambda v, c, key=None, cap=None, kind=None, arena=None: (v, v.lower(), key or f"{v}|{c}", c, c.lower(), "Italy", "IT", 1.0, 2.0, arena, kind, cap, "2024-01-01")
+    rows = [one("Forum", "Milan", cap=1000, kind="Arena"), one("Unipol Forum", "Milan", cap=900), one("Unipol Forum", "Bologna"), one("Forum", "Milan", key="id1", cap=1100), one("Forum", "Milan", cap=90_000), one("Field", "Bari", kind="Stadium", cap=186_000), one("Club X", "Bari", kind="Club", cap=186_000, arena=5), one("", "Bari", key="raw")]
+    aliases = spark.createDataFrame([("unipol forum", "milan", "IT", "forum")], "alias_norm string, city_norm string, countryCode string, canonical_norm string")
+    events = V.with_uid(spark.createDataFrame(rows, cols), aliases)
+    arenas = spark.createDataFrame([(5, 0, "", "")], "arena_id int, concert_capacity bigint, arena_type string, outside_inside string")
+    looked = spark.createDataFrame([("forum|milan|IT", "matched", "Low", 9.0, 9.0, 5, "x", "Outside"), ("unipol forum|bologna|IT", "matched", "High", 7.0, 8.0, 4000, "Dome", "Inside")], "venue_uid string, status string, confidence string, latitude double, longitude double, capacity bigint, venue_type string, outside_inside string")
+    identity = spark.createDataFrame([("The Forum", "forum", "milan", "IT")], "canonical string, canonical_norm string, city_norm string, countryCode string")
+    got = {r.venue_uid: r for r in V.assemble(events, arenas, looked, identity, least_events=1).collect()}
+    assert set(got) == {"forum|milan|IT", "unipol forum|bologna|IT", "field|bari|IT", "club x|bari|IT", "raw"}
+    forum = got["forum|milan|IT"]
+    assert (forum.venue, forum.events, forum.n_keys, forum.capacity, forum.cap_rejected, forum.capacity_source, forum.outside_inside) == ("The Forum", 4, 3, 1100, 90_000, "box office (outlier trimmed)", "Inside")
+    assert (got["unipol forum|bologna|IT"].capacity_source, got["unipol forum|bologna|IT"].latitude) == ("lookup", 7.0)
+    assert got["club x|bari|IT"].review_reason == "capacity implausible for venue type" and got["field|bari|IT"].needs_review == 0
+    assert got["raw"].review_reason == "no capacity, no indoor/outdoor"
+    attached = {(r.venue_key, r.venue_capacity) for r in V.attach(events, V.assemble(events, arenas, looked)).collect()}
+    assert ("id1", 1100) in attached and ("raw", None) in attached
+
+
+def test_places_by_partition(spark):
+    rows = spark.range(1000).select("id", ((F.col("id") * 7919) % 997).alias("v"))
+    got = {r.id: r.place for r in R.ranked(rows, F.desc("v"), "id").collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(range(1000), key=lambda i: (-(i * 7919 % 997), i)))}
 
 
 def test_reports(spark):
