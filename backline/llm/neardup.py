@@ -41,7 +41,7 @@ VALUES = TREES * DEPTH
 #: A tie with an estimate below this is surely under the threshold: five deviations of an estimate from 256 values lie between.
 LEAST_ESTIMATE, BAND = 0.67, 0.05
 #: Classes of a block in verification, and in the estimation across neighbourhoods.
-BLOCK, WIDE_BLOCK = 512, 512
+BLOCK, WIDE_BLOCK = 512, 256
 _DRAW = np.random.default_rng(20240229)
 _MOST = np.iinfo(np.int64).max
 _XOR = _DRAW.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -253,12 +253,18 @@ def neighbourhoods(classes: DataFrame) -> DataFrame:
     # Prefixes with three classes or more, not all in one neighbourhood.
     below = scan.where("kind = 1").select("tree", F.shiftrightunsigned("row", 64 - 8 * depth).alias("prefix"), F.col("a").alias("node")).distinct()
     below = below.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    crowd = below.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
-    crowd = materialise(below.join(crowd.select("tree", "prefix", "n"), ["tree", "prefix"]))
-    blocks = F.ceil(F.col("n") / WIDE_BLOCK).cast("int")
+    roots = below.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("own"))
+    crowd = roots.groupBy("tree", "prefix").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("own", "root")).alias("most")).where("n > 2 AND roots > 1")
+    crowd = materialise(below.join(crowd.select("tree", "prefix", "n", "most"), ["tree", "prefix"]))
+    # Where one neighbourhood outweighs the others, its classes go out once, in blocks, and the few others meet each block; else
+    # all pairs of blocks meet.
+    few = F.col("n") - F.col("most.own") <= WIDE_BLOCK
+    blocks = F.ceil(F.when(few, F.col("most.own")).otherwise(F.col("n")) / WIDE_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int")
-    crowd = crowd.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    crowd = crowd.select("tree", "prefix", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root").join(classes.select("node", "signature"), "node")
+    every = F.sequence(F.lit(0), blocks - 1)
+    crowd = crowd.withColumn("own", own).withColumn("other", F.explode(F.when(few & (F.col("root") == F.col("most.root")), F.array(own)).otherwise(every)))
+    x, y = F.when(few, F.col("other")).otherwise(F.least("own", "other")), F.when(few, F.col("other")).otherwise(F.greatest("own", "other"))
+    crowd = crowd.select("tree", "prefix", x.alias("x"), y.alias("y"), "node", "root").join(classes.select("node", "signature"), "node")
     crowd = crowd.select("tree", "prefix", "x", "y", "node", "root", "signature").repartition("tree", "prefix", "x", "y").sortWithinPartitions("tree", "prefix", "x", "y")
     more = materialise(crowd.mapInArrow(_across, "a bigint, b bigint"))
     return near if more.isEmpty() else components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
