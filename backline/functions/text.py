@@ -36,6 +36,34 @@ SUBROOM_MARKERS = [
     "lounge", "bar", "club", "cafe", "basement", "upstairs", "downstairs", "studio", "hall 2", "hall 3", "room 2", "second stage", "small", "kleine", "klein", "petite",
     "sala 2", "annex", "parish", "foundry", "attic", "loft", "garage", "backstage", "gallery", "terrace", "rooftop", "grounds", "park", "plaza", "arena 2", "academy 2", "academy 3",
 ]
+# Words of an entity's class or description that tell its type and kind, the most specific first.
+TYPE_KEYWORDS = [
+    ("stadium", "Stadium", "Outside"),
+    ("racetrack", "Race Track", "Outside"),
+    ("racecourse", "Race Track", "Outside"),
+    ("speedway", "Race Track", "Outside"),
+    ("amphitheat", "Amphitheatre", "Outside"),
+    ("fairground", "Fairground", "Outside"),
+    ("festival", "Festival Site", "Outside"),
+    ("park", "Outdoor Venues", "Outside"),
+    ("garden", "Outdoor Venues", "Outside"),
+    ("arena", "Arena", "Inside"),
+    ("concert hall", "Auditorium / Theatre", "Inside"),
+    ("opera house", "Auditorium / Theatre", "Inside"),
+    ("theatre", "Auditorium / Theatre", "Inside"),
+    ("theater", "Auditorium / Theatre", "Inside"),
+    ("auditorium", "Auditorium / Theatre", "Inside"),
+    ("music venue", "Club", "Inside"),
+    ("nightclub", "Club", "Inside"),
+    ("indoor", "Arena", "Inside"),
+    ("convention", "Convention Center", "Inside"),
+    ("casino", "Casino", "Inside"),
+    ("church", "Auditorium / Theatre", "Inside"),
+    ("cathedral", "Auditorium / Theatre", "Inside"),
+]
+# Names of halls, and words that may be.
+STRONG_INDOOR = ["palacio de los deportes", "palais des sports", "palasport", "palazzo dello sport", "palacongressi", "sporthalle", "messehalle", "stadthalle", "festhalle", "olympiahalle"]
+WEAK_INDOOR = ["arena", "forum", "dome", "halle", "hall", "pala"]
 SUBROOM_TOKENS = ["2", "3", "ii", "iii"]
 
 
@@ -120,6 +148,47 @@ def is_subroom(norm: Column) -> Column:
     return marked | F.arrays_overlap(F.split(norm, " "), F.array(*[F.lit(t) for t in SUBROOM_TOKENS]))
 
 
+def kind_of_class(labels: Column, description: Column) -> tuple[Column, Column]:
+    """(type, 'Inside' or 'Outside') of an entity: the first keyword that any of its class labels or its description holds."""
+    texts = F.transform(F.concat(F.coalesce(labels, F.array().cast("array<string>")), F.array(description)), lambda x: F.lower(F.coalesce(x, F.lit(""))))
+    kind = io = F.lit(None).cast("string")
+    for word, name, place in reversed(TYPE_KEYWORDS):
+        hit = F.exists(texts, lambda x: F.contains(x, F.lit(word)))  # noqa: B023
+        kind, io = F.when(hit, name).otherwise(kind), F.when(hit, place).otherwise(io)
+    return kind, io
+
+
+def indoor_hint(name: Column) -> Column:
+    """'likely mislabelled' or 'check' for a place not labelled as a hall whose name says that it is one, else null."""
+    low = F.lower(name)
+    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    return F.when(any_of(STRONG_INDOOR), "likely mislabelled").when(any_of(WEAK_INDOOR), "check")
+
+
+def register(spark) -> None:
+    """The name and genre functions for SQL, by the same names."""
+    classes = [(name, set(genres)) for name, genres in GENRE_CLASSES]
+
+    def genre(value: str | None) -> str:
+        parts = {p.strip() for p in (value or "").lower().split(",")}
+        return next((name for name, genres in classes if parts & genres), "Music")
+
+    def event_type(value: str | None) -> str | None:
+        kind = genre(value)
+        return "Sporting Event" if kind == "Sport" else OTHER_TYPE if kind != "Music" else None
+
+    spark.udf.register("norm_key", _norm_unicode)
+    spark.udf.register("genre_class", F.pandas_udf(_mapped(genre), StringType()))
+    spark.udf.register("event_type_for_genre", F.pandas_udf(_mapped(event_type), StringType()))
+
+
+def _mapped(f):
+    def column(s: pd.Series) -> pd.Series:
+        return s.map(f)
+
+    return column
+
+
 def ratio(a: str, b: str) -> float:
     """Indel similarity in percent: 200 times the longest common subsequence over the summed lengths."""
     if not a and not b:

@@ -43,12 +43,27 @@ def bill_collapse(setlists: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
-def route(rows: DataFrame, keys: list[str], order: list[str], city: str = "city") -> DataFrame:
-    """previous_city and next_city in a tour; '' without a tour, as no route is known."""
+def route(rows: DataFrame, keys: list[str], order: list[str], city: str = "city", without: str | None = "") -> DataFrame:
+    """previous_city and next_city in a tour; ``without`` where there is no tour, as no route is known."""
     w = Window.partitionBy(*keys).orderBy(*order)
     known = S.not_blank(F.col("tour"))
     before, after = F.coalesce(F.lag(city).over(w), F.lit("First Show")), F.coalesce(F.lead(city).over(w), F.lit("Final Show"))
-    return rows.withColumn("previous_city", F.when(known, before).otherwise("")).withColumn("next_city", F.when(known, after).otherwise(""))
+    none = F.lit(without).cast("string")
+    return rows.withColumn("previous_city", F.when(known, before).otherwise(none)).withColumn("next_city", F.when(known, after).otherwise(none))
+
+
+def route_ingested(rows: DataFrame, ordinal: str) -> DataFrame:
+    """Routes of files read one after the other: of repeated setlists the first read stays, and shows of a day go by reading order."""
+    first = F.row_number().over(Window.partitionBy("setlist_id").orderBy(ordinal))
+    once = rows.withColumn("_n", first).where("_n = 1").drop("_n")
+    return route(once, ["artist", "tour"], ["date_iso", ordinal, "setlist_id"])
+
+
+def merge_days(rows: DataFrame, keys: list[str], name: str, order: str, value: str) -> DataFrame:
+    """One row a day and place, unknown places included: names in first-seen order, the first row's ``order``, rows and the sum of ``value``."""
+    each = rows.groupBy(*keys, name).agg(F.min(order).alias("_at"), F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
+    seen = F.array_sort(F.collect_list(F.struct("_at", name)))
+    return each.groupBy(*keys).agg(F.array_join(F.transform(seen, lambda x: x[name]), " & ").alias("names"), F.min("_at").alias("first"), F.sum("_n").alias("n"), F.sum("_v").alias("total"))
 
 
 def legs(events: DataFrame) -> DataFrame:
@@ -165,3 +180,32 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str, source: str,
     order = [F.when(F.col(source) == trusted, 0).otherwise(1), F.col(version).desc_nulls_last()]
     tie = [F.xxhash64(*sorted(rows.columns))]
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order, *tie))).where("_nth = 1").drop("_nth")
+
+
+# Columns of the exported events, in order.
+EXPORT_COLUMNS = [
+    "source", "date_iso", "eventDate", "headliner", "support", "artists", "n_artists", "tour", "venue", "city", "state", "stateCode", "country", "countryCode", "latitude", "longitude", "num_songs",
+    "event_type", "category", "monthly_listeners", "pollstar_rank", "previous_city", "next_city", "pollstar_match", "pollstar_headliner", "pollstar_support", "pollstar_venue", "pollstar_venue_type",
+    "pollstar_market", "pollstar_genre", "pollstar_promoter", "pollstar_run_shows", "pollstar_tickets_sold", "pollstar_capacity", "pollstar_capacity_pct", "pollstar_gross_usd", "pollstar_price_min",
+    "pollstar_price_max", "pollstar_price_avg", "event_id", "setlist_urls", "competition", "result", "duplicate_risk",
+]
+EXPORTED_CATEGORIES = ["Category A", "Category B", "Category C"]
+
+
+def exportable(events: DataFrame, since: str, arenas_only: bool = False) -> DataFrame:
+    """Events from a day on of categories A to C or of another type than artists, in arenas only if asked."""
+    rows = events.where((F.col("date_iso") >= since) & (F.col("category").isin(EXPORTED_CATEGORIES) | (F.col("event_type") != "Artist")))
+    return rows.where(S.not_blank(F.col("arena_id").cast("string"))) if arenas_only else rows
+
+
+def export_frame(events: DataFrame) -> DataFrame:
+    """The export's columns as texts, '' for what is unknown or that the table doesn't have; the other date form is made from the ISO one."""
+    made = {"eventDate": S.flip_date(F.col("date_iso")), "source": F.lit("setlistfm")}
+    value = lambda c: F.col(c) if c in events.columns else made.get(c, F.lit(""))
+    return events.select(*[F.coalesce(value(c).cast("string"), F.lit("")).alias(c) for c in EXPORT_COLUMNS], F.col("venue_key").alias("_key"))
+
+
+def write_export(events: DataFrame, path: str) -> None:
+    """The exported events as CSV with a header, in order of date and venue; partitions are ranges of that order, so parts concatenate."""
+    rows = export_frame(events).repartitionByRange("date_iso", "_key").sortWithinPartitions("date_iso", "_key", "event_id")
+    rows.drop("_key").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -36,10 +36,13 @@ def nearest_market(points: DataFrame, markets: DataFrame, most_km: float = 150.0
     """Each point's nearest market of its country within ``most_km``; ties go to the market of least name."""
     m = markets.select("country", F.col("city").alias("market"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     reach = most_km / 111.0
-    p = points.withColumn("_y", F.explode(F.sequence(F.floor(F.col("lat") - reach).cast("int"), F.floor(F.col("lat") + reach).cast("int"))))
-    m = m.withColumn("_y", F.floor("_lat").cast("int"))
+    cells = lambda mid, by: F.sequence(F.floor(mid - by).cast("int"), F.floor(mid + by).cast("int"))
+    # Markets are few: they are spread over the cells within reach, and a point has one. Longitudes meet across 180 degrees.
+    around = F.transform(cells(F.col("_lon"), F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("_lat")) + reach, F.lit(90.0)))), F.lit(0.01)))), lambda x: F.pmod(x + 180, F.lit(360)))
+    m = m.withColumn("_y", F.explode(cells(F.col("_lat"), F.lit(reach)))).withColumn("_x", F.explode(F.array_distinct(around)))
+    p = points.withColumn("_y", F.floor("lat").cast("int")).withColumn("_x", F.pmod(F.floor("lon").cast("int") + 180, F.lit(360)))
     km = S.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    pairs = p.join(m, ["country", "_y"]).withColumn("km", km).where(F.col("km") <= most_km)
+    pairs = p.join(m, ["country", "_y", "_x"]).withColumn("km", km).where(F.col("km") <= most_km)
     return pairs.groupBy("point").agg(F.min(F.struct("km", "market")).alias("best"), F.first("population").alias("population")).select("point", "best.market", "best.km", "population")
 
 
@@ -185,6 +188,15 @@ def screen(markets: DataFrame, tested: DataFrame, least_indoor: int = 10, least_
     return rows.withColumn("rank_in_country", F.rank().over(Window.partitionBy("country").orderBy(F.desc("gap_dates"))))
 
 
+def screen_columns(rows: DataFrame) -> DataFrame:
+    """Markets (country, city, population, exclusive, ceiling_indoor, suggested) with what the suggested room adds, the share of the people around
+    for whom the market is the nearest, and how far its ceiling is below its peers'."""
+    named = rows.withColumn("_n", F.concat_ws("|", "country", "city"))
+    below = peers(named, "_n", "population", "ceiling_indoor").select("_n", F.col("below_peers").alias("ceiling_below_peers"))
+    out = named.join(below, "_n", "left").drop("_n")
+    return out.withColumn("headroom", F.col("suggested") - F.coalesce("ceiling_indoor", F.lit(0))).withColumn("catchment_kept", F.try_divide(F.col("exclusive").cast("double"), F.col("population")))
+
+
 def skipped_everywhere(visits: DataFrame) -> DataFrame:
     """(country, city, tour) for every city of a country and tour of the country that left it out, with the tour's figures elsewhere in the country."""
     tours = visits.groupBy("country", "tour").agg(

@@ -139,17 +139,50 @@ def detrend(study: DataFrame) -> DataFrame:
     return study.crossJoin(F.broadcast(line)).withColumn("detrended", F.when((F.col("leads") >= 3) & F.col("slope").isNotNull(), F.col("effect") - trend).otherwise(F.col("effect"))).drop("leads", "slope", "level")
 
 
-def bootstrap(panel: DataFrame, draws: int = 50, seed: int = 0, unit: str = "unit", time: str = "time", outcome: str = "y", cohort: str = "cohort") -> list[float]:
-    """Overall effects under resampled units, sorted. A resample is a weight a unit, so no unit is relabelled."""
-    units = [r[0] for r in panel.select(unit).distinct().orderBy(unit).collect()]
-    draw = np.random.default_rng(seed)
-    out = []
-    for _ in range(draws):
-        weight = np.bincount(draw.integers(0, len(units), len(units)), minlength=len(units))
-        table = panel.sparkSession.createDataFrame([(u, int(k)) for u, k in zip(units, weight, strict=True) if k], [unit, "_times"])
-        again = panel.join(F.broadcast(table), unit).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).withColumn("_unit", F.concat_ws("#", unit, "_copy"))
-        out.append(overall_att(att_gt(again, "_unit", time, outcome, cohort)).first()["att"])
-    return sorted(x for x in out if x is not None)
+def bootstrap(panel: DataFrame, draws: int = 50, unit: str = "unit", time: str = "time", outcome: str = "y", cohort: str = "cohort") -> DataFrame:
+    """(draw, att): the overall effect under resampled units, all draws in one plan.
+
+    A resample is a weight a unit and draw, Poisson with mean 1, taken from a hash of both; so no unit is relabelled or collected,
+    and means are weighted sums.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64("u", "draw"), 11) / float(1 << 53)).cast("double")
+    weight, total, term = F.lit(0), 0.0, np.exp(-1.0)
+    for k in range(12):
+        total += term
+        weight = weight + (u >= float(total)).cast("int")
+        term /= k + 1
+    d = panel.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(outcome).alias("y"), F.coalesce(F.col(cohort), F.lit(0)).alias("c"))
+    cohorts = d.where("c > 0").select(F.col("c").alias("g")).distinct()
+    rows = d.join(F.broadcast(cohorts)).where("(c = g OR c = 0 OR (c > g AND c > t)) AND t <> g - 1")
+    base = d.select("u", F.col("t").alias("bt"), F.col("y").alias("by"))
+    change = rows.join(base, (rows["u"] == base["u"]) & (F.col("bt") == F.col("g") - 1)).select(rows["u"], "g", "t", "c", (F.col("y") - F.col("by")).alias("change"))
+    drawn = change.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).where("w > 0")
+    own = F.col("c") == F.col("g")
+    mean = lambda keep: F.sum(F.when(keep, F.col("change") * F.col("w"))) / F.sum(F.when(keep, F.col("w")))
+    units = lambda keep: F.sum(F.when(keep, F.col("w")).otherwise(0))
+    cells = drawn.groupBy("draw", "g", "t").agg(mean(own).alias("a"), mean(~own).alias("b"), units(own).alias("n_treated"), units(~own).alias("n_control")).where("n_treated >= 1 AND n_control >= 2")
+    after = cells.where("t >= g").withColumn("att", F.col("a") - F.col("b"))
+    return after.groupBy("draw").agg((F.sum(F.col("att") * F.col("n_treated")) / F.sum("n_treated")).alias("att"))
+
+
+def robustness(rooms: DataFrame, visits: DataFrame, thresholds: list[int]) -> DataFrame:
+    """The overall effect and its pre-trend for each size from which a room counts as an opening; cities that can't be judged are left out."""
+    out = None
+    for size in thresholds:
+        cohort = openings(rooms, visits, size).where("cohort >= 0").select(F.col("city").alias("unit"), "cohort")
+        panel = balanced_panel(visits, "city", "year", "shows").select(F.col("city").alias("unit"), F.col("year").alias("time"), F.col("shows").alias("y")).join(cohort, "unit")
+        treated = cohort.where("cohort > 0").agg(F.count(F.lit(1)).alias("treated"), F.countDistinct("cohort").alias("cohorts"))
+        row = overall_att(att_gt(panel)).crossJoin(treated).select(F.lit(size).alias("threshold"), "treated", "cohorts", "att", "pretrend")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def validate_openings(venues: DataFrame, least_capacity: int) -> DataFrame:
+    """One row: how far first sightings of large rooms with a known year lie from it (venues: capacity, opened_year, first_seen)."""
+    d = venues.where((F.col("capacity") >= least_capacity) & F.col("opened_year").between(1900, F.year(F.current_date())) & F.col("first_seen").isNotNull())
+    gap = F.col("first_seen") - F.col("opened_year")
+    share = lambda c: F.avg(c.cast("double"))
+    return d.agg(F.count(F.lit(1)).alias("checked"), F.percentile(gap, F.lit(0.5)).alias("median_gap"), share(F.abs(gap) <= 1).alias("within_1yr"), share(F.abs(gap) <= 3).alias("within_3yr"), share(gap > 5).alias("opened_before_panel"))
 
 
 def openings(rooms: DataFrame, visits: DataFrame, least_capacity: int, buffer: int = 2, active: int = 3) -> DataFrame:

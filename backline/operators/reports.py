@@ -113,24 +113,13 @@ def skipped_tours(visits: DataFrame, country: str, city: str) -> DataFrame:
     return rows.withColumn("plays", F.when(F.col("indoor") > F.col("outdoor"), "indoor").when(F.col("outdoor") > F.col("indoor"), "outdoor").otherwise("either"))
 
 
-def faceted(venues: DataFrame, **facets) -> DataFrame:
-    """Venues that meet every given facet; a missing capacity counts as 0 and fails an upper bound."""
-    rows = venues
-    for name, value in facets.items():
-        if value is None:
-            continue
-        if name == "contains":
-            rows = rows.where(F.lower("venue").contains(value.lower()))
-        elif name == "least_capacity":
-            rows = rows.where(F.coalesce("capacity", F.lit(0)) >= value)
-        elif name == "most_capacity":
-            c = F.coalesce("capacity", F.lit(0))
-            rows = rows.where((c <= value) & (c > 0))
-        elif name == "least_events":
-            rows = rows.where(F.col("events") >= value)
-        else:
-            rows = rows.where(F.col(name) == value)
-    return rows
+def area_legs(legs: DataFrame, country: str, cities: list[str]) -> DataFrame:
+    """Legs that touch an area of a country: from, to, whether within, leaving or arriving, and how many. Places abroad bear their country."""
+    inside = lambda c, k: F.coalesce((F.col(k) == country) & F.col(c).isin(cities), F.lit(False))
+    name = lambda c, k: F.when(F.col(k) == country, F.col(c)).otherwise(F.concat(c, F.lit(" ("), k, F.lit(")")))
+    rows = legs.where("city <> to_city").withColumn("_o", inside("city", "country")).withColumn("_d", inside("to_city", "to_country")).where("_o OR _d")
+    direction = F.when(F.col("_o") & F.col("_d"), "within").when(F.col("_o"), "leaving").otherwise("arriving")
+    return rows.groupBy(name("city", "country").alias("origin"), name("to_city", "to_country").alias("dest"), direction.alias("direction")).agg(F.count(F.lit(1)).alias("legs"))
 
 
 def gross_bands(runs: DataFrame, edges: list[int] = S.GROSS_BANDS) -> DataFrame:

@@ -210,25 +210,6 @@ def upsert_latest(d: Domain) -> DataFrame:
     return E.upsert(r.where("version % 2 = 0"), r.where("version % 2 = 1"), "key", "version", "source")
 
 
-@query("fx_convert", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > 10 THEN round(l_extendedprice / 1.25, 2) END AS gbp FROM lineitem")
-def fx_convert(d: Domain) -> DataFrame:
-    money = F.when(F.col("l_quantity") > 10, F.col("l_extendedprice"))
-    return d.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(money / 1.25, 2).alias("gbp"))
-
-
-@query("html_table_cells", r"SELECT page_id, len(regexp_extract_all(html, '<p[^>]*>', 0))::INT AS paragraphs, len(regexp_extract_all(html, 'href=', 0))::INT AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def html_cells(d: Domain) -> DataFrame:
-    count = lambda rx: F.size(F.regexp_extract_all("html", F.lit(rx), F.lit(0)))
-    return d.raw("pages").select("page_id", count("<p[^>]*>").alias("paragraphs"), count("href=").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query("export_events", f"WITH {EVENTS} SELECT date_iso, venue_key, coalesce(venue, '') AS venue, coalesce(headliner, '') AS headliner, coalesce(support, '') AS support, coalesce(countryCode, '') AS countryCode, n_artists FROM events WHERE category IN ('Category A', 'Category B', 'Category C')")
-def export_events(d: Domain) -> DataFrame:
-    e = d.events().where(F.col("category").isin("Category A", "Category B", "Category C"))
-    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("venue", "headliner", "support", "countryCode")]
-    return e.select("date_iso", "venue_key", *blank, "n_artists").orderBy("date_iso", "venue_key")
-
-
 @query("venue_rollup", f"WITH {VENUES} SELECT venue_no, venue, city, country, capacity, io, events, first_event::VARCHAR AS first_event, last_event::VARCHAR AS last_event FROM venues")
 def venue_rollup(d: Domain) -> DataFrame:
     return d.venues().select("venue_no", "venue", "city", "country", "capacity", "io", "events", F.col("first_event").cast("string").alias("first_event"), F.col("last_event").cast("string").alias("last_event"))

@@ -60,12 +60,6 @@ def can_host(d: Domain) -> DataFrame:
     return d.venues().select("venue_no", M.can_host(need, F.col("capacity"), plays, F.col("io")).alias("verdict"))
 
 
-@query("best_rank_merge", "WITH c AS (SELECT lower(p_name) AS artist_key, p_size AS rank, p_partkey AS listeners FROM part) SELECT artist_key, rank, listeners FROM (SELECT *, row_number() OVER (PARTITION BY artist_key ORDER BY rank, listeners) AS r FROM c) WHERE r = 1")
-def best_rank(d: Domain) -> DataFrame:
-    c = d.raw("part").select(F.lower("p_name").alias("artist_key"), F.col("p_size").alias("rank"), F.col("p_partkey").alias("listeners"))
-    return I.first_by_trust(c, ["artist_key"], F.col("rank"), "listeners")
-
-
 @query("enrichment_best", "WITH c AS (SELECT c_nationkey AS target, c_custkey AS candidate, c_custkey % 3 = 0 AS exact, (c_custkey % 100)::DOUBLE AS ratio, c_custkey % 5 = 0 AS city_ok, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 60)::DOUBLE END AS km, c_custkey % 2 = 0 AS country_ok FROM customer), s AS (SELECT target, candidate, CASE WHEN exact AND (city_ok OR coalesce(km <= 25, false)) THEN 'High' WHEN exact AND country_ok THEN 'Medium' WHEN ratio >= 88 AND NOT exact AND (city_ok OR coalesce(km <= 25, false)) THEN 'Medium' WHEN exact OR ratio >= 88 THEN 'Low' END AS confidence FROM c) SELECT target, candidate, confidence FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY CASE confidence WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, candidate) AS r FROM s WHERE confidence IS NOT NULL) WHERE r = 1")
 def enrichment_best(d: Domain) -> DataFrame:
     k = F.col("c_custkey")
@@ -79,12 +73,6 @@ def blank_splits(d: Domain) -> DataFrame:
     return I.blank_country_splits(v, "name", "city", "countryCode")
 
 
-@query("same_day_merge", "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN user_id % 10 <> 0 THEN user_id END AS venue, event_type, event_id, value FROM events) SELECT day, venue, array_to_string(list_sort(list_distinct(list(event_type))), ' & ') AS kinds, min(event_id) AS first_event, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM e GROUP BY 1, 2")
-def same_day(d: Domain) -> DataFrame:
-    e = d.raw("events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("venue"), "event_type", "event_id", "value")
-    return e.groupBy("day", "venue").agg(F.array_join(F.array_sort(F.collect_set("event_type")), " & ").alias("kinds"), F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
 @query("user_routes", "SELECT user_id, event_id, event_type, coalesce(lag(event_type) OVER w, 'First Show') AS previous_city, coalesce(lead(event_type) OVER w, 'Final Show') AS next_city FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def user_routes(d: Domain) -> DataFrame:
     e = d.raw("events").withColumn("tour", F.col("user_id").cast("string"))

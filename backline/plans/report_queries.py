@@ -127,12 +127,6 @@ def box_office(d: Domain) -> DataFrame:
     return d.runs().where("city = 'NATION_2' AND n_shows >= 2").select("artist_key", "venue", "start_iso", "end_iso", "n_shows", "avg_capacity", "gross_usd").orderBy(F.desc("gross_usd"), "artist_key")
 
 
-@query("dashboard_head", f"WITH {EVENTS} SELECT count(*)::BIGINT AS events, count(DISTINCT headliner_key)::BIGINT AS headliners, count(DISTINCT venue_key)::BIGINT AS venues, min(date_iso) AS first_date, max(date_iso) AS last_date, sum(songs)::BIGINT AS songs FROM events WHERE venue_no IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 1)")
-def dashboard_head(d: Domain) -> DataFrame:
-    chosen = d.raw("supplier").where("s_suppkey % 4 = 1").select(F.col("s_suppkey").alias("venue_no"))
-    return d.events().join(chosen, "venue_no", "left_semi").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("headliner_key").alias("headliners"), F.countDistinct("venue_key").alias("venues"), F.min("date_iso").alias("first_date"), F.max("date_iso").alias("last_date"), F.sum("songs").alias("songs"))
-
-
 @query("category_mix", f"WITH {EVENTS} SELECT venue_key, category, count(*)::BIGINT AS events, round(count(*) / sum(count(*)) OVER (PARTITION BY venue_key), 4) AS share FROM events GROUP BY 1, 2")
 def category_mix(d: Domain) -> DataFrame:
     n = d.events().groupBy("venue_key", "category").agg(F.count(F.lit(1)).alias("events"))
@@ -145,11 +139,6 @@ def dominant_category(d: Domain) -> DataFrame:
     return n.withColumn("r", F.row_number().over(Window.partitionBy("venue_key").orderBy(F.desc("events"), "category"))).where("r = 1").drop("r")
 
 
-@query("faceted_search", f"WITH {VENUES} SELECT venue_no, venue, capacity, events FROM venues WHERE io = 'inside' AND coalesce(capacity, 0) >= 2000 AND capacity <= 40000 AND capacity > 0 AND contains(lower(venue), 'supplier') AND events >= 10")
-def faceted_search(d: Domain) -> DataFrame:
-    return R.faceted(d.venues(), io="inside", least_capacity=2000, most_capacity=40000, contains="Supplier", least_events=10, city=None).select("venue_no", "venue", "capacity", "events")
-
-
 _ADHOC = "category IN ('Category A', 'Category B', 'Category C') AND country = 'EUROPE' AND date_iso > '1997-01-01'"
 
 

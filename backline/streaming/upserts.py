@@ -34,8 +34,31 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, schema: str, ke
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_from(log: DataFrame, rows: DataFrame, overlap_hours: int = 1):
-    """Where the next sync starts: an hour before the last completed run, else the newest update seen, else null."""
+def sync_from(log: DataFrame, rows: DataFrame, overlap_hours: int = 1, days: int = 2):
+    """Where the next sync starts: an hour before the start of the last completed run, else the newest update seen, else ``days`` ago."""
     run = log.where("completed_at IS NOT NULL").agg(F.max("started_at").alias("t")).select((F.col("t") - F.expr(f"INTERVAL {overlap_hours} HOURS")).alias("t"))
     seen = rows.agg(F.max("last_updated").alias("u"))
-    return run.crossJoin(seen).select(F.coalesce("t", "u").alias("since")).first()["since"]
+    return run.crossJoin(seen).select(F.coalesce("t", "u", F.current_timestamp() - F.expr(f"INTERVAL {days} DAYS")).alias("since")).first()["since"]
+
+
+def logged_sync(spark: SparkSession, log: str, run: str, work) -> None:
+    """Do ``work()`` between two rows of the run log: one that it started, and one, once it is done, that it is complete."""
+    row = lambda done: spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"), F.lit(done).alias("completed"))
+    row(False).write.mode("append").parquet(log)
+    work()
+    row(True).write.mode("append").parquet(log)
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    """Runs with started_at and completed_at (null while a run goes on or after it failed)."""
+    rows = spark.read.schema("run string, at timestamp, completed boolean").parquet(log)
+    return rows.groupBy("run").agg(F.min(F.when(~F.col("completed"), F.col("at"))).alias("started_at"), F.max(F.when(F.col("completed"), F.col("at"))).alias("completed_at"))
+
+
+def quota(calls: DataFrame, at: str, daily: int, kept_days: int = 30) -> DataFrame:
+    """Calls used and left by day, for the last ``kept_days`` days that were seen."""
+    day = F.to_date(at)
+    last = calls.agg(F.max(day).alias("_last"))
+    rows = calls.select(day.alias("_day")).crossJoin(F.broadcast(last)).where(F.col("_day") >= F.date_sub("_last", kept_days))
+    used = F.count(F.lit(1))
+    return rows.groupBy(F.date_format("_day", "yyyy-MM-dd").alias("day")).agg(used.alias("used"), F.greatest(F.lit(daily) - used, F.lit(0)).alias("remaining"))
