@@ -61,3 +61,10 @@ def suspects(nights: DataFrame, big: int, few: int) -> DataFrame:
     large = nights.groupBy("venue_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= big).select("venue_no")
     rows = nights.join(large, "venue_no", "left_semi").groupBy("artist_key").agg(F.count(F.lit(1)).alias("nights"), F.countDistinct("venue_no").alias("venues"))
     return rows.where(F.col("venues") <= few)
+
+
+def commonest_spelling(names: DataFrame, key: str, spelling: str) -> DataFrame:
+    """The most used spelling of each key with its uses; of ties the first by name."""
+    uses = names.groupBy(key, spelling).agg(F.count(F.lit(1)).alias("uses"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("uses"), spelling))
+    return uses.withColumn("_n", first).where("_n = 1").drop("_n")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 
-def billed(setlists: DataFrame, categories: DataFrame) -> DataFrame:
+def billed(setlists: DataFrame, categories: DataFrame, careers: DataFrame | None = None) -> DataFrame:
     """Artist-nights with event, category and slot on the bill (1 is the headliner).
 
-    Order: category, most songs, longest career, name, id. Career counts are joined, not gathered.
+    Order: category, most songs, longest career, name, id. Career counts are joined, not gathered; ``careers`` (artist_key, career)
+    saves counting them from ``setlists`` where a narrower table holds them.
     """
     rows = setlists.where(S.not_blank(F.col("date_iso")) & S.not_blank(F.col("artist")))
-    career = setlists.groupBy("artist_key").agg(F.count(F.lit(1)).alias("career"))
+    career = setlists.groupBy("artist_key").agg(F.count(F.lit(1)).alias("career")) if careers is None else careers
     rows = rows.join(categories.select("artist_key", "category"), "artist_key", "left").join(career, "artist_key")
     rows = rows.withColumn("category", F.coalesce("category", F.lit("Category E"))).withColumn("venue_key", S.venue_key(F.col("venue_id"), F.col("venue"), F.col("city")))
     rows = rows.withColumn("event_id", F.concat("date_iso", F.lit("|"), "venue_key"))
@@ -22,12 +23,12 @@ def billed(setlists: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.withColumn("slot", F.row_number().over(Window.partitionBy("event_id").orderBy(*order)))
 
 
-def bill_collapse(setlists: DataFrame, categories: DataFrame) -> DataFrame:
+def bill_collapse(setlists: DataFrame, categories: DataFrame, careers: DataFrame | None = None) -> DataFrame:
     """One row per event: the headliner's facts, support in order, counts; the tour is the headliner's or any other on the bill."""
     top = lambda c: F.max(F.when(F.col("slot") == 1, F.col(c)))
     facts = ["venue", "city", "country", "countryCode"]
     rest = ["capacity", "io", "venue_no"]
-    return billed(setlists, categories).groupBy("event_id").agg(
+    return billed(setlists, categories, careers).groupBy("event_id").agg(
         F.first("date_iso").alias("date_iso"),
         F.first("venue_key").alias("venue_key"),
         *[top(c).alias(c) for c in facts],

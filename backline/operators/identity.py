@@ -66,7 +66,13 @@ def similar_names(venues: DataFrame, floor: float = 88.0, most: int = 400) -> Da
     v = venues.join(size.drop("_n"), ["country", "city"])
     cols = ["venue_no", "norm", "events", "capacity", "first_event", "last_event"]
     left, right = (v.select("country", "city", *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
-    pairs = left.join(right, ["country", "city"]).where("a_venue_no < b_venue_no").withColumn("score", T.token_set_score(F.col("a_norm"), F.col("b_norm"))).where(F.col("score") >= floor)
+    pairs = left.join(right, ["country", "city"]).where("a_venue_no < b_venue_no")
+    # Names without a common word can only reach the floor if few letters differ, which the JVM tells; the rest isn't scored.
+    tokens = lambda side: F.array_sort(F.array_distinct(F.split(f"{side}_norm", " ")))
+    one, two = F.array_join(tokens("a"), " "), F.array_join(tokens("b"), " ")
+    near = F.levenshtein(one, two) <= (F.length(one) + F.length(two)) * (1 - floor / 100)
+    pairs = pairs.where(F.arrays_overlap(tokens("a"), tokens("b")) | near)
+    pairs = pairs.withColumn("score", T.token_set_score(F.col("a_norm"), F.col("b_norm"))).where(F.col("score") >= floor)
     swap = F.col("b_events") > F.col("a_events")
     pick = lambda c, one, two: F.when(swap, F.col(f"{two}_{c}")).otherwise(F.col(f"{one}_{c}"))
     out = [x for c in cols for x in (pick(c, "a", "b").alias(f"keep_{c}"), pick(c, "b", "a").alias(f"fold_{c}"))]
@@ -205,3 +211,17 @@ def blank_country_splits(venues: DataFrame, name: str, city: str, code: str) ->
     blank = ~S.not_blank(F.col(code))
     rows = venues.groupBy(name, city).agg(F.count_if(blank).alias("blank"), F.countDistinct(F.when(~blank, F.col(code))).alias("codes"), F.min(F.when(~blank, F.col(code))).alias("code"))
     return rows.where("blank > 0 AND codes > 0")
+
+
+#: Which earlier lookups are done again: none, those that failed, or all.
+REDO = ("new", "errors", "all")
+
+
+def enrichment_targets(places: DataFrame, known: DataFrame, redo: str = "new", crowd: int = 20) -> DataFrame:
+    """Places to look up (known: venue_no, status), with ``centroid`` 1 where more than ``crowd`` places share the coordinate, which is then a city's."""
+    if redo not in REDO:
+        raise ValueError(f"redo is one of {REDO}")
+    done = {"new": known, "errors": known.where("status <> 'error'"), "all": known.limit(0)}[redo]
+    shared = places.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("lat", "lon", F.lit(1).alias("centroid"))
+    left = places.join(done.select("venue_no").distinct(), "venue_no", "left_anti")
+    return left.join(shared, ["lat", "lon"], "left").withColumn("centroid", F.coalesce("centroid", F.lit(0)))

@@ -69,8 +69,14 @@ class Domain:
         p = p.groupBy("artist_key").agg(F.max("listeners").alias("listeners"), F.min("chart_rank").alias("chart_rank"))
         return p.withColumn("category", F.concat(F.lit("Category "), S.classify_tier(F.col("listeners"), F.col("chart_rank"))))
 
+    def careers(self) -> DataFrame:
+        """Artist-nights by artist, from the two tables that hold them."""
+        part = self.raw("part").select("p_partkey", F.lower(F.trim(F.concat("p_name", F.lit(" "), "p_brand"))).alias("artist_key"))
+        nights = self.raw("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+        return nights.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("artist_key").agg(F.sum("n").alias("career"))
+
     def events(self) -> DataFrame:
-        return E.bill_collapse(self.setlists(), self.categories())
+        return E.bill_collapse(self.setlists(), self.categories(), self.careers())
 
     def venues(self) -> DataFrame:
         """Places with their number of artist-nights and span."""

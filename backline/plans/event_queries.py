@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import text as T
 from ..operators import events as E
+from ..operators import reports as R
+from ..operators import categorise as G
 from ..operators.identity import written
+from ..sources import ingest
 from .domain import CATEGORIES, EVENTS, PLACES, RUNS, SETLISTS, VENUES, Domain
 from .registry import query
 
@@ -20,7 +23,7 @@ def bill_collapse(d: Domain) -> DataFrame:
 
 @query("headliner_rank", f"WITH {EVENTS} SELECT event_id, setlist_id, artist, category, slot::INT AS slot FROM slots")
 def headliner_rank(d: Domain) -> DataFrame:
-    return E.billed(d.setlists(), d.categories()).select("event_id", "setlist_id", "artist", "category", "slot")
+    return E.billed(d.setlists(), d.categories(), d.careers()).select("event_id", "setlist_id", "artist", "category", "slot")
 
 
 _ROUTE = "CASE WHEN trim(tour) <> '' THEN coalesce(lag(city) OVER w, 'First Show') ELSE '' END AS previous_city, CASE WHEN trim(tour) <> '' THEN coalesce(lead(city) OVER w, 'Final Show') ELSE '' END AS next_city"
@@ -79,8 +82,7 @@ _SPELL = "upper(p_name)"
 @query("canonical_spelling", f"WITH x AS (SELECT lower(p_name) AS k, CASE WHEN p_partkey % 3 = 0 THEN {_SPELL} ELSE p_name END AS spelling, count(*)::BIGINT AS uses FROM part GROUP BY 1, 2) SELECT k AS artist_key, spelling, uses FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY uses DESC, spelling) AS r FROM x) WHERE r = 1")
 def canonical_spelling(d: Domain) -> DataFrame:
     p = d.raw("part").select(F.lower("p_name").alias("artist_key"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("spelling"))
-    n = p.groupBy("artist_key", "spelling").agg(F.count(F.lit(1)).alias("uses"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("artist_key").orderBy(F.desc("uses"), "spelling"))).where("r = 1").drop("r")
+    return G.commonest_spelling(p, "artist_key", "spelling")
 
 
 _MATCH = f"""{RUNS}, ev AS (SELECT *, CASE WHEN venue_no % 3 <> 0 THEN venue_no // 4 END AS arena_id FROM events), rn AS (SELECT r.*, CASE WHEN p.venue_no % 5 <> 0 THEN p.venue_no // 4 END AS arena_id FROM runs r JOIN places p USING (venue)),
@@ -194,14 +196,24 @@ def date_multi_parse(d: Domain) -> DataFrame:
     return d.raw("orders").select("o_orderkey", S.parse_date(t).alias("day"))
 
 
-@query("songs_explode", "WITH s AS (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events), x AS (SELECT event_id, unnest(range(1, k % 4 + 1)) AS position, k FROM s) SELECT event_id, position::INT AS position, ((position - 1) // 2 + 1)::INT AS set_no, 'song ' || (k + position) AS name FROM x")
-def songs_explode(d: Domain) -> DataFrame:
+def _raw_setlists(d: Domain) -> DataFrame:
+    """Events as nested setlists of up to three songs in sets of two, as JSON."""
     k = F.get_json_object("props", "$.k").cast("int")
-    sets = F.transform(F.sequence(F.lit(0), F.floor((k % 4 - 1) / 2).cast("int")), lambda s: F.transform(F.sequence(s * 2 + 1, F.least(s * 2 + 2, k % 4)), lambda p: F.concat(F.lit("song "), (k + p).cast("string"))))
-    e = d.raw("events").select("event_id", F.posexplode(F.when(k % 4 > 0, sets)).alias("set_at", "songs"))
-    rows = e.select("event_id", "set_at", F.posexplode("songs").alias("at", "name"))
-    nth = F.row_number().over(Window.partitionBy("event_id").orderBy("set_at", "at"))
-    return rows.select("event_id", nth.alias("position"), (F.col("set_at") + 1).alias("set_no"), "name")
+    song = lambda p: F.struct(F.concat(F.lit("song "), (k + p).cast("string")).alias("name"), (p == 2).alias("tape"))
+    songs = F.transform(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda p: p <= k % 4), song)
+    sets = F.filter(F.array(*[F.struct(F.slice(songs, at, 2).alias("song")) for at in (1, 3)]), lambda s: F.size(s["song"]) > 0)
+    venue = F.struct(F.lit("v").alias("id"), F.struct(F.lit("Rome").alias("name"), F.struct(F.lit("IT").alias("code")).alias("country")).alias("city"))
+    return d.raw("events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "dd-MM-yyyy").alias("eventDate"), venue.alias("venue"), F.struct(sets.alias("set")).alias("sets"))).alias("json"))
+
+
+@query("songs_explode", "WITH s AS (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events), x AS (SELECT event_id, unnest(range(1, k % 4 + 1)) AS position, k FROM s) SELECT event_id, position::INT AS position, ((position - 1) // 2 + 1)::INT AS set_no, 'song ' || (k + position) AS name, (position = 2)::INT AS tape FROM x")
+def songs_explode(d: Domain) -> DataFrame:
+    return ingest.explode_songs(_raw_setlists(d)).select(F.col("setlist_id").cast("bigint").alias("event_id"), "position", "set_no", "name", "tape")
+
+
+@query("setlists_flatten", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date_iso, (props::JSON->>'k')::INT % 4 AS num_songs, 'Rome' AS city, 'IT' AS countryCode, '' AS tour FROM events")
+def setlists_flatten(d: Domain) -> DataFrame:
+    return ingest.flatten_setlists(_raw_setlists(d)).select(F.col("setlist_id").cast("bigint").alias("event_id"), "date_iso", "num_songs", "city", "countryCode", "tour")
 
 
 @query("upsert_latest", "WITH r AS (SELECT user_id AS key, event_id AS version, CASE WHEN event_id % 3 = 0 THEN 'api' ELSE 'csv' END AS source, value FROM events) SELECT key, version, source, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN source = 'api' THEN 0 ELSE 1 END, version DESC) AS n FROM r) WHERE n = 1")
@@ -213,3 +225,32 @@ def upsert_latest(d: Domain) -> DataFrame:
 @query("venue_rollup", f"WITH {VENUES} SELECT venue_no, venue, city, country, capacity, io, events, first_event::VARCHAR AS first_event, last_event::VARCHAR AS last_event FROM venues")
 def venue_rollup(d: Domain) -> DataFrame:
     return d.venues().select("venue_no", "venue", "city", "country", "capacity", "io", "events", F.col("first_event").cast("string").alias("first_event"), F.col("last_event").cast("string").alias("last_event"))
+
+
+@query("venue_routes", f"WITH {EVENTS}, r AS (SELECT venue_key, headliner_key, {_ROUTE} FROM events WINDOW w AS (PARTITION BY headliner_key, tour ORDER BY date_iso, event_id)), g AS (SELECT venue_key, count(*)::BIGINT AS events, count(DISTINCT headliner_key)::BIGINT AS headliners, count(DISTINCT nullif(previous_city, ''))::BIGINT AS came_from, count(DISTINCT nullif(next_city, ''))::BIGINT AS went_to FROM r GROUP BY 1) SELECT *, row_number() OVER (ORDER BY events DESC, venue_key)::INT AS place FROM g")
+def venue_routes(d: Domain) -> DataFrame:
+    routed = E.route(d.events(), ["headliner_key", "tour"], ["date_iso", "event_id"])
+    blank = lambda c: F.countDistinct(F.nullif(c, F.lit("")))
+    v = routed.groupBy("venue_key").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("headliner_key").alias("headliners"), blank("previous_city").alias("came_from"), blank("next_city").alias("went_to"))
+    return R.ranked(v, F.desc("events"), "venue_key")
+
+
+@query("categorised_artists", f"WITH {SETLISTS}, v AS (SELECT artist_key, venue_no, count(*) AS n FROM setlists GROUP BY 1, 2), a AS (SELECT artist_key, sum(n)::BIGINT AS shows, max(n)::BIGINT AS most_at_one FROM v GROUP BY 1), {CATEGORIES}, g AS (SELECT artist_key, min(p_size) % 7 AS g FROM (SELECT lower(trim(p_name || ' ' || p_brand)) AS artist_key, p_size FROM part) GROUP BY 1) SELECT artist_key, CASE WHEN g IN (0, 1) AND shows >= 8 AND most_at_one >= 4 THEN 'Tenant Sporting Event' WHEN g IN (0, 1) THEN 'Non-Tenant Sporting Event' WHEN g = 2 THEN 'Family, Entertainment, Comedy & Other' ELSE category END AS category, shows FROM a JOIN categories USING (artist_key) JOIN g USING (artist_key)")
+def categorised_artists(d: Domain) -> DataFrame:
+    v = d.setlists().groupBy("artist_key", "venue_no").agg(F.count(F.lit(1)).alias("n"))
+    artists = v.groupBy("artist_key").agg(F.sum("n").alias("shows"), F.count(F.lit(1)).alias("venues"), F.max("n").alias("most_at_one")).withColumn("name", F.col("artist_key"))
+    cat = d.categories().withColumn("place", F.lit(1))
+    genre = F.element_at(F.array(*[F.lit(g) for g in ("Sports", "Rock, basketball", "Comedy", "Rock", "Pop", "", "Jazz")]), (F.min("p_size") % 7 + 1).cast("int"))
+    genres = d.raw("part").select(F.lower(F.trim(F.concat("p_name", F.lit(" "), "p_brand"))).alias("artist_key"), "p_size").groupBy("artist_key").agg(genre.alias("genre")).withColumn("place", F.lit(1))
+    return G.categorise(artists, cat, cat, genres).select("artist_key", "category", "shows")
+
+
+@query("rule_regression", f"WITH {CATEGORIES} SELECT artist_key, category, 'Category A' AS expected FROM categories WHERE category <> 'Category A' AND artist_key < 'm'")
+def rule_regression(d: Domain) -> DataFrame:
+    cat = d.categories()
+    return G.verify(cat, cat.where("artist_key < 'm'").select("artist_key", F.lit("Category A").alias("category")))
+
+
+@query("suspect_acts", f"WITH {SETLISTS}, b AS (SELECT venue_no FROM setlists GROUP BY 1 HAVING count(*) >= 100) SELECT artist_key, count(*)::BIGINT AS nights, count(DISTINCT venue_no)::BIGINT AS venues FROM setlists WHERE venue_no IN (SELECT venue_no FROM b) GROUP BY 1 HAVING count(DISTINCT venue_no) <= 3")
+def suspect_acts(d: Domain) -> DataFrame:
+    return G.suspects(d.setlists(), 100, 3)

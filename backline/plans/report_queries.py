@@ -162,9 +162,9 @@ def pct_rank(d: Domain) -> DataFrame:
     return d.venues().select("venue_no", "country", "events", F.round(S.percent_rank_average(["country"], "events"), 6).alias("pct"))
 
 
-@query("alias_ambiguous", f"WITH {PLACES} SELECT city AS alias, count(DISTINCT venue_no)::BIGINT AS n, CASE WHEN count(DISTINCT venue_no) >= 5 THEN 1 ELSE 0 END AS ambiguous FROM places GROUP BY 1")
+@query("alias_ambiguous", "SELECT 'a' || (c_custkey % 900) AS alias, count(DISTINCT c_nationkey)::BIGINT AS n, CASE WHEN count(DISTINCT c_nationkey) > 1 THEN 1 ELSE 0 END AS ambiguous FROM customer GROUP BY 1")
 def alias_ambiguous(d: Domain) -> DataFrame:
-    return I.flag_counts(d.places().withColumnRenamed("city", "alias"), "alias", "venue_no", 5, "ambiguous")
+    return I.flag_counts(d.raw("customer").select(F.concat(F.lit("a"), F.col("c_custkey") % 900).alias("alias"), "c_nationkey"), "alias", "c_nationkey", 2, "ambiguous")
 
 
 @query("alias_generic", "SELECT p_name AS alias, count(DISTINCT p_brand)::BIGINT AS n, CASE WHEN count(DISTINCT p_brand) >= 3 THEN 1 ELSE 0 END AS generic FROM part GROUP BY 1")
@@ -247,18 +247,23 @@ def identity_dedupe(d: Domain) -> DataFrame:
     return I.first_by_trust(u, ["alias"], F.col("trust"), "canonical")
 
 
-@query("enrich_targets", f"WITH {PLACES}, c AS (SELECT lat, lon FROM places GROUP BY 1, 2 HAVING count(*) > 1) SELECT p.venue_no, CASE WHEN c.lat IS NOT NULL THEN 1 ELSE 0 END AS centroid FROM places p LEFT JOIN c USING (lat, lon) WHERE p.venue_no NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+@query("enrich_targets", "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 1.0 ELSE c_custkey::DOUBLE END AS lat, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey ELSE 2 END::DOUBLE AS lon FROM customer), k AS (SELECT lat, lon FROM c GROUP BY 1, 2 HAVING count(*) > 20), e AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'not found' ELSE 'error' END AS status FROM customer WHERE c_custkey % 2 = 0) SELECT c.c_custkey AS venue_no, (k.lat IS NOT NULL)::INT AS centroid, mode FROM c LEFT JOIN k USING (lat, lon) CROSS JOIN (VALUES ('new'), ('errors'), ('all')) m(mode) WHERE mode = 'all' OR c_custkey NOT IN (SELECT c_custkey FROM e WHERE mode = 'new' OR status <> 'error')")
 def enrich_targets(d: Domain) -> DataFrame:
-    p = d.places()
-    shared = p.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lat", "lon", F.lit(1).alias("centroid"))
-    looked_up = d.raw("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("venue_no"))
-    return p.join(looked_up, "venue_no", "left_anti").join(shared, ["lat", "lon"], "left").select("venue_no", F.coalesce("centroid", F.lit(0)).alias("centroid"))
+    k = F.col("c_custkey")
+    places = d.raw("customer").select(k.alias("venue_no"), F.when(k % 4 == 0, 1.0).otherwise(k.cast("double")).alias("lat"), F.when(k % 4 == 0, F.col("c_nationkey")).otherwise(2).cast("double").alias("lon"))
+    status = F.element_at(F.array(F.lit("matched"), F.lit("not found"), F.lit("error")), (k % 3 + 1).cast("int"))
+    known = d.raw("customer").where("c_custkey % 2 = 0").select(k.alias("venue_no"), status.alias("status"))
+    parts = [I.enrichment_targets(places, known, redo).select("venue_no", "centroid", F.lit(redo).alias("mode")) for redo in I.REDO]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_ROOMS = ["great theatre ii", "great theatre", "sports barn", "academy 3", "grand palace", "the loft", "hall iii north", "clubland"]
 
 
-@query("subroom_names", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS subroom FROM part")
+@query("subroom_names", f"WITH n AS (SELECT p_partkey, {_ROOMS}[(p_partkey % 8 + 1)::INT] AS name FROM part) SELECT p_partkey, name, (p_partkey % 8 IN (0, 2, 3, 5, 6, 7))::INT AS subroom FROM n")
 def subroom_names(d: Domain) -> DataFrame:
-    name = F.when(F.col("p_partkey") % 3 == 0, "great theatre ii").otherwise("great theatre")
-    return d.raw("part").select("p_partkey", T.is_subroom(name).cast("int").alias("subroom"))
+    name = F.element_at(F.array(*[F.lit(r) for r in _ROOMS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return d.raw("part").select("p_partkey", name.alias("name"), T.is_subroom(name).cast("int").alias("subroom"))
 
 
 @query("status_counts", f"WITH {SETLISTS} SELECT (SELECT count(*) FROM setlists)::BIGINT AS setlists, (SELECT count(DISTINCT artist_key) FROM setlists)::BIGINT AS artists, (SELECT count(DISTINCT venue_no) FROM setlists)::BIGINT AS venues, (SELECT count(*) FROM setlists WHERE trim(tour) = '')::BIGINT AS without_tour, (SELECT max(date_iso) FROM setlists) AS last_date")

@@ -73,6 +73,11 @@ def venue_assembly(d: Domain) -> DataFrame:
     return assembled(d)[1]
 
 
+@query("venue_fact_precedence", f"WITH {_ASSEMBLY} SELECT venue_uid, capacity, capacity_source, venue_type, venue_type_source FROM vn")
+def fact_precedence(d: Domain) -> DataFrame:
+    return assembled(d)[1].select("venue_uid", "capacity", "capacity_source", "venue_type", "venue_type_source")
+
+
 @query("venue_facts_attached", f"WITH {_ASSEMBLY} SELECT venue_capacity_source, venue_outside_inside, count(*)::BIGINT AS events, sum(venue_capacity)::BIGINT AS seats FROM (SELECT capacity AS venue_capacity, capacity_source AS venue_capacity_source, outside_inside AS venue_outside_inside FROM eu LEFT JOIN vn USING (venue_uid)) GROUP BY 1, 2")
 def facts_attached(d: Domain) -> DataFrame:
     e, v = assembled(d)
@@ -141,3 +146,27 @@ def io_cascade(d: Domain) -> DataFrame:
     name = F.element_at(F.array(F.lit("Hyde Park"), F.lit("Forum Club"), F.lit("Plain Name")), (k % 3 % 2 + k % 2 + 1).cast("int"))
     v = d.raw("supplier").select("s_suppkey", F.when(k % 4 == 0, " Inside ").when(k % 4 == 1, "").alias("v_io"), F.when(k % 3 == 0, "OUTSIDE").alias("a_io"), name.alias("name"))
     return V.io_cascade(v, "v_io", "a_io", "name").select("s_suppkey", "io", "io_source")
+
+
+#: Pairs of names (kept, folded, city, capacities, overlap of spans), one for each rule in order.
+_PAIRS = [
+    ("club", "club 11", "amsterdam", 10, 10, -1.0),
+    ("fillmore", "fillmore west", "sf", 10, 10, -1.0),
+    ("o2 academy 2", "academy", "liverpool", 10, 10, -1.0),
+    ("paramount", "paramount lounge", "x", 10, 10, 0.9),
+    ("ao dome", "men dome", "x", 100, 10, 0.9),
+    ("ao dome", "men dome", "x", 100, 99, 0.9),
+    ("paramount", "paramount lounge", "x", 10, 10, -0.9),
+    ("ao dome", "men dome", "x", 100, 99, -0.1),
+    ("paramount", "paramount theatre", "x", 1, None, None),
+    ("garage ludlow", "garage ludlow cincinnati", "cincinnati", 1, None, -1.0),
+    ("aa bb", "aa cc", "x", 100, 120, -1.0),
+    ("aa bb", "aa dd", "x", 100, None, -1.0),
+    ("aa bb", "aa ee", "x", 100, 500, -1.0),
+]
+
+
+@query("dedup_rules", "SELECT * FROM (VALUES ('club', 'club 11', 'separate: a name too generic for a building', 0), ('fillmore', 'fillmore west', 'separate: a word tells one room or site from others', 0), ('o2 academy 2', 'academy', 'separate: a number names a second room', 0), ('paramount', 'paramount lounge', 'separate: a smaller room, in use at the same time', 0), ('ao dome', 'men dome', 'separate: in use at the same time, one half the size', 0), ('ao dome', 'men dome', 'separate: both names in use at once', 0), ('paramount', 'paramount lounge', 'separate: a smaller room in the venue', 0), ('ao dome', 'men dome', 'merge: a new sponsor, spans apart', 1), ('paramount', 'paramount theatre', 'merge: descriptive words only', 1), ('garage ludlow', 'garage ludlow cincinnati', 'merge: descriptive words only', 1), ('aa bb', 'aa cc', 'merge: spans apart, capacities agree', 1), ('aa bb', 'aa dd', 'review: spans apart, capacity unknown', 0), ('aa bb', 'aa ee', 'review: unclear', 0)) t(keep_norm, fold_norm, verdict, should_merge)")
+def dedup_rules(d: Domain) -> DataFrame:
+    pairs = d.spark.createDataFrame(_PAIRS, "keep_norm string, fold_norm string, city string, keep_capacity bigint, fold_capacity bigint, overlap double")
+    return I.dedup_verdict(pairs).select("keep_norm", "fold_norm", "verdict", F.col("should_merge").cast("int").alias("should_merge"))

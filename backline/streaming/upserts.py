@@ -14,22 +14,81 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.events import upsert
 
 
+BUCKETS, KEPT_VERSIONS = 64, 2
+
+
+def _fs(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the versions that are whole, oldest first."""
+    fs, path = _fs(spark, f"{root}/versions")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [n for n in names if fs.exists(hadoop(f"{root}/versions/{n}/_SUCCESS"))]
+
+
+def _folders(spark: SparkSession, root: str, version: str) -> dict[int, str]:
+    """Of a version the folder of each bucket; a row a bucket."""
+    rows = spark.read.schema("bucket int, folder string").parquet(f"{root}/versions/{version}").collect()
+    return {r["bucket"]: r["folder"] for r in rows}
+
+
+def _read(spark: SparkSession, root: str, folders: dict[int, str], schema: str) -> DataFrame:
+    paths = [f"{root}/data/{folder}/bucket={b}" for b, folder in sorted(folders.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The newest version of the table below ``root``; empty before the first."""
-    jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")) if fs.exists(path) else []
-    whole = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{v}/_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{root}/{whole[-1]}") if whole else spark.createDataFrame([], schema)
+    versions = _versions(spark, root)
+    return _read(spark, root, _folders(spark, root, versions[-1]) if versions else {}, schema)
+
+
+def merge_batch(batch: DataFrame, number: int, root: str, schema: str, key: str, version: str, source: str, trusted: str = "api", buckets: int = BUCKETS) -> None:
+    """Merge rows into the table: only the buckets of their keys are read and written anew, and a version names each bucket's folder.
+
+    Versions before the last ``KEPT_VERSIONS`` and the folders that only they name are deleted.
+    """
+    spark = batch.sparkSession
+    of_key = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    batch = batch.withColumn("bucket", of_key).persist()
+    try:
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
+        versions = _versions(spark, root)
+        folders = _folders(spark, root, versions[-1]) if versions else {}
+        old = _read(spark, root, {b: f for b, f in folders.items() if b in touched}, schema).withColumn("bucket", of_key)
+        merged = upsert(old, batch.select(old.columns), key, version, source, trusted)
+        if touched:
+            folder = uuid.uuid4().hex
+            merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/data/{folder}")
+            folders |= dict.fromkeys(touched, folder)
+    finally:
+        batch.unpersist()
+    rows = spark.createDataFrame(sorted(folders.items()), "bucket int, folder string")
+    rows.coalesce(1).write.parquet(f"{root}/versions/v{number:010d}-{uuid.uuid4().hex[:8]}")
+    _clean(spark, root)
+
+
+def _clean(spark: SparkSession, root: str) -> None:
+    versions = _versions(spark, root)
+    named = {v: {(b, f) for b, f in _folders(spark, root, v).items()} for v in versions}
+    kept = set().union(*(named[v] for v in versions[-KEPT_VERSIONS:])) if versions else set()
+    fs, _ = _fs(spark, root)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for v in versions[:-KEPT_VERSIONS]:
+        for b, f in named[v] - kept:
+            fs.delete(hadoop(f"{root}/data/{f}/bucket={b}"), True)
+        fs.delete(hadoop(f"{root}/versions/{v}"), True)
 
 
 def upsert_stream(stream: DataFrame, root: str, checkpoint: str, schema: str, key: str, version: str, source: str, trusted: str = "api") -> StreamingQuery:
     """Merge each micro-batch into the table below ``root``; a batch that is run again gives the same table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        merged = upsert(current(spark, root, schema), batch, key, version, source, trusted)
-        merged.write.parquet(f"{root}/v{number:010d}-{uuid.uuid4().hex[:8]}")
+        merge_batch(batch, number, root, schema, key, version, source, trusted)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
