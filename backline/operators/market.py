@@ -21,7 +21,7 @@ def radius_catchment(cities: DataFrame, points: DataFrame, radii: tuple[int, ...
     """
     reach = max(radii) / 111.0
     c = cities.select("country", "city", "lat", "lon")
-    wide = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.abs(F.col("lat")) + reach)), F.lit(0.01)))
+    wide = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.abs(F.col("lat")) + reach)), F.lit(0.001)))
     cells = lambda mid, by: F.sequence(F.floor(mid - by).cast("int"), F.floor(mid + by).cast("int"))
     c = c.withColumn("_y", F.explode(cells(F.col("lat"), F.lit(reach)))).withColumn("_x", F.explode(cells(F.col("lon"), wide)))
     p = points.select("country", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "population", F.floor("lat").cast("int").alias("_y"), F.floor("lon").cast("int").alias("_x"))
@@ -38,7 +38,7 @@ def nearest_market(points: DataFrame, markets: DataFrame, most_km: float = 150.0
     reach = most_km / 111.0
     cells = lambda mid, by: F.sequence(F.floor(mid - by).cast("int"), F.floor(mid + by).cast("int"))
     # Markets are few: they are spread over the cells within reach, and a point has one. Longitudes meet across 180 degrees.
-    around = F.transform(cells(F.col("_lon"), F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("_lat")) + reach, F.lit(90.0)))), F.lit(0.01)))), lambda x: F.pmod(x + 180, F.lit(360)))
+    around = F.transform(cells(F.col("_lon"), F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("_lat")) + reach, F.lit(90.0)))), F.lit(0.001)))), lambda x: F.pmod(x + 180, F.lit(360)))
     m = m.withColumn("_y", F.explode(cells(F.col("_lat"), F.lit(reach)))).withColumn("_x", F.explode(F.array_distinct(around)))
     p = points.withColumn("_y", F.floor("lat").cast("int")).withColumn("_x", F.pmod(F.floor("lon").cast("int") + 180, F.lit(360)))
     km = S.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
