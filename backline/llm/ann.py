@@ -10,6 +10,10 @@ In clustered vectors pruning leaves no edges between clusters, so a search has m
 random ``ENTRIES`` nodes. Of the finished graph every node is searched for, and one that its own search misses becomes an
 entry too, so no piece of the graph is out of reach.
 
+How wide a search must be depends on the vectors, so each shard measures it: ``PROBES`` of its own vectors are searched for
+with beams of ``SEARCH_BEAM`` nodes and more, until these searches find ``RECALL`` of what a scan of the shard finds; a beam as wide
+as the shard is a scan.
+
 Largest inner product becomes nearest neighbour by one more coordinate that gives all vectors
 the largest norm. Reported scores are inner products of the original vectors in double precision.
 Vectors that are null, zero, or hold null or non-finite components and rows without an id take no part. Vectors of
@@ -29,6 +33,7 @@ from .common import materialise
 
 SHARD_ROWS, QUERY_BLOCK, TOP, EVERY = 12_000, 8192, 20, 20
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, EXPAND, ENTRIES = 32, 64, 128, 1.2, 512, 4, 1024
+PROBES, RECALL = 64, 0.95
 
 
 def beam_search(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +157,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-_GRAPH = "length int, shard int, node bigint, least bigint, top_norm double, vector array<double>, edges array<bigint>, entry boolean"
+_GRAPH = "length int, shard int, node bigint, least bigint, top_norm double, vector array<double>, edges array<bigint>, entry boolean, beam int"
 
 
 def _wide(vectors: np.ndarray, table: pa.Table) -> np.ndarray:
@@ -161,16 +166,46 @@ def _wide(vectors: np.ndarray, table: pa.Table) -> np.ndarray:
     return np.concatenate([vectors, more[:, None]], 1).astype(np.float32)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    table = table.sort_by("node")
-    v = _matrix(table["vector"])
-    edges, entries = build_graph(_wide(v, table))
-    start = np.zeros(len(v), bool)
-    start[entries] = True
-    return table.append_column("edges", pa.array(list(edges), pa.list_(pa.int64()))).append_column("entry", pa.array(start))
+def _as_queries(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, np.zeros((len(vectors), 1))], 1).astype(np.float32)
+
+
+def _ended(edges: np.ndarray) -> np.ndarray:
+    """Edges with a row of none for the node that stands for none."""
+    return np.concatenate([edges, np.full((1, DEGREE), -1, np.int64)])
+
+
+def beam_needed(vectors: np.ndarray, wide: np.ndarray, edges: np.ndarray, entries: np.ndarray, beam: int, top: int = TOP) -> int:
+    """The least beam, by doubling, whose searches for some of the vectors find ``RECALL`` of the ``top`` largest inner products."""
+    n = len(vectors)
+    asked = vectors[np.unique(np.linspace(0, n - 1, PROBES).astype(int))]
+    score = asked @ vectors.T
+    k = min(top, n)
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]  # ties at the end count as found
+    while beam < n:
+        found, _ = beam_search(wide, edges, entries, _as_queries(asked), beam)
+        hits = np.where(found >= 0, np.take_along_axis(score, np.maximum(found, 0), 1), -np.inf) >= least
+        if np.minimum(hits.sum(1), k).sum() >= RECALL * k * len(asked):
+            break
+        beam *= 2
+    return min(beam, max(n, 1))
+
+
+def _build(beam: int):
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        v = _matrix(table["vector"])
+        wide = _wide(v, table)
+        edges, entries = build_graph(wide)
+        start = np.zeros(len(v), bool)
+        start[entries] = True
+        beams = np.full(len(v), beam_needed(v, wide, _ended(edges), entries, beam), np.int32)
+        return table.append_column("edges", pa.array(list(edges), pa.list_(pa.int64()))).append_column("entry", pa.array(start)).append_column("beam", pa.array(beams))
+
+    return build
 
 
-def _search(top: int, beam: int):
+def _search(top: int):
     def search(graph: pa.Table, queries: pa.Table) -> pa.Table:
         out = [[], [], []]
         if graph.num_rows and queries.num_rows:
@@ -178,11 +213,10 @@ def _search(top: int, beam: int):
             v, q = _matrix(graph["vector"]), _matrix(queries["vector"])
             node, least, name = graph["node"].to_numpy(), graph["least"].to_numpy(), queries["query"].to_numpy()
             wide = _wide(v, graph)
-            edges = np.asarray(graph["edges"].combine_chunks().flatten()).reshape(len(v), DEGREE)
-            edges = np.concatenate([edges, np.full((1, DEGREE), -1, np.int64)])
-            entries = np.flatnonzero(graph["entry"].to_numpy())
+            edges = _ended(np.asarray(graph["edges"].combine_chunks().flatten()).reshape(len(v), DEGREE))
+            entries, beam = np.flatnonzero(graph["entry"].to_numpy()), max(graph["beam"][0].as_py(), top)
             for at in range(0, len(q), BATCH):
-                part = np.concatenate([q[at : at + BATCH], np.zeros((len(q[at : at + BATCH]), 1))], 1).astype(np.float32)
+                part = _as_queries(q[at : at + BATCH])
                 found, _ = beam_search(wide, edges, entries, part, beam)
                 for i, row in enumerate(found):
                     row = row[row >= 0]
@@ -212,14 +246,14 @@ def nearest(embeddings: DataFrame, is_query, top: int = TOP, shard_rows: int = S
     # A row a length; written, so that the planner knows its size.
     groups = materialise(nodes.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.max(norm).alias("top_norm")))
     dealt = nodes.join(groups, "length").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards").cast("bigint")).cast("int"))
-    graph = materialise(dealt.select("length", "shard", "node", "least", "top_norm", "vector").groupBy("length", "shard").applyInArrow(_build, _GRAPH))
+    graph = materialise(dealt.select("length", "shard", "node", "least", "top_norm", "vector").groupBy("length", "shard").applyInArrow(_build(beam), _GRAPH))
     asking = nodes.where("asks = 1").select(F.col("node").alias("query"), "vector", "length")
     blocks = max(1, -(-asking.count() // QUERY_BLOCK))
     asking = asking.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).join(groups.select("length", "shards"), "length")
     sent = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     held = graph if blocks == 1 else graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["length", "shard"] if blocks == 1 else ["length", "shard", "block"]
-    answers = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(top + 1, beam), "query bigint, node bigint, score double")
+    answers = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(top + 1), "query bigint, node bigint, score double")
     # A node stands for the rows of its smallest ids, as many as an answer can need; the limit works before the shuffle.
     smallest = Window.partitionBy("vector").orderBy("vec_id")
     copy = F.row_number().over(Window.partitionBy("vector", "vec_id").orderBy("vec_id")).alias("copy")

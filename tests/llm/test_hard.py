@@ -118,6 +118,19 @@ def test_vectors_of_several_lengths_and_repeated_rows(spark):
     assert sorted(got) == sorted(expected)
 
 
+def test_neighbours_among_vectors_without_structure(spark):
+    """Gaussian vectors, where a narrow search finds too little: shards widen it by their own measure."""
+    v = np.random.default_rng(6).normal(size=(3000, 64))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for x in ann.nearest_neighbours(frame).collect():
+        found.setdefault(x.query_id, set()).add(x.vec_id)
+    scores = v[::20] @ v.T
+    scores[np.arange(len(scores)), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-scores, 1)[:, :20]
+    assert np.mean([len(found[20 * i] & set(row.tolist())) / 20 for i, row in enumerate(best)]) >= 0.9
+
+
 def test_vacuum_and_conflicts(spark, odd, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "two"), target_bytes=1 << 20, fanout=2)
     store.append(odd)
