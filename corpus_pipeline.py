@@ -4,6 +4,10 @@ toxicity (documents judged toxic go) - near duplicates by n-gram Jaccard (one do
 stays) - benchmark decontamination (documents holding a benchmark window go) - mixing sources to
 target weights (documents are repeated or left out by rate) - sharding (the place of every document
 in the compacted store). All but the last return the columns of ``documents``.
+
+Null and empty texts are kept by every stage but count no words in the mix, which leaves them out; a null id, source or language is a
+value like others. Of repeated rows one stays, as they are copies. Ties are settled by the least id, then by the text's hash.
+Very long texts pass whole. Columns beside those of ``documents``, whatever their names, are carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: No SQL: the toxicity model and the forest aren't expressible; tests hold the stages against brute force.
+#: No SQL: the toxicity model and the forest aren't expressible. tests/llm/test_pipeline.py holds run() against brute force on planted documents.
 ORACLE_SQL = None
 
 
