@@ -5,8 +5,9 @@ stays) - benchmark decontamination (documents holding a benchmark window go) - m
 target weights (documents are repeated or left out by rate) - sharding (the place of every document
 in the compacted store). All but the last return the columns of ``documents``.
 
-Null and empty texts are kept by every stage but count no words in the mix, which leaves them out; a null id, source or language is a
-value like others. Of repeated rows one stays, as they are copies. Ties are settled by the least id, then by the text's hash.
+Null and empty texts are neither toxic, nor near duplicates, nor contaminated, and are mixed at their source's rate; a null id, source
+or language is a value like others. Of repeated rows with words one stays, as they are copies. Ties are settled by the least id,
+then by the text's hash. A source without any words isn't taken.
 Very long texts pass whole. Columns beside those of ``documents``, whatever their names, are carried. An empty table gives no rows.
 """
 
