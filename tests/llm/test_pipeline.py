@@ -92,3 +92,22 @@ def test_pipeline_against_brute_force(spark, folder):
     expected = {i: taken // size for i, size, _, _, taken in con.execute(SQL["op5_mix_sources"]).fetchall() if taken}
     assert 0 < len(expected) < len(texts)
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == expected
+
+
+def test_pipeline_of_odd_rows(spark, folder, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, odd column names; then no rows at all."""
+    r = random.Random(3)
+    long = " ".join(f"w{r.randrange(9000)}" for _ in range(30_000))
+    rows = [(1, "a few plain words stand here", "en", "s0", 5, "x"), (1, "a few plain words stand here", "en", "s0", 5, "x"), (2, None, "en", "s0", 0, "x"), (3, "", None, None, None, None), (None, "words of a text without id", "en", None, 1, "x"), (4, long, "en", "s0", 9, "x"), (5, long + " end", "en", "s0", 9, "x"), (None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", `a.b` string")
+    for name, docs in (("odd", frame), ("none", frame.limit(0))):
+        path = str(tmp_path / name)
+        docs.write.parquet(f"{path}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{folder}/{table}.parquet").write.parquet(f"{path}/{table}.parquet")
+        step = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, work in corpus_pipeline.STAGES[:-1]:
+            step = work(spark, step, path)
+            assert step.columns == docs.columns, stage
+        ids = {x.doc_id for x in corpus_pipeline.run(spark, path).collect()}
+        assert ids <= {1, 2, 3, 4, None} and (name == "none") == (not ids)
