@@ -162,10 +162,10 @@ class ShardStore:
         _, shards = self.manifest(version)
         return self.spark.read.schema(schema).parquet(*[s.path for s in shards]) if shards else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 2, least_age: float = 86_400) -> int:
+    def vacuum(self, keep: int = 1, least_age: float = 86_400) -> int:
         """Delete shards that only versions before the last ``keep`` name, and files of ``least_age`` seconds that none does; the number deleted.
 
-        A younger file may be a shard that its writer has yet to commit. Readers of an older version lose it.
+        A younger file may be a shard that its writer has yet to commit. Readers of an older version lose it: with any about, keep more versions.
         """
         versions = self.versions()
         every = {v: {_tail(s.path) for s in self.manifest(v)[1]} for v in versions}
