@@ -13,7 +13,8 @@ removed wherever it occurs again. Suffixes that share that many bytes must meet
    Intervals of the transform are expanded backwards, breadth first: level l finds
    the borders where neighbours share exactly l bytes, by increasing value, and the expansion stops at ``LEAST``, so
    that borders never found lie inside runs of suffixes that share ``LEAST`` bytes. All but the first of a run
-   are removed. A key with more than ``HOT`` stretches is dealt anew by single windows.
+   are removed. A key with more than ``HOT`` stretches is dealt anew by single windows, each under its content's key; these
+   are equal or share nothing, so windows that stand alone end here too and equal ones are settled without a transform.
 4. Removed places are united a document, and its remaining bytes are digested.
 
 Null and empty texts have no bytes. Null ids come last. Of rows with equal ids the one with the smaller text
@@ -222,7 +223,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((place, own_hash, doc, two, one))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        at, gone = order[fresh], order[~fresh]
+        twice = np.zeros(len(order), bool)
+        twice[1:] = (doc[order][1:] == doc[order][:-1]) & (own_hash[order][1:] == own_hash[order][:-1]) & (place[order][1:] == place[order][:-1])
+        at, gone = order[fresh], order[~fresh & ~twice]
         parts = pa.array([rows[p][3][i : i + LEAST] for p, i in zip(piece[at].tolist(), inside[at].tolist(), strict=True)], pa.binary())
         yield sent(one[at].view(np.int64), doc[at], own_hash[at], place[at], parts)
         if len(gone):
@@ -318,7 +321,10 @@ def shared_runs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, text hash, place, bytes) sorted by key to removed (doc, text hash, place)."""
+    """(key, doc, text hash, place, bytes) sorted by key to removed (doc, text hash, place).
+
+    Pieces of ``LEAST`` bytes share a string only if they are equal, so a key of nothing else needs no transform.
+    """
 
     def removed(rows):
         rows = sorted(set(rows), key=lambda r: r[:3])
@@ -349,19 +355,50 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = (place >> _START) + inside
         yield _rows([doc, text, _packed(start, count + LEAST - 1)], ["doc", "hash", "place"])
 
-    held, size, key = [], 0, None
+    held, size = [], 0
+
+    def settled(batch):
+        nonlocal held, size
+        key, doc, text, place = (batch.column(i).to_numpy() for i in range(4))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.cumsum(new) - 1
+        rows, longer = np.bincount(group), np.bincount(group, (place & _LENGTH) != LEAST)
+        at = np.flatnonzero(((longer == 0) & (rows > 1))[group])
+        if len(at):
+            _, data = np.unique(batch.column(4).take(pa.array(at)).to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.lexsort((place[at], text[at], doc[at], data, key[at]))
+            at, data = at[order], data[order]
+            again = (key[at][1:] == key[at][:-1]) & (data[1:] == data[:-1])
+            twice = (doc[at][1:] == doc[at][:-1]) & (text[at][1:] == text[at][:-1]) & (place[at][1:] == place[at][:-1])
+            at = at[1:][again & ~twice]
+            yield _rows([doc[at], text[at], place[at]], ["doc", "hash", "place"])
+        last = None
+        batch = batch.filter(pa.array((longer > 0)[group]))
+        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if k != last and size >= CHUNK_BYTES:
+                yield from removed(held)
+                held, size = [], 0
+            last = k
+            held.append(tuple(row))
+            size += len(row[3])
+
+    rest = None  # pieces of the last key, which may go on
     for batch in batches:
         passed = batch.filter(batch.column(4).is_null())
         if passed.num_rows:
             yield _rows([passed.column(i) for i in (1, 2, 3)], ["doc", "hash", "place"])
         batch = batch.filter(batch.column(4).is_valid())
-        for k, doc, text, place, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if k != key and size >= CHUNK_BYTES:
-                yield from removed(held)
-                held, size = [], 0
-            key = k
-            held.append((doc, text, place, data))
-            size += len(data)
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int((key != key[-1]).sum())
+        rest = batch.slice(cut)
+        yield from settled(batch.slice(0, cut))
+    if rest is not None:
+        yield from settled(rest)
     if held:
         yield from removed(held)
 

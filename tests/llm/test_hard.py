@@ -189,3 +189,28 @@ def test_token_files_of_several_blocks(spark, tmp_path):
     (tmp_path / "odd.bin").write_bytes(b"abc")
     with pytest.raises(ValueError):
         tokens.read_token_files(spark, str(tmp_path))
+
+
+def test_single_windows_need_no_transform(spark, monkeypatch):
+    """Windows of crowded keys are equal or share nothing: no transform, whatever batches cut a key."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    text = [bytes(r.integers(0, 256, repeats.LEAST, np.uint8)) for _ in range(40)]
+    # Key 5 has two contents; of each equal window all but the first go, and a row met twice is one row.
+    rows = sorted([(i, 100 + i, 1, i << 9 | repeats.LEAST, t) for i, t in enumerate(text)] + [(i, d, 2, i << 9 | repeats.LEAST, text[i]) for i in range(5, 15) for d in (7, 7, 300)] + [(5, 9, 3, repeats.LEAST, text[39])])
+    names = ["key", "doc", "hash", "place", "bytes"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + 3]], pa.binary() if i == 4 else pa.int64()) for i in range(5)], names=names) for at in range(0, len(rows), 3)]
+    monkeypatch.setattr(repeats, "shared_runs", None)
+    got = [tuple(x.values()) for b in repeats._expand(iter(batches)) for x in b.to_pylist()]
+    assert sorted(got) == sorted((d, h, i << 9 | repeats.LEAST) for i in range(5, 15) for d, h in ((100 + i, 1), (300, 2)))
+
+
+def test_repeated_rows_of_crowded_keys(spark):
+    """Rows with equal id and text keep what the text keeps, whether their keys are crowded or not."""
+    shared = words(5, 40)
+    rows = [(i, f"{words(20 + i, 20)} {shared} {words(60 + i, 20)}") for i in range(4)] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    plain, crowded = (sorted(map(tuple, repeats.remove_repeats(frame, hot).collect())) for hot in (repeats.HOT, 1))
+    assert plain == crowded
+    assert min(x[2] for x in plain if x[0] == 0) == 0
