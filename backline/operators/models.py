@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .identity import released
+
 
 def softmax(rows: DataFrame, group: str, utility: Column, out: str = "p") -> DataFrame:
     """Choice probabilities in each group, shifted by the group's largest utility."""
@@ -33,16 +35,18 @@ class LogitFit:
         return 1 - self.loglik / self.null_loglik
 
     def summary(self) -> pd.DataFrame:
-        """Estimate, standard error, z, p, odds ratio and 95 % interval of each variable."""
+        """Estimate, standard error, z, p, odds ratio and 95 % interval of each variable; NaN where the rows don't tell it."""
         from math import erfc, sqrt
 
         se = np.sqrt(np.diag(self.covariance))
-        z = self.beta / se
-        return pd.DataFrame({"name": self.names, "beta": self.beta, "se": se, "z": z, "p": [erfc(abs(x) / sqrt(2)) for x in z], "odds": np.exp(self.beta), "low": self.beta - 1.96 * se, "high": self.beta + 1.96 * se})
+        known = se > 0
+        se, beta = np.where(known, se, np.nan), np.where(known, self.beta, np.nan)
+        z = beta / se
+        return pd.DataFrame({"name": self.names, "beta": beta, "se": se, "z": z, "p": [erfc(abs(x) / sqrt(2)) for x in z], "odds": np.exp(beta), "low": beta - 1.96 * se, "high": beta + 1.96 * se})
 
 
 def _moments(rows: DataFrame, names: list[str], group: str, chosen: str, beta: np.ndarray, cluster: str | None = None):
-    """Log-likelihood, score and information by one pass; with ``cluster`` the meat of the sandwich too.
+    """Log-likelihood, null one, score, information and the variables' mean squares by one pass; with ``cluster`` the meat of the sandwich too.
 
     Everything but k*k sums stays in the JVM: the driver gets one row.
     """
@@ -54,39 +58,57 @@ def _moments(rows: DataFrame, names: list[str], group: str, chosen: str, beta: n
     extra = [F.first(cluster).alias("cluster")] if cluster else []
     per = p.groupBy(group).agg(F.sum(F.col(chosen) * F.log("p")).alias("ll"), F.sum(F.col(chosen) * F.log(F.lit(1.0))).alias("_z"), F.count(F.lit(1)).alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[s.alias(f"s{i}") for i, s in enumerate(square)], *[g.alias(f"g{i}") for i, g in enumerate(score)], *extra)
     pairs = [(i, j) for i in k for j in k if i <= j]
-    total = per.agg(F.sum("ll"), F.sum(-F.log("n")), *[F.sum(f"g{i}") for i in k], *[F.sum(F.col(f"s{at}") - F.col(f"m{i}") * F.col(f"m{j}")) for at, (i, j) in enumerate(pairs)]).first()
+    with released(rows.sparkSession):
+        total = per.agg(F.sum("ll"), F.sum(-F.log("n")), *[F.sum(f"g{i}") for i in k], *[F.sum(F.col(f"s{at}") - F.col(f"m{i}") * F.col(f"m{j}")) for at, (i, j) in enumerate(pairs)], *[F.sum(f"s{at}") for at, (i, j) in enumerate(pairs) if i == j]).first()
     info = np.zeros((len(names), len(names)))
     for at, (i, j) in enumerate(pairs):
         info[i, j] = info[j, i] = total[2 + len(names) + at]
     meat = None
     if cluster:
         c = per.groupBy("cluster").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in k])
-        row = c.agg(*[F.sum(F.col(f"g{i}") * F.col(f"g{j}")) for i, j in pairs]).first()
+        with released(rows.sparkSession):
+            row = c.agg(*[F.sum(F.col(f"g{i}") * F.col(f"g{j}")) for i, j in pairs]).first()
         meat = np.zeros_like(info)
         for at, (i, j) in enumerate(pairs):
             meat[i, j] = meat[j, i] = row[at]
-    return float(total[0]), float(total[1]), np.array(total[2 : 2 + len(names)], float), info, meat
+    return float(total[0]), float(total[1]), np.array(total[2 : 2 + len(names)], float), info, np.array(total[2 + len(names) + len(pairs) :], float), meat
+
+
+def identified(info: np.ndarray, squares: np.ndarray, least: float = 1e-11) -> np.ndarray:
+    """Variables that vary within groups beside those before them: what these leave of a variable's information, against its squares."""
+    kept: list[int] = []
+    for i in range(len(info)):
+        rest = info[i, i] - (info[i, kept] @ np.linalg.solve(info[np.ix_(kept, kept)], info[kept, i]) if kept else 0.0)
+        if rest > least * squares[i]:
+            kept.append(i)
+    return np.array(kept, int)
 
 
 def fit_logit(rows: DataFrame, names: list[str], group: str, chosen: str, cluster: str | None = None, most_rounds: int = 50, tolerance: float = 1e-9) -> LogitFit:
-    """Conditional logit by Newton steps, halved while they don't improve; one pass of the rows a trial. Cache the rows first."""
+    """Conditional logit by Newton steps, halved while they don't improve; one pass of the rows a trial. Cache the rows first.
+
+    A variable that is the same for all of a group's rows, or made up of those before it, has no effect to be told: it stays 0, without variance.
+    """
     beta = np.zeros(len(names))
-    value, null, score, info, _ = _moments(rows, names, group, chosen, beta)
+    value, null, score, info, squares, _ = _moments(rows, names, group, chosen, beta)
+    kept = identified(info, squares)
     rounds = 0
     for rounds in range(1, most_rounds + 1):  # noqa: B007
-        step, scale = np.linalg.solve(info, score), 1.0
+        step, scale = np.zeros(len(names)), 1.0
+        step[kept] = np.linalg.solve(info[np.ix_(kept, kept)], score[kept])
         for _ in range(30):
             trial = _moments(rows, names, group, chosen, beta + scale * step)
             if trial[0] >= value - 1e-12:
                 break
             scale /= 2
         gained = trial[0] - value
-        beta, (value, _, score, info, _) = beta + scale * step, trial
+        beta, (value, _, score, info, _, _) = beta + scale * step, trial
         if abs(gained) < tolerance * max(1.0, abs(value)):
             break
-    inverse = np.linalg.inv(info)
+    inverse = np.zeros_like(info)
+    inverse[np.ix_(kept, kept)] = np.linalg.inv(info[np.ix_(kept, kept)])
     if cluster:
-        meat = _moments(rows, names, group, chosen, beta, cluster)[4]
+        meat = _moments(rows, names, group, chosen, beta, cluster)[-1]
         inverse = inverse @ meat @ inverse
     return LogitFit(names, beta, inverse, value, null, rounds)
 

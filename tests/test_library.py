@@ -203,6 +203,21 @@ def test_logit_recovers_its_parameters(spark):
     assert (np.abs(s["beta"] - true) <= 1.5 * (s["high"] - s["low"]) / 2).all()
 
 
+def test_logit_leaves_out_what_the_rows_do_not_tell(spark):
+    """A variable that is the same for a group's rows, or made up of others, takes no effect and doesn't fail the fit."""
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(400, 6, 2))
+    pick = (x @ np.array([1.0, -0.5]) + draw.gumbel(size=(400, 6))).argmax(1)
+    rows = [(o, *map(float, x[o, a]), float(2 * x[o, a, 0] + 1), 3.3 + o % 5, 0.0, int(pick[o] == a)) for o in range(400) for a in range(6)]
+    frame = spark.createDataFrame(rows, "occasion int, a double, b double, twice double, fixed double, none double, y int").cache()
+    fit = X.fit_logit(frame, ["none", "a", "fixed", "b", "twice"], "occasion", "y", "occasion")
+    plain = X.fit_logit(frame, ["a", "b"], "occasion", "y", "occasion")
+    assert np.allclose(fit.beta, [0, plain.beta[0], 0, plain.beta[1], 0]) and fit.loglik == pytest.approx(plain.loglik)
+    s = fit.summary().set_index("name")
+    assert s.loc[["none", "fixed", "twice"]].isna().all(axis=None) and np.allclose(s.loc[["a", "b"]], plain.summary().set_index("name"))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def panel(spark, seed, effect, trend=0.0):
     r = np.random.default_rng(seed)
     rows = []
